@@ -22,20 +22,24 @@ from casework.session import scratch_dir
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id above bit 33
 
 
-def _partitions_for(df: DataFrame, rows_per_partition: int | None) -> int:
+def _partitions_for(df: DataFrame) -> int:
     spark = df.sparkSession
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def with_sequence(df: DataFrame, order: list[Column], name: str = "seq", start: int = 0,
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
     """Add ``name`` = position of the row in ``order`` plus ``start``.
 
     ``order`` must be a total order (ties make the numbering arbitrary among
-    the tied rows, as with ``row_number``).
+    the tied rows, as with ``row_number``). With ``materialize`` the input is
+    checkpointed first, so an expensive input plan is computed once instead
+    of once for the range-bound sampling and once for the shuffle.
     """
     scratch_dir(df.sparkSession)  # make sure a checkpoint dir exists
-    n = num_partitions or _partitions_for(df, None)
+    n = num_partitions or _partitions_for(df)
+    if materialize:
+        df = df.checkpoint(eager=True)
     tagged = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)

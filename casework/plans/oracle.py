@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from casework import constants as K
 from casework.sources import adapter as AD
+from casework.sources import fixtures as FX
 
 
 def _q(s: str) -> str:
@@ -109,6 +110,77 @@ dunion AS (
 )""",
 }
 
+
+def _pick(values, idx: str) -> str:
+    items = ", ".join("NULL" if v is None else _q(v) for v in values)
+    return f"[{items}][{idx} + 1]"
+
+
+def first_name_sql(c: str) -> str:
+    trimmed = f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"nullif(upper(string_split_regex({trimmed}, '\\s+')[1]), '')"
+
+
+_DICT_VALUES = ", ".join(f"({_q(n)}, {_q(c)}, {f})" for n, c, f in FX.NAME_DICTIONARY)
+_DROPPED = ", ".join(_q(x) for x in K.DROPPED_STATUSES)
+_R20 = "(o_orderkey % 20)"
+_JUIZ = (f"CASE WHEN {_R20} < 2 OR {_R20} BETWEEN 2 AND 4 THEN NULL "
+         f"ELSE {_pick(FX.JUDGES, 'o_custkey % 12')} END")
+_REQ = f"CASE WHEN {_R20} < 2 THEN NULL ELSE {_pick(FX.CLAIMANTS, 'o_orderkey % 12')} END"
+_NUM = "lpad(CAST(o_orderkey AS VARCHAR), 20, '0')"
+
+BASE_CTES.update({
+    "res0": f"""
+res0 AS (
+  SELECT {_NUM} AS numero_processo, {_JUIZ} AS juiz, {_REQ} AS requerente, o_orderkey,
+    CASE WHEN {_R20} < 2 OR o_orderkey % 3 = 0 THEN NULL
+         ELSE 'Vistos etc.' || chr(10) || 'Julgado ' || {_pick(FX.TEXT_VERBS, 'o_orderkey % 2')}
+              || ' o pedido no processo ' || {_NUM} || ', nos termos da fundamentação.' END AS texto_decisao
+  FROM orders WHERE o_orderkey % 10 != 9
+)""",
+    "res": f"""
+res AS (
+  SELECT numero_processo, juiz, requerente,
+    CASE WHEN {_R20} = 0 THEN {_q(K.STATUS_NOT_FOUND)} WHEN {_R20} = 1 THEN {_q(K.STATUS_ERROR)}
+         WHEN coalesce(length(juiz), 0) > 0 AND coalesce(length(requerente), 0) > 0 THEN {_q(K.STATUS_OK)}
+         ELSE {_q(K.STATUS_INCOMPLETE)} END AS status,
+    texto_decisao, o_orderkey
+  FROM res0
+)""",
+    "coll": """
+coll AS (SELECT * FROM res WHERE numero_processo IN (SELECT numero_processo FROM dunion))""",
+    "valid": f"""
+valid AS (
+  SELECT c.numero_processo, c.juiz, c.requerente, c.status, c.texto_decisao, c.o_orderkey, f.sentenca_favoravel
+  FROM coll c LEFT JOIN (
+    SELECT numero_processo, arg_max(contains(tipo_decisao, {_q(K.FAVOURABLE_MARKER)}), (type_order, hit_pos)) AS sentenca_favoravel
+    FROM dunion GROUP BY numero_processo) f ON f.numero_processo = c.numero_processo
+  WHERE c.status NOT IN ({_DROPPED}) AND c.texto_decisao IS NOT NULL
+)""",
+    "dict": f"""
+dict AS (SELECT * FROM (VALUES {_DICT_VALUES}) t(first_name, classification, frequency_total))""",
+    "dagg": """
+dagg AS (SELECT upper(first_name) AS fn, CASE WHEN count(*) = 1 THEN any_value(classification) ELSE NULL END AS val
+         FROM dict WHERE first_name IS NOT NULL GROUP BY upper(first_name))""",
+    "daggm": """
+daggm AS (SELECT upper(first_name) AS fn, CASE WHEN count(*) = 1 THEN any_value(classification) ELSE mode(classification) END AS val
+          FROM dict WHERE first_name IS NOT NULL GROUP BY upper(first_name))""",
+    "enr": f"""
+enr AS (
+  SELECT v.*, CASE WHEN v.fj IS NULL OR dj.fn IS NULL THEN {_q(K.UNKNOWN_SEX)} ELSE dj.val END AS sexo_juiz,
+    CASE WHEN v.fr IS NULL OR dr.fn IS NULL THEN {_q(K.UNKNOWN_SEX)} ELSE dr.val END AS sexo_requerente
+  FROM (SELECT *, {first_name_sql('juiz')} AS fj, {first_name_sql('requerente')} AS fr FROM valid) v
+  LEFT JOIN dagg dj ON dj.fn = v.fj LEFT JOIN dagg dr ON dr.fn = v.fr
+)""",
+    "enrm": f"""
+enrm AS (
+  SELECT v.*, CASE WHEN v.fj IS NULL OR dj.fn IS NULL THEN {_q(K.UNKNOWN_SEX)} ELSE dj.val END AS sexo_juiz,
+    CASE WHEN v.fr IS NULL OR dr.fn IS NULL THEN {_q(K.UNKNOWN_SEX)} ELSE dr.val END AS sexo_requerente
+  FROM (SELECT *, {first_name_sql('juiz')} AS fj, {first_name_sql('requerente')} AS fr FROM valid) v
+  LEFT JOIN daggm dj ON dj.fn = v.fj LEFT JOIN daggm dr ON dr.fn = v.fr
+)""",
+})
+
 _ORDER = list(BASE_CTES)
 
 
