@@ -126,17 +126,22 @@ def one_hot_columns(col: str, values: list[str], existing: list[str],
     return out
 
 
-def ml_table(joined: DataFrame, order_col: str = "hit_pos") -> DataFrame:
-    """From feature rows joined to enriched records: keep
-    ``sucesso``, encode, one-hot the main subject, drop helpers, number 1..N
-    in input order."""
+def ml_base(joined: DataFrame, order_col: str = "hit_pos") -> DataFrame:
+    """Keep ``sucesso`` rows and encode sex and target."""
     kept = joined.filter(F.col("status") == F.lit(K.STATUS_OK))
-    base = kept.select(
+    return kept.select(
         order_col, *[c for c in FEATURE_COLUMNS if c != "numero_processo"],
         truthy_code(F.col("sentenca_favoravel")).alias("sentenca_favoravel"),
         "texto_decisao",
         sex_code(F.col("sexo_juiz")).alias("sexo_juiz_bin"),
         sex_code(F.col("sexo_requerente")).alias("sexo_requerente_bin"))
+
+
+def ml_table(joined: DataFrame, order_col: str = "hit_pos") -> DataFrame:
+    """From feature rows joined to enriched records: keep
+    ``sucesso``, encode, one-hot the main subject, drop helpers, number 1..N
+    in input order."""
+    base = ml_base(joined, order_col)
     numbered = with_sequence(base, [F.col(order_col)], "id", start=1, materialize=True)
     vocab = vocabulary(numbered, "assunto_principal", "id")
     fixed = [c for c in numbered.columns if c not in (order_col, "assunto_principal", "id")]
