@@ -117,8 +117,9 @@ def _pick(values, idx: str) -> str:
 
 
 def first_name_sql(c: str) -> str:
-    trimmed = f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
-    return f"nullif(upper(string_split_regex({trimmed}, '\\s+')[1]), '')"
+    from casework.functions.text import PY_SPACE
+    trimmed = f"regexp_replace({c}, '^{PY_SPACE}+|{PY_SPACE}+$', '', 'g')"
+    return f"nullif(upper(string_split_regex({trimmed}, '{PY_SPACE}+')[1]), '')"
 
 
 _DICT_VALUES = ", ".join(f"({_q(n)}, {_q(c)}, {f})" for n, c, f in FX.NAME_DICTIONARY)

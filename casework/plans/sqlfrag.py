@@ -41,7 +41,8 @@ def contains_any(c: str, words: list[str]) -> str:
 
 
 def strip_ws(c: str) -> str:
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    from casework.functions.text import PY_SPACE
+    return f"regexp_replace({c}, '^{PY_SPACE}+|{PY_SPACE}+$', '', 'g')"
 
 
 def minstd(key: str, seed: int = 42) -> str:

@@ -76,3 +76,70 @@ def collected_records(t: Tables) -> DataFrame:
 
 def name_dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NAME_DICTIONARY, DICTIONARY_SCHEMA)
+
+
+# -- saved case pages -------------------------------------------------------------
+# A page is a sequence of fragments; each fragment is shown when every
+# (modulus, residues) condition on the order key holds. Values are literal
+# text or record fields (a missing field prints as empty). The SQL twin in
+# casework.plans.q_pages renders the same spec.
+
+NOT_FOUND_TEXT = f"{K.NOT_FOUND_MARKER} disponíveis para os parâmetros informados."
+LONG_TAIL = "Sentença registrada sem texto público disponível para consulta."
+FOUND = (20, tuple(range(2, 20)))
+PAGE_SPEC = [
+    ([], ["<html lang=\"pt-BR\"><head><title>Consulta de Processos de 1º Grau</title>"
+          "<script>var juiz = \"Juiz: Fulano\";</script></head><body>"]),
+    ([(20, (0,))], [f"<div class=\"aviso\"><p>{NOT_FOUND_TEXT}</p></div>"]),
+    ([FOUND], ["<table id=\"tableTopo\"><tr><td>Processo:</td><td>", "@numero_processo", "</td></tr></table>"]),
+    # judge: primary element, or one of three free-text forms, or nothing
+    ([FOUND, (8, (0, 1, 4, 5))], ["<div id=\"juizPrimeiraDivTable\"><span class=\"nome\">", "@juiz",
+                                  "</span> <span>(titular)</span></div>"]),
+    ([FOUND, (8, (2,))], ["<p class=\"info\">Juiz de Direito: ", "@juiz", "</p>"]),
+    ([FOUND, (8, (6,))], ["<p class=\"info\">Juiza titular - Dra. ", "@juiz", "</p>"]),
+    ([FOUND, (8, (3,))], ["<p class=\"info\">Juiz: Direito Substituto ", "@juiz", "</p>"]),
+    # parties
+    ([FOUND, (7, (0, 1, 2, 4, 5, 6))], ["<table id=\"tablePartesPrincipais\">"]),
+    ([FOUND, (7, (0,))], ["<tr><td class=\"label\">Requerente:</td><td>", "@requerente", "</td></tr>"]),
+    ([FOUND, (7, (1,))], ["<tr><td class=\"label\">Autor</td><td>", "@requerente", "</td></tr>"]),
+    ([FOUND, (7, (2,))], ["<tr><td class=\"label\">Massa Falida</td><td>", "@requerente", "</td></tr>"]),
+    ([FOUND, (7, (4,))], ["<tr><td class=\"label\">Requerente</td><td></td></tr>"
+                          "<tr><td class=\"label\">Autor</td><td>", "@requerente", "</td></tr>"]),
+    ([FOUND, (7, (5,))], ["<tr><td class=\"label\">Requerido</td><td>Banco Exemplo S.A.</td></tr>"]),
+    ([FOUND, (7, (6,))], ["<tr><td class=\"label\">Reqte</td><td>x</td></tr><tr><td class=\"label\">REQUERENTE</td><td>",
+                          "@requerente", "<br>Advogado: Pedro Lins</td></tr>"]),
+    ([FOUND, (7, (0, 1, 2, 4, 5, 6))], ["</table>"]),
+    # movements
+    ([FOUND, (5, (0, 1, 2, 3))], ["<table id=\"tabelaTodasMovimentacoes\"><tr><td>01/02/2024</td>"]),
+    ([FOUND, (5, (0,))], ["<td>Julgado procedente o pedido. ", "@texto_decisao", " ", LONG_TAIL, "</td></tr>"]),
+    ([FOUND, (5, (1,))], ["<td>Julgado improcedente o pedido. ", "@texto_decisao", " ", LONG_TAIL, "</td></tr>"]),
+    ([FOUND, (5, (2,))], ["<td>Procedência</td></tr><tr><td>02/02/2024</td><td>Decisão de Improcedência do pedido: ",
+                          "@texto_decisao", " ", LONG_TAIL, "</td></tr>"]),
+    ([FOUND, (5, (3,))], ["<td>Procedência parcial</td></tr><tr><td>Julgado procedente o pedido</td></tr>"]),
+    ([FOUND, (5, (0, 1, 2, 3))], ["</table>"]),
+    ([], ["</body></html>"]),
+]
+ERROR_RESIDUE = (20, 1)  # page failed to load: html is null
+
+
+def _spark_cond(conds) -> Column:
+    k = F.col("o_orderkey")
+    out = F.lit(True)
+    for mod, residues in conds:
+        out = out & (k % mod).isin(*residues)
+    return out
+
+
+def _spark_value(part: str) -> Column:
+    if part.startswith("@"):
+        return F.coalesce(F.col(part[1:]), F.lit(""))
+    return F.lit(part)
+
+
+def case_pages(records: DataFrame) -> DataFrame:
+    """(numero_processo, html) of each collected record, ``o_orderkey`` kept."""
+    frags = [F.when(_spark_cond(conds), F.concat(*[_spark_value(p) for p in parts])).otherwise(F.lit(""))
+             for conds, parts in PAGE_SPEC]
+    mod, res = ERROR_RESIDUE
+    html = F.when(F.col("o_orderkey") % mod == res, F.lit(None).cast("string")).otherwise(F.concat(*frags))
+    return records.select("numero_processo", html.alias("html"), "o_orderkey")
