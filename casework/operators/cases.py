@@ -107,7 +107,7 @@ def sorted_movements(movements) -> Column:
     keyed = F.transform(movements, lambda m, i: F.struct(
         TM.parse_instant_utc(m["dataHora"]).alias("ts_utc"), i.alias("mov_pos"),
         m["codigo"].alias("codigo"), m["nome"].alias("nome"), m["dataHora"].alias("dataHora")))
-    return F.transform(F.array_sort(keyed), lambda m: m.withField(
+    return F.transform(F.sort_array(keyed), lambda m: m.withField(
         "data_hora_local", TM.to_local(m["ts_utc"])))
 
 
@@ -133,7 +133,7 @@ def case_report(cases: DataFrame) -> DataFrame:
     """K6: one text block per case: header, subjects, one line per movement
     (time order), separator."""
     movs = F.transform(
-        F.array_sort(F.transform(F.col("movimentos"), lambda m, i: F.struct(
+        F.sort_array(F.transform(F.col("movimentos"), lambda m, i: F.struct(
             TM.parse_instant_utc(m["dataHora"]).alias("ts"), i.alias("pos"),
             m["codigo"].alias("codigo"), m["nome"].alias("nome"), m["dataHora"].alias("raw")))),
         lambda m: F.concat(

@@ -14,6 +14,8 @@ overflowing the stack.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,10 @@ def spark_pattern(pattern: str) -> str:
 
 
 def element_text(html: Column, element_id: str, inner_tag: str) -> Column:
-    """Text of the first ``inner_tag`` inside the element with ``element_id``."""
+    """Text of the first ``inner_tag`` inside the element with ``element_id``
+    (ids are case-sensitive, so a plain substring test guards the regex)."""
     raw = F.regexp_extract(html, rf'(?is)<[a-z0-9]+\b[^>]*\bid="{element_id}"[^>]*>.*?<{inner_tag}\b[^>]*>(.*?)</{inner_tag}>', 1)
-    return X.strip_ws(X.html_text(raw))
+    return F.when(html.contains(element_id), X.strip_ws(X.html_text(raw))).otherwise(F.lit(""))
 
 
 def page_text(html: Column) -> Column:
@@ -45,24 +48,77 @@ def page_text(html: Column) -> Column:
 
 
 def not_found(html: Column) -> Column:
-    """The page says there is no such case (ignore case)."""
-    return F.lower(page_text(html)).contains(K.NOT_FOUND_MARKER.lower())
-
-
-def judge_by_patterns(html: Column) -> Column:
-    """Per pattern, only its first match is tried; a candidate failing
-    the name validator (F7) passes to the next pattern."""
-    cands = []
-    for p in K.JUDGE_PATTERNS:
-        cand = X.strip_ws(F.regexp_extract(html, spark_pattern(p), 1))
-        cands.append(F.when(X.valid_judge_name(cand), cand))
-    return F.coalesce(*cands)
+    """The page text says there is no such case (ignore case). The full
+    text is built only for pages whose markup contains the marker's last
+    word (assumes that word is not split by a tag)."""
+    last_word = K.NOT_FOUND_MARKER.split()[-1]
+    maybe = html.rlike("(?iu)" + re.escape(last_word))
+    return F.when(maybe, F.lower(page_text(html)).contains(K.NOT_FOUND_MARKER.lower())).otherwise(
+        F.when(html.isNotNull(), F.lit(False)))
+
+
+def _stage(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add columns in their own projection. Expressions inside conditional
+    branches (``when``/``coalesce``) get no common-subexpression
+    elimination, so anything referenced more than once is computed here once;
+    the optimizer does not inline a non-cheap column used several times."""
+    return df.withColumns(cols)
+
+
+def with_judge(df: DataFrame, html_col: str = "html", out: str = "juiz",
+               primary_first: bool = True) -> DataFrame:
+    """X2 then X3: primary element text, else the pattern cascade. Per
+    pattern only its first match is tried; a candidate failing the name
+    validator (F7) passes to the next pattern."""
+    html = F.col(html_col)
+    if primary_first:
+        df = _stage(df, {"_primary": element_text(html, K.JUDGE_ELEMENT_ID, "span")})
+        need = F.col("_primary") == F.lit("")
+    else:
+        need = F.lit(True)
+    cands = {f"_cand{i}": F.when(need, X.strip_ws(F.regexp_extract(html, spark_pattern(p), 1)))
+             for i, p in enumerate(K.JUDGE_PATTERNS)}
+    df = _stage(df, cands)
+    chosen = F.coalesce(*[F.when(X.valid_judge_name(F.col(c)), F.col(c)) for c in cands])
+    if primary_first:
+        chosen = F.coalesce(F.nullif(F.col("_primary"), F.lit("")), chosen)
+    return df.withColumn(out, chosen).drop(*cands, *(["_primary"] if primary_first else []))
+
+
+def with_labelled_cell(df: DataFrame, html_col: str, table_id: str, labels: list[str],
+                       out: str) -> DataFrame:
+    """Within the table, the cell after the first cell whose text contains
+    a label (ignore case), labels tried in order; its first line, trimmed.
+    A present but empty cell ends the search with an empty value."""
+    df = _stage(df, {"_cells": table_cells(F.col(html_col), table_id)})
+    df = _stage(df, {"_idx": indexed_cell_texts(F.col("_cells"))})
+    hits = {f"_hit{i}": F.get(F.filter(F.col("_idx"), _text_has("t", lab.lower())), 0)["i"]
+            for i, lab in enumerate(labels)}
+    df = _stage(df, hits)
+    vals = [F.when(F.col(h).isNotNull(),
+                   X.first_line(X.html_text(F.coalesce(F.get(F.col("_cells"), F.col(h) + 1), F.lit("")))))
+            for h in hits]
+    return df.withColumn(out, F.coalesce(*vals)).drop("_cells", "_idx", *hits)
+
+
+def with_decision_text(df: DataFrame, html_col: str, out: str,
+                       terms: list[str] = K.DECISION_TEXT_TERMS,
+                       min_chars: int = K.DECISION_TEXT_MIN_CHARS) -> DataFrame:
+    """Terms in priority order; the first cell containing the term (ignore
+    case) is taken when its trimmed text is longer than ``min_chars``,
+    otherwise the next term is tried."""
+    df = _stage(df, {"_texts": cell_texts(F.col(html_col))})
+    df = _stage(df, {"_lower": F.transform("_texts", F.lower)})
+    firsts = {f"_first{i}": F.get(F.col("_texts"), F.array_position(
+        F.transform("_lower", _has(t.lower())), F.lit(True)).cast("int") - 1)
+        for i, t in enumerate(terms)}
+    df = _stage(df, firsts)
+    value = F.coalesce(*[F.when(F.length(F.col(c)) > min_chars, F.col(c)) for c in firsts])
+    return df.withColumn(out, value).drop("_texts", "_lower", *firsts)
 
 
-def judge(html: Column) -> Column:
-    """X2 then X3: primary element text, else the pattern cascade."""
-    primary = element_text(html, K.JUDGE_ELEMENT_ID, "span")
-    return F.coalesce(F.nullif(primary, F.lit("")), judge_by_patterns(html))
+def _has(needle: str):
+    return lambda t: t.contains(F.lit(needle))
 
 
 def _text_has(field: str, needle: str):
@@ -70,59 +126,46 @@ def _text_has(field: str, needle: str):
     return lambda s: s[field].contains(F.lit(needle))
 
 
-def _lower_has(needle: str):
-    return lambda t: F.lower(t).contains(F.lit(needle))
-
-
 def _cells(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(CELL_RE), 1)
 
 
-def labelled_cell(html: Column, table_id: str, labels: list[str]) -> Column:
-    """Within the table, the cell after the first cell whose text contains
-    a label (ignore case), labels tried in order; its first line, trimmed.
-    A present but empty cell ends the search with an empty value."""
+def table_cells(html: Column, table_id: str) -> Column:
     table = F.regexp_extract(html, rf'(?is)<table\b[^>]*\bid="{table_id}"[^>]*>(.*?)</table>', 1)
-    cells = _cells(table)
-    indexed = F.transform(cells, lambda c, i: F.struct(i.alias("i"), F.lower(X.html_text(c)).alias("t")))
-    found = []
-    for label in labels:
-        hit = F.get(F.filter(indexed, _text_has("t", label.lower())), 0)
-        value = F.get(cells, hit["i"] + 1)
-        found.append(F.when(hit.isNotNull(), X.first_line(X.html_text(F.coalesce(value, F.lit(""))))))
-    return F.coalesce(*found)
-
-
-def decision_text(html: Column, terms: list[str] = K.DECISION_TEXT_TERMS,
-                  min_chars: int = K.DECISION_TEXT_MIN_CHARS) -> Column:
-    """Terms in priority order; the first cell containing the term (ignore
-    case) is taken when its trimmed text is longer than ``min_chars``,
-    otherwise the next term is tried."""
-    texts = F.transform(_cells(html), lambda c: X.strip_ws(X.html_text(c)))
-    out = []
-    for term in terms:
-        first = F.get(F.filter(texts, _lower_has(term.lower())), 0)
-        out.append(F.when(F.length(first) > min_chars, first))
-    return F.coalesce(*out)
+    return F.when(html.contains(table_id), _cells(table)).otherwise(F.array().cast("array<string>"))
+
+
+def indexed_cell_texts(cells: Column) -> Column:
+    """[(position, lower-cased text)] of a list of raw cells."""
+    return F.transform(cells, lambda c, i: F.struct(i.alias("i"), F.lower(X.html_text(c)).alias("t")))
+
+
+def cell_texts(html: Column) -> Column:
+    return F.transform(_cells(html), lambda c: X.strip_ws(X.html_text(c)))
 
 
 def extract(pages: DataFrame, key: str = "numero_processo", html_col: str = "html") -> DataFrame:
-    """One record per page: judge, claimant, status, decision text."""
+    """One record per page: judge, claimant, status, decision text.
+    One narrow stage of staged projections (no shuffle, no Python)."""
     html = F.col(html_col)
-    missing = not_found(html)
-    juiz = judge(html)
-    req = labelled_cell(html, K.PARTIES_TABLE_ID, K.CLAIMANT_LABELS)
+    df = pages.select(key, html.alias("_html"))
+    df = _stage(df, {"_missing": not_found(F.col("_html"))})
+    df = with_judge(df, "_html", "_juiz")
+    df = with_labelled_cell(df, "_html", K.PARTIES_TABLE_ID, K.CLAIMANT_LABELS, "_req")
+    juiz, req = F.col("_juiz"), F.col("_req")
     complete = (F.coalesce(F.length(juiz), F.lit(0)) > 0) & (F.coalesce(F.length(req), F.lit(0)) > 0)
-    status = (F.when(html.isNull(), F.lit(K.STATUS_ERROR))
-              .when(missing, F.lit(K.STATUS_NOT_FOUND))
+    status = (F.when(F.col("_html").isNull(), F.lit(K.STATUS_ERROR))
+              .when(F.col("_missing"), F.lit(K.STATUS_NOT_FOUND))
               .when(complete, F.lit(K.STATUS_OK)).otherwise(F.lit(K.STATUS_INCOMPLETE)))
-    found = ~status.isin(K.STATUS_ERROR, K.STATUS_NOT_FOUND)
-    return pages.select(
+    df = _stage(df, {"status": status})
+    found = ~F.col("status").isin(K.STATUS_ERROR, K.STATUS_NOT_FOUND)
+    df = with_decision_text(df.withColumn("_html", F.when(found, F.col("_html"))), "_html", "_texto")
+    return df.select(
         key,
         F.when(found, juiz).alias("juiz"),
         F.when(found, req).alias("requerente"),
-        status.alias("status"),
-        F.when(found, decision_text(html)).alias("texto_decisao"))
+        "status",
+        F.when(found, F.col("_texto")).alias("texto_decisao"))
 
 
 def headline(pages: DataFrame, key: str = "page_id") -> DataFrame:

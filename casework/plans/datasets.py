@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from casework.operators import cases as C
 from casework.operators import decisions as D
 from casework.session import configure
-from casework.sources.adapter import build_hits
+from casework.sources.adapter import ADAPTER_VERSION, build_hits
 from casework.sources.tables import Tables
 
 
@@ -22,8 +22,16 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
 
 
+HIT_INPUTS = ["orders", "lineitem", "part", "customer", "nation"]
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_hits(tables(spark, sf_dir))
+    """The landed hit table (built from the driver tables on first use)."""
+    from casework.sources.landing import land
+
+    t = tables(spark, sf_dir)
+    inputs = [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in HIT_INPUTS]
+    return land(spark, f"hits-v{ADAPTER_VERSION}", inputs, lambda: build_hits(t))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:

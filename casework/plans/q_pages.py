@@ -114,7 +114,8 @@ def page_status(spark, sf):
 
 @register("page_field_regex_cascade", with_base("SELECT numero_processo, juiz_regex FROM pge", _PAGES_CTES))
 def page_field_regex_cascade(spark, sf):
-    return _pages(spark, sf).select("numero_processo", PG.judge_by_patterns(F.col("html")).alias("juiz_regex"))
+    return PG.with_judge(_pages(spark, sf), "html", "juiz_regex", primary_first=False).select(
+        "numero_processo", "juiz_regex")
 
 
 @register("page_labelled_cell", with_base("SELECT numero_processo, requerente FROM pge", _PAGES_CTES))

@@ -41,8 +41,9 @@ def contains_any(c: str, words: list[str]) -> str:
 
 
 def strip_ws(c: str) -> str:
-    from casework.functions.text import PY_SPACE
-    return f"regexp_replace({c}, '^{PY_SPACE}+|{PY_SPACE}+$', '', 'g')"
+    from casework.functions.text import PY_SPACE_CHARS
+    chars = " || ".join(f"chr({ord(ch)})" for ch in PY_SPACE_CHARS)
+    return f"trim({c}, {chars})"
 
 
 def minstd(key: str, seed: int = 42) -> str:

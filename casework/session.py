@@ -15,6 +15,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # Small shuffles feed CPU-heavy row work (regex extraction, nested-list
+    # functions): do not let AQE merge them below one partition per core.
+    # At cluster scale partitions are far above this floor anyway.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
 }
 
 
@@ -35,6 +39,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         SparkSession.builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("CASEWORK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -25,6 +25,9 @@ from casework.operators.joins import broadcast_if_small
 from casework.operators.sequence import with_sequence
 from casework.sources.tables import Tables
 
+# Bump when the mapping changes: landed tables are keyed by it.
+ADAPTER_VERSION = 2
+
 # Adapter mapping (our own test-data design, see FIXTURES.md section 2).
 CLASS_BY_PRIORITY = [
     ("1-URGENT", 1, "Agravo de Instrumento"),
@@ -49,6 +52,9 @@ SUBJECT_BY_TYPE = [
     ("STANDARD", 5, "Planos de Saúde (Reajuste)"),
 ]
 CAPITAL_NAME = "Fortaleza"
+# Dimension sides (part, customer) are broadcast only up to this many rows;
+# above it they are shuffle-joined.
+DIMENSION_MAX_ROWS = 2_000_000
 NULL_MUNICIPALITY_NATION = 24
 ISO_MS_Z = "yyyy-MM-dd'T'HH:mm:ss'.000Z'"
 COMPACT = "yyyyMMddHHmmss"
@@ -64,8 +70,8 @@ SUBJECT_TYPE = T.StructType([
 ])
 
 
-def _seconds(col):
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), col.cast("decimal(18,6)"))
+def _plus_seconds(ts, secs):
+    return F.timestamp_add("SECOND", secs, ts)
 
 
 def _case(pairs, default):
@@ -90,32 +96,35 @@ def _movements(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                            "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
                            "l_linestatus", "l_shipdate")
-    part = t.part.select("p_partkey", "p_type")
+    part = broadcast_if_small(t.part.select("p_partkey", "p_type"), DIMENSION_MAX_ROWS)
     li = li.join(part, li.l_partkey == part.p_partkey, "left")
-    nome = _case([((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls), F.lit(n))
-                  for rf, ls, n in MOVEMENT_BY_FLAGS], F.lit(None).cast("string"))
-    secs = (F.col("l_partkey") * 3571 + F.col("l_suppkey") * 97) % 86400
-    data_hora = F.when(F.col("l_partkey") % 50 == 0, F.lit(None).cast("string")).otherwise(
-        F.date_format(F.col("l_shipdate") + _seconds(secs), ISO_MS_Z))
-    s_code = _case([(F.col("p_type") == ty, F.lit(c)) for ty, c, _ in SUBJECT_BY_TYPE],
-                   F.lit(0)).cast("long")
-    s_name = _case([(F.col("p_type") == ty, F.lit(n)) for ty, _, n in SUBJECT_BY_TYPE],
-                   F.initcap(F.col("p_type")))
-    # Sort key first (a total order over the line items of one order), then payload.
-    item = F.struct(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-        F.col("l_linenumber").cast("long").alias("codigo"), nome.alias("nome"),
-        data_hora.alias("dataHora"), s_code.alias("s_codigo"), s_name.alias("s_nome"))
+    # Collect the total-order key plus p_type only; everything else is
+    # derived from those fields after the (native) sort.
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice",
+                    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "p_type")
     per_order = li.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(item)).alias("items"),
+        F.sort_array(F.collect_list(item)).alias("items"),
         F.max("l_shipdate").alias("last_ship"))
+
+    def movement(m):
+        nome = _case([((m["l_returnflag"] == rf) & (m["l_linestatus"] == ls), F.lit(n))
+                      for rf, ls, n in MOVEMENT_BY_FLAGS], F.lit(None).cast("string"))
+        secs = (m["l_partkey"] * 3571 + m["l_suppkey"] * 97) % 86400
+        data_hora = F.when(m["l_partkey"] % 50 == 0, F.lit(None).cast("string")).otherwise(
+            F.date_format(_plus_seconds(m["l_shipdate"], secs), ISO_MS_Z))
+        return F.struct(m["l_linenumber"].cast("long").alias("codigo"), nome.alias("nome"),
+                        data_hora.alias("dataHora"))
+
+    def subject(m):
+        ptype = m["p_type"]
+        code = _case([(ptype == ty, F.lit(c)) for ty, c, _ in SUBJECT_BY_TYPE], F.lit(0)).cast("long")
+        name = _case([(ptype == ty, F.lit(n)) for ty, _, n in SUBJECT_BY_TYPE], F.initcap(ptype))
+        return F.struct(code.alias("codigo"), name.alias("nome"))
+
     return per_order.select(
         F.col("l_orderkey").alias("o_orderkey"),
-        F.transform("items", lambda m: F.struct(m["codigo"].alias("codigo"), m["nome"].alias("nome"),
-                                                m["dataHora"].alias("dataHora"))).alias("movimentos"),
-        F.array_distinct(F.transform("items", lambda m: F.struct(
-            m["s_codigo"].alias("codigo"), m["s_nome"].alias("nome")))).alias("assuntos"),
+        F.transform("items", movement).alias("movimentos"),
+        F.array_distinct(F.transform("items", subject)).alias("assuntos"),
         "last_ship")
 
 
@@ -130,8 +139,8 @@ def hit_positions(t: Tables) -> DataFrame:
 def build_hits(t: Tables, positions: bool = True) -> DataFrame:
     """One row per hit with the nested shape of a search document."""
     nation = broadcast_if_small(t.nation.select("n_nationkey", "n_name"), 10_000)
-    cust = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").join(
-        nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    cust = broadcast_if_small(t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").join(
+        nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"), DIMENSION_MAX_ROWS)
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
                              "o_orderpriority")
     o = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
@@ -140,11 +149,11 @@ def build_hits(t: Tables, positions: bool = True) -> DataFrame:
     o = o.join(_movements(t), "o_orderkey", "left")
 
     k = F.col("o_orderkey")
-    filed = F.col("o_orderdate") + _seconds((k * 7919) % 86400)
+    filed = _plus_seconds(F.col("o_orderdate"), (k * 7919) % 86400)
     filed_text = F.when(k % 97 == 0, F.date_format(filed, ISO_MS_Z)).otherwise(
         F.date_format(filed, COMPACT))
-    updated = F.coalesce(F.col("last_ship"), F.col("o_orderdate") + _seconds(F.lit(86400))) \
-        + _seconds(k % 3600)
+    updated = _plus_seconds(F.coalesce(F.col("last_ship"), _plus_seconds(F.col("o_orderdate"), F.lit(86400))),
+                            k % 3600)
     prio = F.col("o_orderpriority")
     classe = F.struct(
         _case([(prio == p, F.lit(c)) for p, c, _ in CLASS_BY_PRIORITY],

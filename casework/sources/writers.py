@@ -50,7 +50,7 @@ def response_pages(hits: DataFrame, page_size: int = 10000) -> DataFrame:
                     F.struct(*[F.col(c) for c in SOURCE_FIELDS]).alias("_source"),
                     F.col("sort"))
     pages = hits.groupBy(F.floor(F.col("hit_pos") / page_size).alias("pagina")).agg(
-        F.array_sort(F.collect_list(item)).alias("items"))
+        F.sort_array(F.collect_list(item)).alias("items"))
     return pages.select(
         "pagina",
         F.struct(
