@@ -67,3 +67,13 @@ def first_timed_decision_hour(movements) -> Column:
     timed = F.filter(_col(movements), lambda m: is_decision_name(m["nome"])
                      & TM.iso_hour(m["dataHora"]).isNotNull())
     return TM.iso_hour(F.get(timed, 0)["dataHora"])
+
+
+def subject_names_from_json(raw_json) -> Column:
+    """P4 on raw JSON text of a subject list whose elements may not all be
+    objects: each element is kept as its own JSON text, an object gives its
+    ``nome`` (null when absent) and any other element gives ''. One bad
+    element does not null the whole list (as a typed ``from_json`` would)."""
+    elems = F.from_json(_col(raw_json), "array<string>")
+    return F.transform(elems, lambda e: F.when(F.ltrim(e).startswith("{"),
+                                               F.get_json_object(e, "$.nome")).otherwise(F.lit("")))
