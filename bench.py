@@ -48,8 +48,16 @@ def main() -> None:
         reg[name][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    run("flatten_hits")  # warm-up: JIT, file listing caches
-    times = {n: round(run(n), 3) for n in names}
+    from casework.plans import datasets as DS
+
+    # Warm-up without landing anything: JVM JIT, file listing caches.
+    DS.tables(spark, sf_dir).lineitem.write.format("noop").mode("overwrite").save()
+    # Landing the hit table (driver tables -> nested case documents) is part
+    # of the measured work: it runs once, the queries then scan it.
+    t0 = time.perf_counter()
+    DS.hits(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    times = {"land_hits": round(time.perf_counter() - t0, 3)}
+    times.update({n: round(run(n), 3) for n in names})
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus)}))

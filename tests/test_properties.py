@@ -72,3 +72,16 @@ def test_first_decision_invariant_under_repartition(spark):
     a = D.first_decision(cases).orderBy("numero_processo").collect()
     b = D.first_decision(cases.repartition(13, "hit_pos")).orderBy("numero_processo").collect()
     assert a == b
+
+
+def test_block_sample_sequence_path_matches_window(spark):
+    from pyspark.sql import Window
+
+    union = DS.union(spark, SF_SMALL)
+    got = D.block_sample(union, 2000)  # stride limit 8000: above the group-limit threshold
+    w = Window.partitionBy("tipo_decisao").orderBy("hit_pos")
+    want = (union.withColumn("p", (F.row_number().over(w) - 1).cast("int"))
+            .filter((F.col("p") < 8000) & (F.col("p") % 80 < 20))
+            .select("numero_processo", "tipo_decisao", "hit_pos", "p"))
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
