@@ -57,7 +57,7 @@ def decision_type_rollup(spark, sf):
 
 
 @register("decision_coverage", with_base("""
-SELECT count_if(len(decisoes) > 0) AS com_decisao, count(*) AS total FROM dec"""))
+SELECT count(CASE WHEN len(decisoes) > 0 THEN 1 END) AS com_decisao, count(*) AS total FROM dec"""))
 def decision_coverage(spark, sf):
     return D.decision_coverage(DS.cases(spark, sf))
 

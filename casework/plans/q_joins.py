@@ -50,10 +50,10 @@ def join_anti(spark, sf):
 
 
 @register("incremental_pending", with_base(f"""
-SELECT count_if(l.k IS NOT NULL) AS n_lista, count_if(c.k IS NOT NULL) AS n_cache,
-  count_if(c.k IS NOT NULL AND l.k IS NOT NULL) AS n_cache_na_lista,
-  count_if(c.k IS NOT NULL AND l.k IS NULL) AS n_ignorados,
-  count_if(l.k IS NOT NULL AND c.k IS NULL) AS n_pendentes
+SELECT count(CASE WHEN l.k IS NOT NULL THEN 1 END) AS n_lista, count(CASE WHEN c.k IS NOT NULL THEN 1 END) AS n_cache,
+  count(CASE WHEN c.k IS NOT NULL AND l.k IS NOT NULL THEN 1 END) AS n_cache_na_lista,
+  count(CASE WHEN c.k IS NOT NULL AND l.k IS NULL THEN 1 END) AS n_ignorados,
+  count(CASE WHEN l.k IS NOT NULL AND c.k IS NULL THEN 1 END) AS n_pendentes
 FROM (SELECT DISTINCT numero_processo AS k FROM dunion) l
 FULL OUTER JOIN (SELECT numero_processo AS k FROM ({_CACHE_SQL})) c ON l.k = c.k"""))
 def incremental_pending(spark, sf):

@@ -17,11 +17,11 @@ _DROPPED = ", ".join(q(x) for x in K.DROPPED_STATUSES)
 
 
 @register("valid_results", with_base(f"""
-SELECT count(*) AS n_total, count_if(status NOT IN ({_DROPPED})) AS n_coletados,
-  count_if(status NOT IN ({_DROPPED}) AND texto_decisao IS NOT NULL) AS n_com_texto,
-  count_if(status NOT IN ({_DROPPED})) - count_if(status NOT IN ({_DROPPED}) AND texto_decisao IS NOT NULL) AS n_sem_texto,
-  CASE WHEN count_if(status NOT IN ({_DROPPED})) > 0 THEN
-    count_if(status NOT IN ({_DROPPED}) AND texto_decisao IS NOT NULL) * 100.0 / count_if(status NOT IN ({_DROPPED})) END AS pct_com_texto
+SELECT count(*) AS n_total, count(CASE WHEN status NOT IN ({_DROPPED}) THEN 1 END) AS n_coletados,
+  count(CASE WHEN status NOT IN ({_DROPPED}) AND texto_decisao IS NOT NULL THEN 1 END) AS n_com_texto,
+  count(CASE WHEN status NOT IN ({_DROPPED}) THEN 1 END) - count(CASE WHEN status NOT IN ({_DROPPED}) AND texto_decisao IS NOT NULL THEN 1 END) AS n_sem_texto,
+  CASE WHEN count(CASE WHEN status NOT IN ({_DROPPED}) THEN 1 END) > 0 THEN
+    count(CASE WHEN status NOT IN ({_DROPPED}) AND texto_decisao IS NOT NULL THEN 1 END) * 100.0 / count(CASE WHEN status NOT IN ({_DROPPED}) THEN 1 END) END AS pct_com_texto
 FROM coll"""))
 def valid_results(spark, sf):
     c = DS.collected(spark, sf)
@@ -29,7 +29,7 @@ def valid_results(spark, sf):
 
 
 @register("status_counts", with_base(
-    "SELECT count(*) AS total, " + ", ".join(f"count_if(status = {q(s)}) AS {s}" for s in K.STATUSES)
+    "SELECT count(*) AS total, " + ", ".join(f"count(CASE WHEN status = {q(s)} THEN 1 END) AS {s}" for s in K.STATUSES)
     + " FROM coll"))
 def status_counts(spark, sf):
     return AN.count_per_value(DS.collected(spark, sf), "status", K.STATUSES)
@@ -43,7 +43,7 @@ def _dist_name(col: str, v: int) -> str:
 
 
 @register("class_distribution", with_base(
-    "SELECT " + ", ".join(f"count_if({c} = {v}) AS {_dist_name(c, v)}" for c, vs in _DIST for v in vs)
+    "SELECT " + ", ".join(f"count(CASE WHEN {c} = {v} THEN 1 END) AS {_dist_name(c, v)}" for c, vs in _DIST for v in vs)
     + f" FROM ({_ML_SQL})", _FEAT_CTES))
 def class_distribution(spark, sf):
     base = ml_base(DS.ml_joined(spark, sf))
@@ -65,7 +65,7 @@ _DOC_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source":
 
 @register("null_counts", with_base(
     "SELECT coluna, n_nulos FROM (" + " UNION ALL ".join(
-        f"SELECT {q(c)} AS coluna, count_if({c} IS NULL) AS n_nulos FROM ({_DOCS_SQL})" for c in _DOC_COLS)
+        f"SELECT {q(c)} AS coluna, count(CASE WHEN {c} IS NULL THEN 1 END) AS n_nulos FROM ({_DOCS_SQL})" for c in _DOC_COLS)
     + ") WHERE n_nulos > 0"))
 def null_counts(spark, sf):
     return AN.null_counts(_docs(spark, sf).select(*_DOC_COLS))

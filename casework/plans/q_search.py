@@ -43,8 +43,8 @@ def search_class_topn(spark, sf):
 
 
 @register("hits_total", with_base(f"""
-SELECT count_if(len(list_filter(assuntos, lambda a: a.codigo = {K.SUBJECT_SEARCH_CODE})) > 0) AS total_hits,
-       least(count_if(len(list_filter(assuntos, lambda a: a.codigo = {K.SUBJECT_SEARCH_CODE})) > 0), {K.MAX_HITS_PER_REQUEST}) AS returned_hits
+SELECT count(CASE WHEN len(list_filter(assuntos, lambda a: a.codigo = {K.SUBJECT_SEARCH_CODE})) > 0 THEN 1 END) AS total_hits,
+       least(count(CASE WHEN len(list_filter(assuntos, lambda a: a.codigo = {K.SUBJECT_SEARCH_CODE})) > 0 THEN 1 END), {K.MAX_HITS_PER_REQUEST}) AS returned_hits
 FROM hits"""))
 def hits_total(spark, sf):
     return C.hit_counts(DS.hits(spark, sf), C.has_subject_code(K.SUBJECT_SEARCH_CODE))

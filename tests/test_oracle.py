@@ -16,12 +16,20 @@ def con():
     return duck(SF_SMALL)
 
 
+DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double",
+              "BOOLEAN": "boolean", "DATE": "date"}
+
+
 @pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_matches_oracle(spark, con, name):
     fn, sql = REGISTRY[name]
-    got = fn(spark, SF_SMALL).toPandas()
     assert sql is not None, f"{name} has no oracle"
-    want = con.execute(sql).df()
+    df = fn(spark, SF_SMALL)
+    rel = con.sql(sql)
+    spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    duck_types = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
+    got, want = df.toPandas(), rel.df()
     assert compare(got, want) == "OK", compare(got, want)
 
 
