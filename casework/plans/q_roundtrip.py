@@ -63,3 +63,12 @@ def gzip_csv_dictionary(spark, sf):
     dic = R.read_gzip_csv(spark, path, DICTIONARY_SCHEMA, skip_bad_lines=True)
     return DS.enriched(spark, sf, dictionary=dic).select(
         "numero_processo", "juiz", "sexo_juiz", "requerente", "sexo_requerente")
+
+
+@register("case_numbers_csv", with_base("SELECT numero_processo AS numeroProcesso FROM dunion"))
+def case_numbers_csv(spark, sf):
+    """K3 + S5: the selected case-number list written as a one-column CSV
+    and read back as text (leading zeros survive: no type inference)."""
+    path = new_output_path(spark, "case-numbers-csv")
+    W.write_csv(DS.selected_numbers(spark, sf).select("numeroProcesso"), path)
+    return R.read_csv_strings(spark, path, ["numeroProcesso"])
