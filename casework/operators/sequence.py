@@ -22,9 +22,24 @@ from casework.session import scratch_dir
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id above bit 33
 
 
+MAX_RANGE_PARTITIONS = 100_000
+
+
 def _partitions_for(df: DataFrame) -> int:
+    """Range partitions sized from the optimizer's size estimate (no job):
+    about one advisory-size partition each, never fewer than the configured
+    shuffle partitions; an unknown estimate falls back to that setting."""
     spark = df.sparkSession
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    base = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    target = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    target_bytes = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(target))
+    try:
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: keep the setting
+        return base
+    if est >= 1 << 62:
+        return base
+    return int(min(MAX_RANGE_PARTITIONS, max(base, math.ceil(est / max(1, target_bytes)))))
 
 
 def with_sequence(df: DataFrame, order: list[Column], name: str = "seq", start: int = 0,
@@ -40,6 +55,7 @@ def with_sequence(df: DataFrame, order: list[Column], name: str = "seq", start:
     n = num_partitions or _partitions_for(df)
     if materialize:
         df = df.checkpoint(eager=True)
+        n = max(n, _partitions_for(df)) if num_partitions is None else n
     tagged = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
@@ -61,6 +77,3 @@ def with_sequence(df: DataFrame, order: list[Column], name: str = "seq", start:
     )
 
 
-def sequence_partitions_hint(rows: int, rows_per_partition: int = 2_000_000) -> int:
-    """Partition count that keeps each range partition near a target size."""
-    return max(1, math.ceil(rows / rows_per_partition))
