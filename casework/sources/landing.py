@@ -10,6 +10,7 @@ landing is simply redone. Works on any Hadoop file system (local, HDFS, S3A).
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,18 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
 
 
 def land(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """Read the landed table, building it first when no complete copy exists.
+
+    The table is written to a unique temporary path and renamed into place,
+    so concurrent jobs sharing the folder never see or overwrite a partial
+    table; if another job finished first, its copy is kept."""
     path = f"{scratch_dir(spark)}/landed/{name}-{fingerprint(spark, inputs)}"
     if path not in _KNOWN and not exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+        build().write.mode("overwrite").parquet(tmp)
+        src, fs = _fs(spark, tmp)
+        dst, _ = _fs(spark, path)
+        if not fs.exists(dst) and not fs.rename(src, dst) and not exists(spark, f"{path}/_SUCCESS"):
+            raise RuntimeError(f"could not land {name} at {path}")
     _KNOWN.add(path)
     return spark.read.parquet(path)
