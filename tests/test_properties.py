@@ -85,3 +85,31 @@ def test_block_sample_sequence_path_matches_window(spark):
             .select("numero_processo", "tipo_decisao", "hit_pos", "p"))
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_hot_keys_are_combined_and_exact(spark):
+    """One case number holds a third of all hits; one first name a third of people."""
+    from casework.operators import names as NM
+    from casework.sources.fixtures import DICTIONARY_SCHEMA
+
+    n = 30000
+    rows = [(i, "HOT" if i % 3 == 0 else f"{i:020d}", "G1",
+             [(0, "Expedição", None), (1, "Procedência" if i % 2 else "Improcedência", None)])
+            for i in range(n)]
+    cases = spark.createDataFrame(
+        rows, "hit_pos long, numero_processo string, grau string, "
+              "movimentos array<struct<codigo:bigint,nome:string,dataHora:string>>").repartition(16)
+    first = D.first_decision(cases)
+    hot = first.filter(F.col("numero_processo") == "HOT").first()
+    assert (hot.hit_pos, hot.tipo_decisao) == (0, "Improcedência")
+    assert first.count() == 1 + n - n // 3
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan  # combined before the shuffle
+
+    people = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("Maria Souza"))
+                                   .otherwise(F.concat(F.lit("Nome"), F.col("id").cast("string"), F.lit(" X")))
+                                   .alias("nome"))
+    dic = spark.createDataFrame([("Maria", "F", 1)], DICTIONARY_SCHEMA)
+    out = NM.lookup_attribute(people, {"nome": "sexo"}, dic)
+    got = {r.sexo: r.n for r in out.groupBy("sexo").agg(F.count("*").alias("n")).collect()}
+    assert got == {"F": n // 3, "Indefinido": n - n // 3}
