@@ -56,3 +56,44 @@ def test_csv_keeps_leading_zeros_spaces_and_newlines(spark):
     assert back.numero_processo == "00000000000000000012"
     typed = R.read_csv_typed(spark, d, df.schema).first()
     assert (typed.texto, typed.flag) == ("  Ana\nLima", True)
+
+
+def test_user_pipeline_end_to_end(spark):
+    """The stages on user data: responses file -> selection -> pages -> results
+    -> enrichment -> ML table -> analysis."""
+    from casework.plans import pipeline as P
+    from casework.sources.fixtures import DICTIONARY_SCHEMA
+
+    d = tempfile.mkdtemp(prefix="cw-pipe-")
+    dec = {"codigo": 1, "nome": "Procedência", "dataHora": "2025-09-30T12:00:00.000Z"}
+    neg = {"codigo": 2, "nome": "Improcedência", "dataHora": "2025-09-30T18:00:00.000Z"}
+    subj = [{"codigo": 4, "nome": "Acordo de Não Persecução Penal"}]
+    doc = {"hits": {"total": {"value": 3}, "hits": [
+        _hit("00000000000000000001", "G1", [dec], subj),
+        _hit("00000000000000000002", "G1", [neg], subj),
+        _hit("00000000000000000001", "G2", [neg], [{"codigo": 1, "nome": "Dano"}]),
+    ]}}
+    with open(os.path.join(d, "resp.json"), "w", encoding="utf-8") as f:
+        json.dump(doc, f, indent=2, ensure_ascii=False)
+    hits = R.read_search_responses(spark, d, multi_line=True)
+    sel = P.select_cases(hits)
+    assert sorted(r.tipo_decisao for r in sel["union"].collect()) == ["Improcedência", "Procedência"]
+    assert sel["selected_hits"].count() == 3  # both instances of case 1 come back
+
+    page = ('<div id="juizPrimeiraDivTable"><span>Ana Lima</span></div>'
+            '<table id="tablePartesPrincipais"><tr><td>Requerente</td><td>Maria Souza</td></tr></table>'
+            '<table><tr><td>Julgado procedente o pedido. Sentença com fundamentação suficiente para o teste.</td></tr></table>')
+    pages = spark.createDataFrame([("00000000000000000001", page), ("00000000000000000002", None)],
+                                  "numero_processo string, html string")
+    recs = P.pages_to_records(pages)
+    table = P.results_table(recs, sel["union"], sel["numbers"])
+    rows = table.collect()
+    assert [(r.id, r.numero_processo, r.sentenca_favoravel, r.status) for r in rows] == [
+        (1, "00000000000000000001", True, "sucesso")]
+    dic = spark.createDataFrame([("Ana", "F", 1), ("Maria", "F", 1)], DICTIONARY_SCHEMA)
+    enriched = P.enrich(table, dic)
+    ml = P.model_table(hits, sel["union"], enriched).orderBy("id").collect()
+    assert [(r.id, r.sentenca_favoravel, r.sexo_juiz_bin, r.eh_horario_almoco) for r in ml] == [
+        (1, 1, 1, 1), (2, 1, 1, 0)]
+    report = P.analysis(hits)
+    assert report["member"].count() == 2 and report["hours"].count() >= 1
