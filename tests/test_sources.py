@@ -97,3 +97,23 @@ def test_user_pipeline_end_to_end(spark):
         (1, 1, 1, 1), (2, 1, 1, 0)]
     report = P.analysis(hits)
     assert report["member"].count() == 2 and report["hours"].count() >= 1
+
+
+def test_text_sinks_round_trip(spark):
+    """K6/K7: one text value per record; reports keep their inner newlines."""
+    from casework.operators import analytics as AN
+    from casework.plans import datasets as DS
+    from tests.conftest import SF_SMALL
+
+    cases = DS.cases(spark, SF_SMALL)
+    top = AN.top_units_text(AN.top_units(cases, ["municipio", "orgao_julgador"], "codigo"),
+                            ["municipio", "orgao_julgador"])
+    d1 = tempfile.mkdtemp(prefix="cw-txt-")
+    W.write_text(top, "linha", d1 + "/top")
+    lines = {r.value for r in spark.read.text(d1 + "/top").collect()}
+    assert lines == {r.linha for r in top.collect()}
+    report = C.case_report(cases).filter(F.col("hit_pos") < 3)
+    W.write_text(report, "report", d1 + "/report")
+    whole = "".join(r.value for r in spark.read.text(d1 + "/report", wholetext=True).collect())
+    for r in report.collect():
+        assert r.report in whole and r.report.startswith("Autos n. ")
