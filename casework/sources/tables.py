@@ -26,14 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key in _READ:
+        return _READ[key]
+    df = spark.read.parquet(path)
     if name in FACT_KEYS:
         cores = spark.sparkContext.defaultParallelism
         if df._jdf.rdd().getNumPartitions() < cores:
             df = df.repartition(cores, FACT_KEYS[name])
+    _READ[key] = df
     return df
 
 
+# One DataFrame per (session, table path): the file listing and the
+# partition check are done once per session, not once per query.
+_READ: dict[tuple[str, str], DataFrame] = {}
+
+
 class Tables:
     """Lazy accessor: ``Tables(spark, dir).orders``."""
 
