@@ -40,7 +40,14 @@ def main() -> None:
     from casework.plans.registry import load_all
     from casework.session import build_session
 
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        # Stage and task times without any UI: Spark's event log in a fresh scratch folder.
+        import tempfile
+
+        log_dir = tempfile.mkdtemp(prefix="casework-events-")
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus), extra_conf=extra)
     reg = load_all()
     names = sys.argv[1:] or HEADLINE
 
@@ -73,7 +80,8 @@ def main() -> None:
     print(json.dumps({"metric": "headline_total_warm", "value": round(land + sum(warm.values()), 3),
                       "unit": "sec", "queries": {"land_hits": land, **warm},
                       "cold_queries": cold, "cold_total": round(land + sum(cold.values()), 3),
-                      "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus)}))
+                      "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus),
+                      **({"event_log": extra["spark.eventLog.dir"]} if extra else {})}))
     spark.stop()
 
 

@@ -31,7 +31,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app_name: str = "casework") -> SparkSession:
+                  app_name: str = "casework", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Local/test session. On a cluster, use the cluster's builder and call
     :func:`configure` instead."""
     master = master or os.environ.get("CASEWORK_MASTER", "local[8]")
@@ -46,7 +46,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         # Checkpoint files of intermediates are removed once unreferenced.
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**RUNTIME_CONF, **(extra_conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
