@@ -6,8 +6,8 @@ progress is an append-only Parquet table of processed records in a shared
 folder: a rerun reads it, keeps the records of the current list (semi join),
 and works only on the pending keys (anti join). The streaming face reads new
 saved pages from a directory and appends extracted records per micro-batch
-with ``foreachBatch``; its checkpoint makes a restarted query resume, and a
-batch id column makes the append idempotent on replay.
+with ``foreachBatch``; its checkpoint makes a restarted query resume, and
+skipping keys already in the progress table makes a replayed batch add nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ RECORD_SCHEMA = T.StructType([
 def read_progress(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
     """Processed records so far; an absent or unreadable table is empty."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        # Corrupt part files are skipped when read (they surface only at
+        # action time, after this function returns).
+        return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
     except Exception:  # noqa: BLE001 - missing/corrupt progress means "start over"
         return spark.createDataFrame([], schema)
 

@@ -50,3 +50,15 @@ def test_page_stream_appends_each_new_file_once(spark):
     done = read_progress(spark, progress)
     assert done.count() == pages.count()
     assert done.select("numero_processo").distinct().count() == pages.count()
+
+
+def test_progress_missing_or_corrupt_is_empty_or_skipped(spark):
+    base = tempfile.mkdtemp(prefix="cw-prog-")
+    assert read_progress(spark, os.path.join(base, "absent")).count() == 0
+    good = os.path.join(base, "prog")
+    spark.createDataFrame([("1", None, None, "sucesso", None)],
+                          "numero_processo string, juiz string, requerente string, status string, "
+                          "texto_decisao string").write.parquet(good)
+    with open(os.path.join(good, "part-99999-broken.parquet"), "wb") as f:
+        f.write(b"not a parquet file")
+    assert [r.numero_processo for r in read_progress(spark, good).collect()] == ["1"]
