@@ -22,3 +22,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                             public_tokenizers.PATTERN, with_ids=False)
+
+
+@query
+def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casework.llm.histogram_packing import packed_documents
+
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.PATTERN, size=2048, end_id=1)
+
+
+@query
+def op3_matrix_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per segment: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    from casework.llm.matrix_packing import packed_matrix, segment_rows
+
+    return segment_rows(packed_matrix(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                      public_tokenizers.PATTERN, size=2048, end_id=1))
