@@ -39,3 +39,18 @@ def op3_matrix_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return segment_rows(packed_matrix(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                       public_tokenizers.PATTERN, size=2048, end_id=1))
+
+
+@query
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casework.llm.cqf_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+SQL["op7_exact_dedup"] = """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
+), g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)
+"""
