@@ -54,3 +54,57 @@ WITH t AS (
 ), g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)
 """
+
+
+@query
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casework.llm.line_rules import rated
+
+    return rated(table(spark, sf_dir, "documents"), max_documents=100, least_kept=30).drop("removed")
+
+
+SQL["op8_line_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d
+), t AS (
+  SELECT doc_id, i, word, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), r AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, w2, w3) AS n FROM t WHERE w3 IS NOT NULL
+), c AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY doc_id
+), l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d
+), m AS (
+  SELECT doc_id, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM l
+), n AS (
+  SELECT doc_id, source, line, len(words) AS n_words,
+         translate(array_to_string(words, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM m WHERE len(words) > 0
+), f AS (
+  SELECT source, norm FROM n GROUP BY source, norm HAVING count(DISTINCT doc_id) > 100
+), lines AS (
+  SELECT n.doc_id, count(*) - count(DISTINCT n.line) AS n_dup_lines,
+         sum(n.n_words) FILTER (WHERE f.norm IS NOT NULL) AS removed
+  FROM n LEFT JOIN f ON n.norm = f.norm AND n.source IS NOT DISTINCT FROM f.source GROUP BY n.doc_id
+), s AS (
+  SELECT d.doc_id, len(words)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         (len(words) - coalesce(removed, 0))::BIGINT AS words_left
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN lines USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * words_left >= 30 * n_words AS kept, words_left
+FROM s
+"""
+
+
+@query
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casework.llm.rule_ensemble import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
