@@ -108,3 +108,36 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casework.llm.rule_ensemble import scored
 
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casework.llm.minhash_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+SQL["op5_minhash_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 75 * (x.n + y.n - inter)
+), l AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), reach(node, seen) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT l.b, reach.seen FROM reach JOIN l ON l.a = reach.node AND reach.seen < l.b
+), c AS (
+  SELECT node, min(seen) AS component_id FROM (SELECT * FROM reach UNION ALL SELECT a, least(a, b) FROM l) GROUP BY node
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+       coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+"""
