@@ -141,3 +141,10 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_
        coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
 """
+
+
+@query
+def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casework.llm.weak_pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
