@@ -148,3 +148,79 @@ def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casework.llm.weak_pii import personal_data
 
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered turns of the pairs that :func:`exchanged_answers` makes of the conversations."""
+    from casework.llm.preference import exchanged_answers, formatted
+
+    return formatted(*exchanged_answers(table(spark, sf_dir, "conversations")))
+
+
+SQL["op9_preference"] = r"""
+WITH c AS (
+  SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), e AS (
+  SELECT conv_id AS p, max(turn) FILTER (WHERE role = 'assistant') AS answer, max(turn) AS last FROM c GROUP BY conv_id
+), o AS (
+  SELECT c.*, e.answer, coalesce(e.answer, e.last + 1) AS place FROM c JOIN e ON c.conv_id IS NOT DISTINCT FROM e.p
+), r AS (
+  SELECT conv_id, turn, role, text FROM o WHERE turn < place
+  UNION ALL
+  SELECT e.p, coalesce(e.answer, e.last + 1), o.role, o.text FROM o JOIN e ON e.p = xor(o.conv_id, 1)
+  WHERE o.turn = o.answer AND o.role = 'assistant'
+), cs AS (
+  SELECT conv_id, turn, list_sort(list(role || chr(0) || text)) AS s FROM c GROUP BY ALL
+), rs AS (
+  SELECT conv_id, turn, list_sort(list(role || chr(0) || text)) AS s FROM r GROUP BY ALL
+), f AS (
+  SELECT conv_id, min(turn) FILTER (WHERE a IS DISTINCT FROM b) AS first FROM (
+    SELECT coalesce(cs.conv_id, rs.conv_id) AS conv_id, coalesce(cs.turn, rs.turn) AS turn, cs.s AS a, rs.s AS b
+    FROM cs FULL JOIN rs ON cs.conv_id IS NOT DISTINCT FROM rs.conv_id AND cs.turn = rs.turn) GROUP BY conv_id
+), u AS (
+  SELECT c.conv_id, CASE WHEN first IS NULL OR turn < first THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text
+  FROM c JOIN f ON c.conv_id IS NOT DISTINCT FROM f.conv_id
+  UNION ALL
+  SELECT r.conv_id, 'rejected', turn, role, text FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id WHERE turn >= first
+), v AS (
+  SELECT conv_id, part, turn, part <> 'prompt' AND role = 'assistant' AS learned,
+         '<|im_start|>' || replace(role, '<|im_', '<\|im_') || chr(10) AS head, replace(text, '<|im_', '<\|im_') || '<|im_end|>' AS body FROM u
+)
+SELECT conv_id AS pair_id, part, turn, head || body || chr(10) AS rendered,
+       CASE WHEN learned THEN length(head) ELSE 0 END AS train_from, CASE WHEN learned THEN length(head) + length(body) ELSE 0 END AS train_to
+FROM v
+"""
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casework.llm.license_scan import scanned
+
+    return scanned(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def _license_sql() -> str:
+    from casework.llm.license_scan import TEMPLATES
+
+    values = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    return f"""
+WITH t AS (SELECT license, {words.format('text')} AS words FROM (VALUES {values}) AS v(license, text)
+), ts AS (
+  SELECT DISTINCT license, len(words) AS length, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle FROM t
+), n AS (SELECT license, length, count(*) AS n FROM ts GROUP BY ALL
+), d AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS words FROM documents
+), ds AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(words) - 3), lambda i: {{'at': i - 1, 'shingle': array_to_string(words[i:i + 4], ' ')}}), recursive := true) FROM d
+), w AS (
+  SELECT doc_id, license, length, shingle, "at", unnest(range(0, "at" // length + 1)) AS win FROM ds JOIN ts USING (shingle)
+), m AS (
+  SELECT doc_id, license, win, count(DISTINCT shingle) AS common FROM w WHERE "at" <= win * length + 2 * length - 5 GROUP BY ALL
+), x AS (SELECT DISTINCT doc_id, license FROM m JOIN n USING (license) WHERE 100 * common >= 75 * n.n
+), g AS (SELECT doc_id, count(*) AS n_licenses, string_agg(license, ',' ORDER BY license) AS licenses FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+SQL["op10_license_scan"] = _license_sql()
