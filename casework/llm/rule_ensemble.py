@@ -156,3 +156,11 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows:
     model = fitted(docs, labels, max_rows)
     rows = text_statistics(docs).select("doc_id", held_out("doc_id").alias("held_out"), model.score().alias("score"))
     return rows.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that reach the threshold, as they are."""
+    model = fitted(id_and_text(docs, id_col, text_col), labels, max_rows)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return text_statistics(rows).where(model.score() >= threshold).select("row.*")

@@ -1,12 +1,60 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences out.
+
+Each stage works on all rows that the one before kept and applies its operator's decisions;
+all but the last return the columns of documents. A document is known by its doc_id: it stays in
+a deduplication stage if a row of its id stays. Rows with null ids or texts, repeated rows and an
+empty table go through as the operators define.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casework.llm.common import table, written
+from casework.llm.cqf_dedup import exact_groups
+from casework.llm.histogram_packing import packed_documents
+from casework.llm.minhash_dedup import near_groups
+from casework.llm.rule_ensemble import accepted
+from casework.llm.weak_pii import redacted
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble accepts."""
+    return accepted(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def _staying(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    stay = groups.where("kept").select(F.col("doc_id").alias("__stay")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    return _staying(docs, exact_groups(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group, the document with the least id."""
+    return _staying(docs, near_groups(docs))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with tags in place of personal data and secrets."""
+    clean = redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, size=2048, end_id=1)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
 
-STAGES: list = []
+#: The quality stage's fit cannot be said in SQL; the tests hold each stage
+#: against a brute-force version.
 ORACLE_SQL = None
 
 
