@@ -78,7 +78,7 @@ DROPPED_STATUSES = [STATUS_NOT_FOUND, STATUS_ERROR]
 UNKNOWN_SEX = "Indefinido"
 SEX_CODES = {"M": 0, "F": 1, "Indefinido": -1}
 SEX_CODE_DEFAULT = -1
-TRUE_LIKE = ["True", "true", "1"]
+TRUE_TEXT = "True"
 
 # Feature extraction.
 DEFAULT_SUBJECT = "Desconhecido"

@@ -1,8 +1,9 @@
 """Timestamp parsing and calendar expressions.
 
 All results are ``TIMESTAMP_NTZ`` wall clocks; arithmetic on them does not
-depend on the session time zone. Parsing uses ``try_*`` forms so dirty input
-gives null instead of failing the job under ANSI mode.
+depend on the session time zone. Texts are checked by shape first and parsed with
+``try_*`` forms, so dirty input gives null instead of failing the job under
+ANSI mode.
 """
 
 from __future__ import annotations
@@ -12,29 +13,58 @@ from pyspark.sql import functions as F
 
 from casework import constants as K
 
-# A remaining UTC offset at the end of an ISO date-time ("+03:00", "-0300").
-_OFFSET_TAIL = r"T.*[+-]\d\d:?\d\d$"
+# Shapes of the accepted texts. Anything else is null, whatever a lenient
+# cast would make of it.
+_DATE = r"\d{4}-\d{2}-\d{2}"
+_CLOCK = r"\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?"
+_OFFSET = r"([+-]\d{2}(:?\d{2}(:?\d{2})?)?)"
+_NAIVE = rf"^{_DATE}([T ]\d{{2}}(:\d{{2}}(:\d{{2}})?)?)?$"
+_WITH_OFFSET = rf"^{_DATE}([T ]{_CLOCK}{_OFFSET}?)?$"
+_INSTANT = rf"^{_DATE}([T ]\d{{2}}:\d{{2}}(:\d{{2}}(\.\d+)?)?(Z|[+-]\d{{2}}(:?\d{{2}})?)?)?$"
+_ZONE_AT_END = r"T.*(Z|[+-]\d{2}(:?\d{2})?)$"
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _clock(day: Column, hour: Column, minute: Column, second: Column) -> Column:
+    """Wall clock from text parts, null when there is no such day or time."""
+    text = F.concat(day, F.lit("T"), hour, F.lit(":"), minute, F.lit(":"), second)
+    return text.try_cast("timestamp_ntz")
+
+
+def _part(c: Column, at: int) -> Column:
+    """Two digits at ``at``, ``00`` past the end of the text."""
+    return F.when(F.length(c) >= at + 1, F.substring(c, at, 2)).otherwise(F.lit("00"))
+
+
 def parse_compact(c) -> Column:
     """``yyyyMMddHHmmss`` text -> timestamp_ntz, null when it does not parse."""
-    return F.try_to_timestamp(_col(c), F.lit(K.COMPACT_TS_FORMAT)).cast("timestamp_ntz")
+    c = _col(c)
+    day = F.concat(F.substring(c, 1, 4), F.lit("-"), F.substring(c, 5, 2), F.lit("-"), F.substring(c, 7, 2))
+    return F.when(c.rlike(r"^\d{14}$"), _clock(day, F.substring(c, 9, 2), F.substring(c, 11, 2), F.substring(c, 13, 2)))
 
 
 def parse_iso_naive(c) -> Column:
     """ISO text with every ``Z`` removed and cut at the first ``.``; a
     leftover UTC offset is a failure (null), as a naive/aware mix is."""
     x = F.substring_index(F.replace(_col(c), F.lit("Z"), F.lit("")), ".", 1)
-    return F.when(~x.rlike(_OFFSET_TAIL), F.try_to_timestamp(x).cast("timestamp_ntz"))
+    return F.when(x.rlike(_NAIVE), _clock(F.left(x, F.lit(10)), _part(x, 12), _part(x, 15), _part(x, 18)))
 
 
 def parse_instant_utc(c) -> Column:
-    """ISO text with zone (``Z`` or offset) -> UTC wall clock (ntz)."""
-    return F.try_to_timestamp(_col(c)).cast("timestamp_ntz")
+    """ISO text with zone (``Z`` or offset; none means UTC) -> UTC wall clock
+    (ntz). The instant is counted from the epoch, so the session time zone
+    plays no part."""
+    c = _col(c)
+    zoned = F.when(c.rlike(_ZONE_AT_END), c).when(F.length(c) == 10, F.concat(c, F.lit("T00:00:00Z"))).otherwise(F.concat(c, F.lit("Z")))
+    micros = F.unix_micros(F.when(c.rlike(_INSTANT), F.try_to_timestamp(zoned)))
+    # Whole days apart from the rest of the day: no number grows large.
+    day = F.floor(micros / F.lit(86_400_000_000)).cast("int")
+    rest = micros - day.cast("long") * F.lit(86_400_000_000)
+    seconds = (rest.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=day, secs=seconds)
 
 
 def parse_filing_utc(c) -> Column:
@@ -64,10 +94,14 @@ def days_between(start, end) -> Column:
 
 
 def iso_hour(c) -> Column:
-    """Hour as written in an ISO text (its own offset), null when the text
-    is not a valid timestamp."""
-    ok = F.try_to_timestamp(F.replace(_col(c), F.lit("Z"), F.lit("+00:00"))).isNotNull()
-    return F.when(ok, F.substring(_col(c), 12, 2).cast("int"))
+    """Hour as written in an ISO text (its own offset), 0 for a date alone,
+    null when the text is not a valid timestamp."""
+    x = F.replace(_col(c), F.lit("Z"), F.lit("+00:00"))
+    clock = F.regexp_replace(x, f"{_OFFSET}$", "")
+    at = lambda i: _part(clock, i)
+    parsed = _clock(F.left(x, F.lit(10)), F.when(F.length(x) == 10, F.lit("00")).otherwise(at(12)),
+                    F.when(F.length(x) == 10, F.lit("00")).otherwise(at(15)), F.when(F.length(x) == 10, F.lit("00")).otherwise(at(18)))
+    return F.when(x.rlike(_WITH_OFFSET), F.hour(parsed))
 
 
 def format_ts(c, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:

@@ -11,12 +11,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casework import constants as K
 from casework.functions import arrays as A
-from casework.operators.joins import broadcast_if_small
 from casework.operators.sequence import with_sequence
 
 
@@ -103,23 +102,13 @@ def block_sample(union: DataFrame, target: int, block: int = K.BLOCK_SIZE,
     rows are reached (whole blocks). Only the first ``ceil(target/block)``
     strides of each class can be selected.
 
-    A class is a hot group (a few classes hold all rows), so its positions
-    must not be computed in one task. Up to Spark's group-limit threshold the
-    ``row_number() <= limit`` filter makes Spark keep at most ``limit`` rows
-    per class and partition before the shuffle (``WindowGroupLimit``); above
-    it positions come from the range-partitioned global sequence minus each
-    class's first sequence number (a per-class aggregate, broadcast)."""
+    A class is a hot group (a few classes hold all rows), so its positions are
+    not computed in one task: they are the range-partitioned global sequence
+    minus each class's first sequence number (a per-class aggregate)."""
     stride = block + skip
     limit = math.ceil(target / block) * stride
-    threshold = int(union.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if limit <= threshold:
-        w = Window.partitionBy(by).orderBy(F.col(order))
-        ranked = (union.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
-                  .withColumn("p", (F.col("_rn") - 1).cast("int")).drop("_rn"))
-    else:
-        seq = with_sequence(union.select("numero_processo", by, order), [F.col(by), F.col(order)], "_seq")
-        starts = seq.groupBy(by).agg(F.min("_seq").alias("_start"))
-        ranked = (seq.join(broadcast_if_small(starts), by)
-                  .withColumn("p", (F.col("_seq") - F.col("_start")).cast("int"))
-                  .filter(F.col("p") < limit))
+    seq = with_sequence(union.select("numero_processo", by, order), [F.col(by), F.col(order)], "_seq")
+    starts = seq.groupBy(by).agg(F.min("_seq").alias("_start"))
+    ranked = (seq.join(starts, by).withColumn("p", (F.col("_seq") - F.col("_start")).cast("int"))
+              .filter(F.col("p") < limit))
     return ranked.filter((F.col("p") % stride) < block).select("numero_processo", by, order, "p")

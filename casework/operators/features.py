@@ -21,7 +21,6 @@ FEATURE_COLUMNS = [  # order of the feature row
     "tem_obrigacao_fazer", "tem_dano_moral", "assunto_principal", "qtd_movimentos",
     "velocidade_movimentos", "eh_horario_almoco", "complexidade_score", "tem_recurso",
 ]
-VOCABULARY_MAX = 1000
 
 
 def temporal_features(filed_text: Column, updated_text: Column) -> dict[str, Column]:
@@ -96,30 +95,37 @@ def sex_code(c: Column) -> Column:
 
 
 def truthy_code(c: Column) -> Column:
-    """C20: True/"True"/1 -> 1, anything else (incl. null) -> 0."""
-    return F.when(c.cast("string").isin(*K.TRUE_LIKE), F.lit(1)).otherwise(F.lit(0)).cast("int")
+    """C20: True, the text ``True`` and the number 1 -> 1, anything else
+    (other texts, other numbers, null) -> 0."""
+    is_text = F.typeof(c) == "string"
+    yes = F.when(is_text, c.cast("string") == K.TRUE_TEXT).otherwise(c.try_cast("double") == 1)
+    return X.flag(yes).cast("int")
 
 
-def vocabulary(df: DataFrame, col: str, order_col: str, max_size: int = VOCABULARY_MAX) -> list[str]:
-    """Distinct values of ``col`` in first-appearance order (by
-    ``order_col``). A distributed partial aggregate; only the bounded result
-    reaches the driver, and more than ``max_size`` values is an error."""
-    rows = (df.groupBy(col).agg(F.min(order_col).alias("_first"))
-            .orderBy("_first", col).limit(max_size + 1).collect())
-    if len(rows) > max_size:
-        raise ValueError(f"more than {max_size} distinct values in {col}; one-hot refused")
-    return [r[0] for r in rows]
+def vocabulary(df: DataFrame, col: str, order_col: str) -> list[tuple[str, str]]:
+    """(value, column name) of the distinct values of ``col`` in
+    first-appearance order (by ``order_col``): the columns of the wide table,
+    which a reader of that table holds as its schema anyway. Any number of
+    values without a wide schema: :func:`one_hot_long`."""
+    rows = df.groupBy(col).agg(F.min(order_col).alias("_first")).orderBy("_first", col)
+    return [(r[0], r[1]) for r in rows.select(col, X.slug(F.col(col)).alias("_name")).collect()]
 
 
-def one_hot_columns(col: str, values: list[str], existing: list[str],
+def one_hot_long(df: DataFrame, id_col: str, col: str) -> DataFrame:
+    """M8 in rows: ``id_col``, ``feature`` (slug), ``valor`` = 1 for the one
+    feature that is set in each row. Any number of distinct values, no
+    collect, no shuffle; features that are 0 have no row."""
+    return df.where(F.col(col).isNotNull()).select(id_col, X.slug(F.col(col)).alias("feature"), F.lit(1).alias("valor"))
+
+
+def one_hot_columns(col: str, values: list[tuple[str, str]], existing: list[str],
                     on_collision: str = "last") -> dict[str, Column]:
     """M8: name -> 0/1 Column per value, names slugged. A later value with the
     same slug replaces the earlier one (position kept), as does a slug equal
     to an existing column; ``on_collision='error'`` refuses instead."""
     out: dict[str, Column] = {}
     taken = set(existing)
-    for v in values:
-        name = X.slug_py(v)
+    for v, name in values:
         if on_collision == "error" and (name in out or name in taken):
             raise ValueError(f"one-hot name collision: {name}")
         out[name] = (F.col(col) == F.lit(v)).cast("int")
@@ -137,13 +143,23 @@ def ml_base(joined: DataFrame, order_col: str = "hit_pos") -> DataFrame:
         sex_code(F.col("sexo_requerente")).alias("sexo_requerente_bin"))
 
 
-def ml_table(joined: DataFrame, order_col: str = "hit_pos") -> DataFrame:
+def ml_numbered(joined: DataFrame, order_col: str = "hit_pos") -> DataFrame:
+    """The encoded rows numbered 1..N in input order.
+
+    Rows of one hit that a multiplying join made come in the order of their
+    other values, so the numbering is the same each time."""
+    base = ml_base(joined, order_col)
+    rest = F.struct(*[c for c in base.columns if c not in (order_col, "texto_decisao")], F.xxhash64("texto_decisao"))
+    return with_sequence(base, [F.col(order_col), rest], "id", start=1)
+
+
+def ml_table(joined: DataFrame, order_col: str = "hit_pos", values: list[tuple[str, str]] | None = None) -> DataFrame:
     """From feature rows joined to enriched records: keep
     ``sucesso``, encode, one-hot the main subject, drop helpers, number 1..N
-    in input order."""
-    base = ml_base(joined, order_col)
-    numbered = with_sequence(base, [F.col(order_col)], "id", start=1, materialize=True)
-    vocab = vocabulary(numbered, "assunto_principal", "id")
+    in input order. ``values`` (value, column name) are the wide columns;
+    without it they are the subjects found."""
+    numbered = ml_numbered(joined, order_col)
+    vocab = vocabulary(numbered, "assunto_principal", "id") if values is None else values
     fixed = [c for c in numbered.columns if c not in (order_col, "assunto_principal", "id")]
     cols: dict[str, Column] = {"id": F.col("id")}
     cols.update({c: F.col(c) for c in fixed})

@@ -1,27 +1,11 @@
-"""Join helpers: size-checked broadcast, lookup with last-wins dedupe,
-semi/anti membership."""
+"""Join helpers: lookup with last-wins dedupe, semi/anti membership. Whether
+a side is broadcast is left to adaptive execution, which knows its bytes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound (rows) for a side we broadcast explicitly. Beyond it the join is
-# left to AQE, which can still broadcast at runtime from real sizes.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after proving the side has at most ``max_rows`` rows.
-
-    The check is a bounded count (``limit(max_rows + 1)``), so it stops early
-    on big inputs; otherwise the plain DataFrame is returned and the optimizer
-    picks a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def dedupe_last(df: DataFrame, key: str, value_cols: list[str], position: Column | str) -> DataFrame:
     """One row per ``key`` holding the values of the row with the greatest
     ``position`` ("last duplicate wins", like filling a dict in file order).

@@ -2,9 +2,9 @@
 
 The dictionary is pre-aggregated once per upper-cased name (count + the
 value to return), so the lookup is one equi-join per role instead of a scan
-of the dictionary per row. The aggregated side is broadcast only after a
-bounded size check; otherwise a shuffle join with AQE skew handling is used
-(a very common first name is the classic hot key).
+of the dictionary per row. Adaptive execution broadcasts the aggregated side
+if its bytes allow; otherwise a shuffle join with skew handling is used (a
+very common first name is the classic hot key).
 """
 
 from __future__ import annotations
@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from casework import constants as K
 from casework.functions.text import first_name
-from casework.operators.joins import broadcast_if_small
-
-DICTIONARY_MAX_BROADCAST_ROWS = 2_000_000
 
 
 def aggregate_dictionary(dictionary: DataFrame, name_col: str = "first_name",
@@ -43,8 +40,7 @@ def lookup_attribute(df: DataFrame, roles: dict[str, str], dictionary: DataFrame
     """For each ``source_col -> target_col`` in ``roles``: first name of
     ``source_col`` looked up in the dictionary. No first name or no match
     gives ``Indefinido``; ambiguous names follow ``ambiguous``."""
-    agg = broadcast_if_small(aggregate_dictionary(dictionary, name_col, value_col, ambiguous),
-                             DICTIONARY_MAX_BROADCAST_ROWS)
+    agg = aggregate_dictionary(dictionary, name_col, value_col, ambiguous)
     out = df
     for i, (src, dst) in enumerate(roles.items()):
         fn, hit, val = f"_fn{i}", f"_hit{i}", f"_val{i}"

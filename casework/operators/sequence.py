@@ -22,9 +22,6 @@ from casework.session import scratch_dir
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id above bit 33
 
 
-MAX_RANGE_PARTITIONS = 100_000
-
-
 def _partitions_for(df: DataFrame) -> int:
     """Range partitions sized from the optimizer's size estimate (no job):
     about one advisory-size partition each, never fewer than the configured
@@ -39,7 +36,7 @@ def _partitions_for(df: DataFrame) -> int:
         return base
     if est >= 1 << 62:
         return base
-    return int(min(MAX_RANGE_PARTITIONS, max(base, math.ceil(est / max(1, target_bytes)))))
+    return max(base, math.ceil(est / max(1, target_bytes)))
 
 
 def with_sequence(df: DataFrame, order: list[Column], name: str = "seq", start: int = 0,

@@ -12,7 +12,6 @@ from casework.plans import datasets as DS
 from casework.plans.oracle import DECISION_PRED, with_base
 from casework.plans.registry import register
 from casework.plans.sqlfrag import contains_any, q
-from casework.sources.adapter import SUBJECT_BY_TYPE
 
 _FEAT_CTES = {
     "fx": f"""
@@ -66,12 +65,19 @@ mlj AS (
 }
 
 _SEX = "CASE {c} WHEN 'M' THEN 0 WHEN 'F' THEN 1 ELSE -1 END"
-_TRUTHY = "CASE WHEN CAST({c} AS VARCHAR) IN ('True', 'true', '1') THEN 1 ELSE 0 END"
-# Vocabulary present at the checked scale: the adapter's subjects plus the
-# default for hits without subjects (second-instance hits of selected cases).
-_VOCAB = [name for _, _, name in SUBJECT_BY_TYPE] + [K.DEFAULT_SUBJECT]
-_ONE_HOT_SQL = ",\n    ".join(
-    f"CAST(assunto_principal = {q(name)} AS INTEGER) AS {X.slug_py(name)}" for name in _VOCAB)
+_TRUTHY = "CASE WHEN {c} THEN 1 ELSE 0 END"
+# The subjects of the adapter's rule, plus the default for hits without any,
+# with the column names expected for them.
+_VOCAB = {
+    "Obrigação de Fazer / Não Fazer": "eh_obrigacao_de_fazer__nao_fazer",
+    "Indenização por Dano Moral": "eh_indenizacao_por_dano_moral",
+    "Tutela de Urgência": "eh_tutela_de_urgencia",
+    "Fornecimento de Medicamentos - SUS": "eh_fornecimento_de_medicamentos__sus",
+    "Acordo de Não Persecução Penal": "eh_acordo_de_nao_persecucao_penal",
+    "Planos de Saúde (Reajuste)": "eh_planos_de_saude_reajuste",
+    "Desconhecido": "eh_desconhecido",
+}
+_ONE_HOT_SQL = ",\n    ".join(f"CAST(assunto_principal = {q(name)} AS INTEGER) AS {column}" for name, column in _VOCAB.items())
 _ML_COLS = ("dias_desde_ajuizamento, ano_ajuizamento, mes_ajuizamento, eh_segunda, eh_sexta, "
             "municipio_fortaleza, qtd_assuntos, tem_tutela_urgencia, tem_obrigacao_fazer, tem_dano_moral, "
             "qtd_movimentos, velocidade_movimentos, eh_horario_almoco, complexidade_score, tem_recurso")
@@ -158,7 +164,7 @@ def ml_dataset(spark, sf):
 
 
 @register("one_hot_subject", with_base(
-    f"SELECT id, {', '.join(X.slug_py(n) for n in _VOCAB)} FROM ({_ML_SQL})", _FEAT_CTES))
+    f"SELECT id, {', '.join(_VOCAB.values())} FROM ({_ML_SQL})", _FEAT_CTES))
 def one_hot_subject(spark, sf):
     ml = DS.ml_dataset(spark, sf)
     return ml.select("id", *[c for c in ml.columns if c.startswith(K.ONE_HOT_PREFIX)
@@ -173,3 +179,11 @@ def sequential_id(spark, sf):
 
     kept = DS.ml_joined(spark, sf).filter(F.col("status") == K.STATUS_OK)
     return with_sequence(kept.select("numero_processo", "hit_pos"), [F.col("hit_pos")], "id", start=1)
+
+
+# M8 for any number of values: customer names (1,500 at the small scale), one
+# row per set feature.
+@register("one_hot_long", """
+SELECT c_custkey, 'eh_' || lower(c_name) AS feature, 1 AS valor FROM customer""")
+def one_hot_long(spark, sf):
+    return FT.one_hot_long(DS.tables(spark, sf).customer.select("c_custkey", "c_name"), "c_custkey", "c_name")

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casework.operators.joins import broadcast_if_small
 from casework.operators.sequence import with_sequence
 from casework.sources.tables import Tables
 
@@ -52,9 +51,6 @@ SUBJECT_BY_TYPE = [
     ("STANDARD", 5, "Planos de Saúde (Reajuste)"),
 ]
 CAPITAL_NAME = "Fortaleza"
-# Dimension sides (part, customer) are broadcast only up to this many rows;
-# above it they are shuffle-joined.
-DIMENSION_MAX_ROWS = 2_000_000
 NULL_MUNICIPALITY_NATION = 24
 ISO_MS_Z = "yyyy-MM-dd'T'HH:mm:ss'.000Z'"
 COMPACT = "yyyyMMddHHmmss"
@@ -96,7 +92,7 @@ def _movements(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                            "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
                            "l_linestatus", "l_shipdate")
-    part = broadcast_if_small(t.part.select("p_partkey", "p_type"), DIMENSION_MAX_ROWS)
+    part = t.part.select("p_partkey", "p_type")
     li = li.join(part, li.l_partkey == part.p_partkey, "left")
     # Collect the total-order key plus p_type only; everything else is
     # derived from those fields after the (native) sort.
@@ -138,9 +134,9 @@ def hit_positions(t: Tables) -> DataFrame:
 
 def build_hits(t: Tables, positions: bool = True) -> DataFrame:
     """One row per hit with the nested shape of a search document."""
-    nation = broadcast_if_small(t.nation.select("n_nationkey", "n_name"), 10_000)
-    cust = broadcast_if_small(t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").join(
-        nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"), DIMENSION_MAX_ROWS)
+    nation = t.nation.select("n_nationkey", "n_name")
+    cust = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").join(
+        nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
                              "o_orderpriority")
     o = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
