@@ -2,9 +2,10 @@
 scratch folder, and read it from there afterwards.
 
 The key is a fingerprint of the inputs (path, size, modification time), so a
-changed input lands a new table. The ``_SUCCESS`` marker written by the
-Parquet committer decides whether a landed table is complete; an interrupted
-landing is simply redone. Works on any Hadoop file system (local, HDFS, S3A).
+changed input lands a new table. Every landing writes to a path of its own and, when
+all is written, publishes a small pointer file that names it. Readers follow
+pointers only, so an interrupted landing is never read and simply done again,
+and two jobs that land the same table do not meet. Nothing is renamed.
 """
 
 from __future__ import annotations
@@ -17,20 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casework.session import scratch_dir
 
-_KNOWN: set[str] = set()
-
-
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     h = hashlib.sha1()
     for path in paths:
@@ -41,19 +34,25 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return h.hexdigest()[:16]
 
 
+def _published(spark: SparkSession, folder: str) -> str | None:
+    """The landed table that the first pointer names, if there is one."""
+    p, fs = _fs(spark, f"{folder}/pointers")
+    if not fs.exists(p):
+        return None
+    names = sorted(status.getPath().getName() for status in fs.listStatus(p))
+    return f"{folder}/{names[0]}" if names else None
+
+
 def land(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the landed table, building it first when no complete copy exists.
-
-    The table is written to a unique temporary path and renamed into place,
-    so concurrent jobs sharing the folder never see or overwrite a partial
-    table; if another job finished first, its copy is kept."""
-    path = f"{scratch_dir(spark)}/landed/{name}-{fingerprint(spark, inputs)}"
-    if path not in _KNOWN and not exists(spark, f"{path}/_SUCCESS"):
-        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
-        build().write.mode("overwrite").parquet(tmp)
-        src, fs = _fs(spark, tmp)
-        dst, _ = _fs(spark, path)
-        if not fs.exists(dst) and not fs.rename(src, dst) and not exists(spark, f"{path}/_SUCCESS"):
-            raise RuntimeError(f"could not land {name} at {path}")
-    _KNOWN.add(path)
+    """Read the landed table, building it first when none is published. If
+    two jobs publish one each, both are whole and every reader takes the
+    same."""
+    folder = f"{scratch_dir(spark)}/landed/{name}-{fingerprint(spark, inputs)}"
+    path = _published(spark, folder)
+    if path is None:
+        version = uuid.uuid4().hex
+        build().write.mode("errorifexists").parquet(f"{folder}/{version}")
+        pointer, fs = _fs(spark, f"{folder}/pointers/{version}")
+        fs.create(pointer, False).close()
+        path = _published(spark, folder)
     return spark.read.parquet(path)

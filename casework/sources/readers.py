@@ -1,15 +1,18 @@
 """Readers with explicit schemas.
 
 No schema inference anywhere: case numbers are text with leading zeros and
-must never be typed as numbers by a reader.
+must never be typed as numbers by a reader. Values are read as text and cast
+one by one, so an odd value is null (or, in a subject list, its own element)
+and takes no neighbour along; a document that is not JSON stops the job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casework.operators.sequence import with_sequence
 from casework.sources.adapter import MOVEMENT_TYPE, SUBJECT_TYPE
 
 SOURCE_TYPE = T.StructType([
@@ -30,58 +33,105 @@ HIT_TYPE = T.StructType([
     T.StructField("_source", SOURCE_TYPE),
     T.StructField("sort", T.ArrayType(T.LongType())),
 ])
-RESPONSE_SCHEMA = T.StructType([
-    T.StructField("hits", T.StructType([
-        T.StructField("total", T.StructType([T.StructField("value", T.LongType())])),
-        T.StructField("hits", T.ArrayType(HIT_TYPE)),
-    ])),
-])
 SOURCE_FIELDS = [f.name for f in SOURCE_TYPE.fields]
 
 
-def read_search_responses(spark: SparkSession, path: str, multi_line: bool = False,
-                          page_size: int = 10000) -> DataFrame:
+def _loose(kind: T.DataType) -> T.DataType:
+    """The type a document is read with: every scalar as text, and the
+    elements of lists as their own JSON text."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _loose(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(T.StringType())
+    return T.StringType()
+
+
+def _element(text: Column, kind: T.DataType) -> Column:
+    """A list element from its JSON text. One that is not an object becomes an
+    object without values but for the name, which is empty (P4)."""
+    if not isinstance(kind, T.StructType):
+        return text.try_cast(kind)
+    is_object = F.coalesce(F.ltrim(text).startswith("{"), F.lit(False))
+    value = lambda f: F.get_json_object(text, f"$.{f.name}").try_cast(f.dataType)
+    other = lambda f: F.lit("" if f.name == "nome" else None).cast(f.dataType)
+    return F.struct(*[F.when(is_object, value(f)).otherwise(other(f)).alias(f.name) for f in kind.fields])
+
+
+def _strict(c: Column, kind: T.DataType) -> Column:
+    """A loosely read value with its proper type."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_strict(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _element(x, kind.elementType))
+    return c.try_cast(kind)
+
+
+def _hit_columns(hit: Column) -> list[Column]:
+    source = hit["_source"]
+    return [*[_strict(source[f.name], f.dataType).alias(f.name) for f in SOURCE_TYPE.fields],
+            _strict(hit["sort"], T.ArrayType(T.LongType())).alias("sort")]
+
+
+def read_search_responses(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """S3: search responses (``{hits: {total, hits: [...]}}``) -> one row per
-    hit with ``hit_pos`` = page * page_size + position. Pretty-printed
-    documents need ``multi_line`` (one task per file: land them once as
-    Parquet); one response per line splits normally."""
-    schema = T.StructType(RESPONSE_SCHEMA.fields + [T.StructField("pagina", T.LongType())])
-    reader = spark.read.schema(schema)
-    if multi_line:
-        reader = reader.option("multiLine", True)
-    raw = reader.json(path)
-    page = F.coalesce(F.col("pagina"), F.lit(0))
-    exploded = raw.select(page.alias("pagina"), F.posexplode("hits.hits").alias("pos", "hit"))
-    return exploded.select(
-        (F.col("pagina") * page_size + F.col("pos")).alias("hit_pos"),
-        *[F.col("hit._source")[c].alias(c) for c in SOURCE_FIELDS],
-        F.col("hit.sort").alias("sort"))
+    hit. ``hit_pos`` numbers the hits 0..N-1 by the document's own ``pagina``
+    where it has one, then by file path, place in the file and place in the
+    document.
+    A document that does not parse is an error. Pretty-printed documents need
+    ``multi_line`` (one task per file: land them once as Parquet); one
+    response per line splits normally."""
+    hits = T.ArrayType(_loose(HIT_TYPE))
+    schema = T.StructType([T.StructField("hits", T.StructType([T.StructField("hits", hits)])), T.StructField("pagina", T.StringType())])
+    raw = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+    order = ["_page", "_file", "_block", "_line", "_pos"]
+    rows = raw.select(F.col("_metadata.file_path").alias("_file"), F.coalesce(F.col("pagina").try_cast("long"), F.lit(0)).alias("_page"),
+                      F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"),
+                      F.posexplode("hits.hits").alias("_pos", "_hit"))
+    numbered = with_sequence(rows.select(*order, *_hit_columns(F.col("_hit"))), [F.col(c) for c in order], "hit_pos")
+    return numbered.select("hit_pos", *SOURCE_FIELDS, "sort")
 
 
 def read_hits_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Hits as JSON Lines (``{hit_pos, _source, sort}`` per line)."""
-    schema = T.StructType([T.StructField("hit_pos", T.LongType())] + HIT_TYPE.fields)
-    raw = spark.read.schema(schema).json(path)
-    return raw.select("hit_pos", *[F.col("_source")[c].alias(c) for c in SOURCE_FIELDS], "sort")
+    schema = T.StructType([T.StructField("hit_pos", T.LongType())] + _loose(HIT_TYPE).fields)
+    raw = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return raw.select("hit_pos", *_hit_columns(F.struct("_source", "sort")))
+
+
+def _csv_texts(spark: SparkSession, path: str, extra: str | None = None) -> DataFrame:
+    """Every column of a header CSV as text, by the header's names. Cells may
+    hold separators, doubled quotes and newlines. ``extra`` takes a field
+    beyond the header's last."""
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+    names = spark.read.options(**options).csv(path).columns
+    fields = [T.StructField(c, T.StringType()) for c in [*names, *([extra] if extra else [])]]
+    return spark.read.schema(T.StructType(fields)).options(**options).csv(path)
+
+
+def _named(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The schema's columns by name; null where the file has none or the text does not cast."""
+    value = lambda f: F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
+    return df.select(*[value(f).alias(f.name) for f in schema.fields])
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Header CSV read as text columns (like ``csv.DictReader``)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Header CSV read as text columns by name (like ``csv.DictReader``)."""
+    return _named(_csv_texts(spark, path), T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Typed CSV whose text cells may hold newlines and quotes."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').csv(path))
+    """Typed CSV by column name; cells may hold newlines and quotes."""
+    return _named(_csv_texts(spark, path), schema)
 
 
 def read_gzip_csv(spark: SparkSession, path: str, schema: T.StructType,
                   skip_bad_lines: bool = False) -> DataFrame:
-    """Gzip CSV (decompressed natively; one task per file since gzip does
-    not split). ``skip_bad_lines`` drops malformed rows."""
-    reader = spark.read.schema(schema).option("header", True)
-    if skip_bad_lines:
-        reader = reader.option("mode", "DROPMALFORMED")
-    return reader.csv(path)
+    """Gzip CSV by column name (decompressed natively; one task per file
+    since gzip does not split). A row with more fields than the header is
+    dropped with ``skip_bad_lines``, else an error; short rows and odd values are kept
+    with nulls. Which columns are read changes no row."""
+    rows = _csv_texts(spark, path, "_extra")
+    fits = F.col("_extra").isNull()
+    if not skip_bad_lines:
+        fits = F.when(fits, True).otherwise(F.raise_error(F.lit("a row has more fields than the header")).cast("boolean"))
+    return _named(rows.where(fits), schema)

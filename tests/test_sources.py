@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casework.functions import arrays as A
 from casework.operators import cases as C
@@ -40,8 +43,8 @@ def test_pretty_printed_response_multiline(spark):
     assert [c.hit_pos for c in cases] == [0, 1]
     assert cases[1].movimentos == []          # missing list -> empty (P2)
     assert cases[0].municipio == 2304400 and cases[0].sort == 1759233600000
-    # A typed reader nulls a subject list holding a non-object; the raw text keeps the rest.
-    assert cases[1].assuntos is None
+    # A subject that is not an object has an empty name; the others stay.
+    assert [(s.codigo, s.nome) for s in cases[1].assuntos] == [(1, "Dano"), (None, "")]
     raw = spark.read.text(d, wholetext=True).select(
         F.get_json_object("value", "$.hits.hits[1]._source.assuntos").alias("raw"))
     assert raw.select(A.subject_names_from_json("raw").alias("n")).first().n == ["Dano", ""]
@@ -117,3 +120,69 @@ def test_text_sinks_round_trip(spark):
     whole = "".join(r.value for r in spark.read.text(d1 + "/report", wholetext=True).collect())
     for r in report.collect():
         assert r.report in whole and r.report.startswith("Autos n. ")
+
+
+def _response(path, name, numbers, indent=None):
+    doc = {"hits": {"total": {"value": len(numbers)}, "hits": [_hit(n, "G1", [], []) for n in numbers]}}
+    with open(os.path.join(path, name), "w", encoding="utf-8") as f:
+        json.dump(doc, f, indent=indent)
+
+
+def test_positions_are_unique_over_files(spark):
+    d = tempfile.mkdtemp(prefix="cw-json-")
+    _response(d, "a.json", ["1", "2", "3"], 1)
+    _response(d, "b.json", ["4", "5"], 1)
+    hits = R.read_search_responses(spark, d, multi_line=True).orderBy("hit_pos").collect()
+    assert [(h.hit_pos, h.numeroProcesso) for h in hits] == [(0, "1"), (1, "2"), (2, "3"), (3, "4"), (4, "5")]
+
+
+def test_a_truncated_response_is_an_error(spark):
+    d = tempfile.mkdtemp(prefix="cw-json-")
+    _response(d, "a.json", ["1"])
+    with open(os.path.join(d, "b.json"), "w") as f:
+        f.write('{"hits": {"hits": [{"_source": {"numeroProcesso": "2"')
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        R.read_search_responses(spark, d).count()
+
+
+def test_odd_values_take_no_neighbour_along(spark):
+    d = tempfile.mkdtemp(prefix="cw-json-")
+    hit = _hit("1", "G1", [{"codigo": "x", "nome": "Procedência", "dataHora": 5}, None], ["text", {"codigo": 2, "nome": "Dano"}, None])
+    hit["_source"]["classe"]["codigo"] = "not a number"
+    with open(os.path.join(d, "a.json"), "w") as f:
+        json.dump({"hits": {"hits": [hit]}}, f)
+    row = R.read_search_responses(spark, d).first()
+    assert row.classe.codigo is None and row.classe.nome == "Classe"
+    assert [(m.codigo, m.nome, m.dataHora) for m in row.movimentos] == [(None, "Procedência", "5"), (None, "", None)]
+    assert [(s.codigo, s.nome) for s in row.assuntos] == [(None, ""), (2, "Dano"), (None, "")]
+
+
+def test_csv_cells_with_quotes_and_newlines_by_name(spark):
+    d = tempfile.mkdtemp(prefix="cw-csv-")
+    with open(os.path.join(d, "a.csv"), "w", encoding="utf-8") as f:
+        f.write('texto,numeroProcesso\n"a ""b"", c",01\n"two\nlines",02\nshort\n')
+    rows = R.read_csv_strings(spark, d, ["numeroProcesso", "texto", "absent"]).collect()
+    assert [(r.numeroProcesso, r.texto, r.absent) for r in rows] == [("01", 'a "b", c', None), ("02", "two\nlines", None), (None, "short", None)]
+
+
+def test_dictionary_by_name_whatever_is_selected(spark):
+    d = tempfile.mkdtemp(prefix="cw-gz-")
+    with gzip.open(os.path.join(d, "names.csv.gz"), "wt", encoding="utf-8") as f:
+        f.write("classification,first_name,frequency_total\nF,Ana,3000\nM,Bruno\nF,Clara,many\nM,Davi,5,extra\n")
+    schema = "first_name string, classification string, frequency_total long"
+    read = lambda skip: R.read_gzip_csv(spark, d, T._parse_datatype_string(schema), skip_bad_lines=skip)
+    assert [tuple(r) for r in read(True).collect()] == [("Ana", "F", 3000), ("Bruno", "M", None), ("Clara", "F", None)]
+    assert read(True).select("classification").count() == read(True).select("frequency_total").count() == 3
+    with pytest.raises(Exception, match="more fields"):
+        read(False).collect()
+
+
+def test_an_unfinished_landing_is_never_read(spark):
+    from casework.session import scratch_dir
+    from casework.sources.landing import fingerprint, land
+
+    source = tempfile.mkdtemp(prefix="cw-land-")
+    folder = f"{scratch_dir(spark)}/landed/t-{fingerprint(spark, [source])}"
+    spark.range(1).write.parquet(f"{folder}/unfinished")
+    assert land(spark, "t", [source], lambda: spark.range(100)).count() == 100
+    assert land(spark, "t", [source], lambda: spark.range(7)).count() == 100
