@@ -111,6 +111,3 @@ REPORT_SEPARATOR = "\n----------------------------------------------------------
 # Block sample (tutorial): take 20, skip 60.
 BLOCK_SIZE = 20
 BLOCK_SKIP = 60
-
-# Progress checkpoint interval of the collector.
-CHECKPOINT_EVERY = 15

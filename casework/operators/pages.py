@@ -1,10 +1,11 @@
 """Field extraction from saved case pages.
 
 The original drives a browser page by page; the data work is reading a few
-fields out of each page. Here a page is a row ``(key, html)`` and every step
-is a built-in Column expression (regex extract, higher-order functions on the
-list of table cells), so extraction is one narrow stage over any number of
-pages: no Python worker, no shuffle.
+fields out of each page. Here a page is a row ``(key, html)``. Elements, rows
+and nested tables need a parser, so one narrow stage over Arrow batches reads
+each page once with the standard library's HTML parser and returns the few fields
+it holds; the name patterns over the raw page and all rules on the fields are
+column expressions. Nothing is shuffled.
 
 Java regexes recurse on repeated groups; the judge patterns are evaluated in
 their possessive form (same matches, nothing follows the repeated group and
@@ -14,15 +15,131 @@ overflowing the stack.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casework import constants as K
 from casework.functions import text as X
 
-CELL_RE = r"(?is)<td\b[^>]*>(.*?)</td>"
+# Elements without content, and those whose text nobody sees.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+UNSEEN = frozenset(("script", "style", "template", "noscript"))
+# Elements that stand on lines of their own.
+BLOCKS = frozenset("address article div dl dd dt fieldset form h1 h2 h3 h4 h5 h6 hr li ol p section table tbody td th thead tr ul br".split())
+
+
+class _Cell:
+    """A table cell: its text, the cell after it in its row, and whether it
+    lies in the table of parties."""
+
+    def __init__(self, parties: bool):
+        self.text: list[str] = []
+        self.follows: _Cell | None = None
+        self.parties = parties
+
+
+class _Element:
+    """An open element; ``text`` gathers what is seen inside."""
+
+    def __init__(self, tag: str, ident: str | None):
+        self.tag, self.ident = tag, ident
+        self.text: list[str] = []
+        self.last_cell: _Cell | None = None
+
+
+class CasePage(HTMLParser):
+    """One pass over a page: its text, the judge's span, and its table cells
+    in the order they begin."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = _Element("", None)
+        self.open = [self.root]
+        self.judge: list[str] | None = None
+        self.cells: list[_Cell] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("tr", "td", "th"):
+            # A cell or row that was not closed ends where the next begins.
+            self._close(("td", "th") if tag != "tr" else ("td", "th", "tr"), "table", every=True)
+        if tag in BLOCKS:
+            self.handle_data("\n")
+        if tag in VOID:
+            return
+        e = _Element(tag, dict(attrs).get("id"))
+        idents = [x.ident for x in self.open]
+        if tag == "td":
+            cell = _Cell(K.PARTIES_TABLE_ID in idents)
+            row = next((x for x in reversed(self.open) if x.tag in ("tr", "table")), self.root)
+            if row.last_cell is not None:
+                row.last_cell.follows = cell
+            row.last_cell = cell
+            self.cells.append(cell)
+            e.text = cell.text
+        if tag == "span" and self.judge is None and K.JUDGE_ELEMENT_ID in idents:
+            self.judge = e.text
+        self.open.append(e)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        self._close((tag,), "table" if tag in ("td", "th", "tr") else None)
+
+    def handle_data(self, data: str) -> None:
+        if not any(e.tag in UNSEEN for e in self.open):
+            for e in self.open:
+                e.text.append(data)
+
+    def _close(self, tags: tuple[str, ...], within: str | None, every: bool = False) -> None:
+        """End the innermost open element of ``tags`` (or all of them) and what
+        is open inside it; elements outside ``within`` are left alone."""
+        at = None
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in tags:
+                at = i
+                if not every:
+                    break
+            elif self.open[i].tag == within:
+                break
+        if at is not None:
+            del self.open[at:]
+
+
+def _follows(cells: list[_Cell]) -> str | None:
+    """Text of the cell after the first cell of the parties table that
+    contains a label and has one after it, labels tried in order."""
+    for label in K.CLAIMANT_LABELS:
+        for cell in cells:
+            if cell.parties and cell.follows is not None and label.lower() in " ".join("".join(cell.text).split()).lower():
+                return "".join(cell.follows.text)
+    return None
+
+
+def _decision(cells: list[_Cell]) -> str | None:
+    """The first cell with a term, if it is long enough, terms in order."""
+    texts = ["".join(c.text).strip() for c in cells]
+    for term in K.DECISION_TEXT_TERMS:
+        first = next((t for t in texts if term.lower() in t.lower()), "")
+        if len(first) > K.DECISION_TEXT_MIN_CHARS:
+            return first
+    return None
+
+
+def page_values(html: str | None) -> tuple[bool | None, str, str | None, str | None]:
+    """not found, judge's element ('' without), claimant's cell, decision text."""
+    if html is None:
+        return None, "", None, None
+    page = CasePage()
+    page.feed(html)
+    page.close()
+    text = " ".join("".join(page.root.text).split()).lower()
+    return K.NOT_FOUND_MARKER.lower() in text, "".join(page.judge or ()).strip(), _follows(page.cells), _decision(page.cells)
 
 
 def possessive(pattern: str) -> str:
@@ -36,25 +153,19 @@ def spark_pattern(pattern: str) -> str:
     return "(?iU)" + possessive(pattern)
 
 
-def element_text(html: Column, element_id: str, inner_tag: str) -> Column:
-    """Text of the first ``inner_tag`` inside the element with ``element_id``
-    (ids are case-sensitive, so a plain substring test guards the regex)."""
-    raw = F.regexp_extract(html, rf'(?is)<[a-z0-9]+\b[^>]*\bid="{element_id}"[^>]*>.*?<{inner_tag}\b[^>]*>(.*?)</{inner_tag}>', 1)
-    return F.when(html.contains(element_id), X.strip_ws(X.html_text(raw))).otherwise(F.lit(""))
+def with_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
+    """``df`` with _missing, _primary, _req and _texto read from the page."""
+    fields = T.StructType([T.StructField("_missing", T.BooleanType()), *[T.StructField(c, T.StringType()) for c in ("_primary", "_req", "_texto")]])
+    schema = T.StructType(df.schema.fields + fields.fields)
+    at = df.columns.index(html_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [page_values(html) for html in batch.column(at).to_pylist()]
+            new = [pa.array([r[i] for r in rows], pa.string() if i else pa.bool_()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *fields.names])
 
-def page_text(html: Column) -> Column:
-    return X.html_text(html)
-
-
-def not_found(html: Column) -> Column:
-    """The page text says there is no such case (ignore case). The full
-    text is built only for pages whose markup contains the marker's last
-    word (assumes that word is not split by a tag)."""
-    last_word = K.NOT_FOUND_MARKER.split()[-1]
-    maybe = html.rlike("(?iu)" + re.escape(last_word))
-    return F.when(maybe, F.lower(page_text(html)).contains(K.NOT_FOUND_MARKER.lower())).otherwise(
-        F.when(html.isNotNull(), F.lit(False)))
+    return df.mapInArrow(run, schema)
 
 
 def _stage(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
@@ -66,100 +177,38 @@ def _stage(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
 
 
 def with_judge(df: DataFrame, html_col: str = "html", out: str = "juiz",
-               primary_first: bool = True) -> DataFrame:
-    """X2 then X3: primary element text, else the pattern cascade. Per
-    pattern only its first match is tried; a candidate failing the name
-    validator (F7) passes to the next pattern."""
+               primary_col: str | None = None) -> DataFrame:
+    """X2 then X3: the judge's element, else the pattern cascade over the raw
+    page. Per pattern only its first match is tried; a candidate failing the
+    name validator (F7) passes to the next pattern."""
     html = F.col(html_col)
-    if primary_first:
-        df = _stage(df, {"_primary": element_text(html, K.JUDGE_ELEMENT_ID, "span")})
-        need = F.col("_primary") == F.lit("")
-    else:
-        need = F.lit(True)
+    need = F.lit(True) if primary_col is None else F.col(primary_col) == F.lit("")
     cands = {f"_cand{i}": F.when(need, X.strip_ws(F.regexp_extract(html, spark_pattern(p), 1)))
              for i, p in enumerate(K.JUDGE_PATTERNS)}
     df = _stage(df, cands)
     chosen = F.coalesce(*[F.when(X.valid_judge_name(F.col(c)), F.col(c)) for c in cands])
-    if primary_first:
-        chosen = F.coalesce(F.nullif(F.col("_primary"), F.lit("")), chosen)
-    return df.withColumn(out, chosen).drop(*cands, *(["_primary"] if primary_first else []))
-
-
-def with_labelled_cell(df: DataFrame, html_col: str, table_id: str, labels: list[str],
-                       out: str) -> DataFrame:
-    """Within the table, the cell after the first cell whose text contains
-    a label (ignore case), labels tried in order; its first line, trimmed.
-    A present but empty cell ends the search with an empty value."""
-    df = _stage(df, {"_cells": table_cells(F.col(html_col), table_id)})
-    df = _stage(df, {"_idx": indexed_cell_texts(F.col("_cells"))})
-    hits = {f"_hit{i}": F.get(F.filter(F.col("_idx"), _text_has("t", lab.lower())), 0)["i"]
-            for i, lab in enumerate(labels)}
-    df = _stage(df, hits)
-    vals = [F.when(F.col(h).isNotNull(),
-                   X.first_line(X.html_text(F.coalesce(F.get(F.col("_cells"), F.col(h) + 1), F.lit("")))))
-            for h in hits]
-    return df.withColumn(out, F.coalesce(*vals)).drop("_cells", "_idx", *hits)
-
-
-def with_decision_text(df: DataFrame, html_col: str, out: str,
-                       terms: list[str] = K.DECISION_TEXT_TERMS,
-                       min_chars: int = K.DECISION_TEXT_MIN_CHARS) -> DataFrame:
-    """Terms in priority order; the first cell containing the term (ignore
-    case) is taken when its trimmed text is longer than ``min_chars``,
-    otherwise the next term is tried."""
-    df = _stage(df, {"_texts": cell_texts(F.col(html_col))})
-    df = _stage(df, {"_lower": F.transform("_texts", F.lower)})
-    firsts = {f"_first{i}": F.get(F.col("_texts"), F.array_position(
-        F.transform("_lower", _has(t.lower())), F.lit(True)).cast("int") - 1)
-        for i, t in enumerate(terms)}
-    df = _stage(df, firsts)
-    value = F.coalesce(*[F.when(F.length(F.col(c)) > min_chars, F.col(c)) for c in firsts])
-    return df.withColumn(out, value).drop("_texts", "_lower", *firsts)
-
-
-def _has(needle: str):
-    return lambda t: t.contains(F.lit(needle))
-
+    if primary_col is not None:
+        chosen = F.coalesce(F.nullif(F.col(primary_col), F.lit("")), chosen)
+    return df.withColumn(out, chosen).drop(*cands)
 
-def _text_has(field: str, needle: str):
-    # One-argument lambdas only: Spark treats a second parameter as the index.
-    return lambda s: s[field].contains(F.lit(needle))
 
-
-def _cells(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(CELL_RE), 1)
-
-
-def table_cells(html: Column, table_id: str) -> Column:
-    table = F.regexp_extract(html, rf'(?is)<table\b[^>]*\bid="{table_id}"[^>]*>(.*?)</table>', 1)
-    return F.when(html.contains(table_id), _cells(table)).otherwise(F.array().cast("array<string>"))
-
-
-def indexed_cell_texts(cells: Column) -> Column:
-    """[(position, lower-cased text)] of a list of raw cells."""
-    return F.transform(cells, lambda c, i: F.struct(i.alias("i"), F.lower(X.html_text(c)).alias("t")))
-
-
-def cell_texts(html: Column) -> Column:
-    return F.transform(_cells(html), lambda c: X.strip_ws(X.html_text(c)))
+def judge_element(pages: DataFrame, key: str = "numero_processo", html_col: str = "html") -> DataFrame:
+    """X2 alone: the text of the first span in the judge's element, null without."""
+    return with_fields(pages.select(key, html_col), html_col).select(key, F.nullif("_primary", F.lit("")).alias("juiz"))
 
 
 def extract(pages: DataFrame, key: str = "numero_processo", html_col: str = "html") -> DataFrame:
     """One record per page: judge, claimant, status, decision text.
-    One narrow stage of staged projections (no shuffle, no Python)."""
-    html = F.col(html_col)
-    df = pages.select(key, html.alias("_html"))
-    df = _stage(df, {"_missing": not_found(F.col("_html"))})
-    df = with_judge(df, "_html", "_juiz")
-    df = with_labelled_cell(df, "_html", K.PARTIES_TABLE_ID, K.CLAIMANT_LABELS, "_req")
-    juiz, req = F.col("_juiz"), F.col("_req")
+    One narrow stage (no shuffle)."""
+    df = with_fields(pages.select(key, F.col(html_col).alias("_html")), "_html")
+    df = with_judge(df, "_html", "_juiz", "_primary")
+    juiz, req = F.col("_juiz"), X.first_line("_req")
     complete = (F.coalesce(F.length(juiz), F.lit(0)) > 0) & (F.coalesce(F.length(req), F.lit(0)) > 0)
     status = (F.when(F.col("_html").isNull(), F.lit(K.STATUS_ERROR))
               .when(F.col("_missing"), F.lit(K.STATUS_NOT_FOUND))
               .when(complete, F.lit(K.STATUS_OK)).otherwise(F.lit(K.STATUS_INCOMPLETE)))
     df = _stage(df, {"status": status})
     found = ~F.col("status").isin(K.STATUS_ERROR, K.STATUS_NOT_FOUND)
-    df = with_decision_text(df.withColumn("_html", F.when(found, F.col("_html"))), "_html", "_texto")
     return df.select(
         key,
         F.when(found, juiz).alias("juiz"),

@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casework.operators.joins import anti, semi
+from casework.operators import pages as PG
+from casework.operators.joins import anti, dedupe_last, semi
 from casework.plans import datasets as DS
 from casework.plans.oracle import with_base
 from casework.plans.q_features import _FEAT_CTES
+from casework.plans.q_pages import _PAGES_CTES
 from casework.plans.registry import register
-from casework.sources.fixtures import collected_records
-from casework.streaming.incremental import run_counts
+from casework.session import new_output_path
+from casework.sources.fixtures import case_pages, collected_records
+from casework.streaming.incremental import plan_run, read_progress, run_counts, run_incremental, store_batch
 
 # Previous partial run of the collector: every other block of ten orders.
 _CACHE_SQL = "SELECT * FROM res WHERE (o_orderkey // 10) % 2 = 0"
 
 
-def _cache(spark, sf):
+def _progress_path(spark, sf) -> str:
+    """A progress table as that run left it: two batches, the second of which
+    stores some keys again."""
     recs = collected_records(DS.tables(spark, sf))
-    return recs.filter(((F.col("o_orderkey") / 10).cast("long") % 2) == 0)
+    done = recs.filter(((F.col("o_orderkey") / 10).cast("long") % 2) == 0)
+    path = new_output_path(spark, "progress")
+    store_batch(done, path, "0")
+    store_batch(done.where(F.col("o_orderkey") % 3 == 0), path, "1")
+    return path
+
+
+def _cache(spark, sf):
+    return read_progress(spark, _progress_path(spark, sf))
 
 
 @register("join_inner", with_base("""
@@ -72,3 +85,42 @@ def name_lookup(spark, sf):
 def name_lookup_mode(spark, sf):
     return DS.enriched(spark, sf, ambiguous="mode").select(
         "numero_processo", "juiz", "sexo_juiz", "requerente", "sexo_requerente")
+
+
+@register("progress_kept", with_base(f"""
+SELECT numero_processo, juiz, requerente, status, texto_decisao FROM ({_CACHE_SQL})
+WHERE numero_processo IN (SELECT numero_processo FROM dunion)"""))
+def progress_kept(spark, sf):
+    """The stored records of the listed keys, each once."""
+    return plan_run(DS.union(spark, sf).select("numero_processo"), _cache(spark, sf))["kept"]
+
+
+# A run over the list's keys that end in an even digit, then one over the whole
+# list: the second keeps the first one's records and adds the others.
+@register("incremental_rerun", with_base("""
+SELECT numero_processo, juiz, requerente, status, texto_decisao,
+  CASE WHEN substr(numero_processo, 20, 1) IN ('0', '2', '4', '6', '8') THEN 'mantido' ELSE 'novo' END AS origem
+FROM pge WHERE numero_processo IN (SELECT numero_processo FROM dunion)""", _PAGES_CTES))
+def incremental_rerun(spark, sf):
+    path = new_output_path(spark, "progress")
+    listed = DS.union(spark, sf).select("numero_processo")
+    pages = case_pages(DS.collected(spark, sf))
+    half = listed.filter(F.substring("numero_processo", 20, 1).isin("0", "2", "4", "6", "8"))
+    before = run_incremental(half, pages, path, PG.extract, batches=2).select(
+        F.col("numero_processo"), F.lit("mantido").alias("antes"))
+    first = new_output_path(spark, "first-run")
+    before.write.parquet(first)
+    after = run_incremental(listed, pages, path, PG.extract)
+    return after.join(spark.read.parquet(first), "numero_processo", "left").select(
+        *after.columns, F.coalesce("antes", F.lit("novo")).alias("origem"))
+
+
+# J2 with several rows for a key: of a customer's orders the last one's values.
+@register("lookup_last_duplicate", """
+SELECT c_custkey, o_orderkey, o_orderstatus FROM customer LEFT JOIN (
+  SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus
+  FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey""")
+def lookup_last_duplicate(spark, sf):
+    t = DS.tables(spark, sf)
+    last = dedupe_last(t.orders.withColumn("pos", F.col("o_orderkey")), "o_custkey", ["o_orderkey", "o_orderstatus"], "pos")
+    return t.customer.select("c_custkey").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey")

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casework import constants as K
-from casework.functions.text import _ENTITIES
 from casework.operators import pages as PG
 from casework.plans import datasets as DS
 from casework.plans.oracle import with_base
@@ -32,7 +31,7 @@ def html_text_sql(c: str) -> str:
     x = f"regexp_replace({x}, '(?is)<style\\b.*?</style\\s*>', '', 'g')"
     x = f"regexp_replace({x}, '(?i)<br\\s*/?>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for ent, ch in _ENTITIES:
+    for ent, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         x = f"replace({x}, {q(ent)}, {q(ch)})"
     return x
 
@@ -54,7 +53,7 @@ def _cascade_sql(html: str) -> str:
 _PRIMARY_SQL = strip_ws(html_text_sql(
     "regexp_extract(html, " + q(rf'(?is)<[a-z0-9]+\b[^>]*\bid="{K.JUDGE_ELEMENT_ID}"[^>]*>.*?<span\b[^>]*>(.*?)</span>')
     + ", 1)"))
-_CELLS = f"regexp_extract_all({{src}}, {q(PG.CELL_RE)}, 1)"
+_CELLS = f"regexp_extract_all({{src}}, {q(r'(?is)<td[^>]*>(.*?)</td>')}, 1)"
 _TABLE = "regexp_extract(html, " + q(rf'(?is)<table\b[^>]*\bid="{K.PARTIES_TABLE_ID}"[^>]*>(.*?)</table>') + ", 1)"
 
 
@@ -112,9 +111,17 @@ def page_status(spark, sf):
     return PG.extract(_pages(spark, sf)).select("numero_processo", "status")
 
 
+# X2 by the fixture's rule: the element stands on pages of four residues.
+@register("page_field_primary", with_base(f"""
+SELECT numero_processo, CASE WHEN o_orderkey % {ERROR_RESIDUE[0]} >= 2 AND o_orderkey % 8 IN (0, 1, 4, 5)
+  THEN nullif({strip_ws("coalesce(juiz, '')")}, '') END AS juiz FROM coll"""))
+def page_field_primary(spark, sf):
+    return PG.judge_element(_pages(spark, sf))
+
+
 @register("page_field_regex_cascade", with_base("SELECT numero_processo, juiz_regex FROM pge", _PAGES_CTES))
 def page_field_regex_cascade(spark, sf):
-    return PG.with_judge(_pages(spark, sf), "html", "juiz_regex", primary_first=False).select(
+    return PG.with_judge(_pages(spark, sf), "html", "juiz_regex").select(
         "numero_processo", "juiz_regex")
 
 
@@ -138,11 +145,47 @@ def _h(tag: str) -> str:
     return strip_ws(html_text_sql(f"regexp_extract(html, {q(rf'(?is)<{tag}\b[^>]*>(.*?)</{tag}>')}, 1)"))
 
 
-@register("page_field_primary", with_base(f"""
+@register("page_headline", with_base(f"""
 SELECT page_id, url,
   CASE WHEN length(h1) > 0 THEN h1 ELSE nullif(title, '') END AS titulo,
   CASE WHEN length(h1) > 0 THEN 'h1' WHEN length(title) > 0 THEN 'title' END AS fonte,
   nullif(regexp_extract(html, {q('(?is)<html\\b[^>]*\\blang="([^"]*)"')}, 1), '') AS lang
 FROM (SELECT page_id, url, html, {_h('h1')} AS h1, {_h('title')} AS title FROM pages)"""))
-def page_field_primary(spark, sf):
+def page_headline(spark, sf):
     return PG.headline(DS.tables(spark, sf).pages)
+
+
+# Pages with every irregularity, one for each nation; the expected fields are
+# written out by hand.
+_PARTIES = '<table id="tablePartesPrincipais">{}</table>'
+EDGE_PAGES = [
+    # html, juiz, requerente, status
+    ('<div id="juizPrimeiraDivTable"></div><span>Imprimir esta tela</span>', None, None, K.STATUS_INCOMPLETE),
+    ("<div id='juizPrimeiraDivTable'><span>Ana <span>Beatriz</span> Reis</span><span>x</span></div>", "Ana Beatriz Reis", None, K.STATUS_INCOMPLETE),
+    ("<DIV ID=juizPrimeiraDivTable><p><SPAN>Ana Reis</SPAN></p></DIV>" + _PARTIES.format("<tr><td>Autor</td><td>Rui</td></tr>"), "Ana Reis", "Rui", K.STATUS_OK),
+    (_PARTIES.format("<tr><td>x</td><td>Requerente</td></tr><tr><td>Requerido</td><td>Banco</td></tr>"), None, None, K.STATUS_INCOMPLETE),
+    (_PARTIES.format("<tr><td>x</td><td>Requerente</td></tr><tr><td>Autor</td><td>Rui</td></tr>"), None, "Rui", K.STATUS_INCOMPLETE),
+    (_PARTIES.format("<tr><td>a<table><tr><td>b</td></tr></table></td></tr><tr><td>Requerente</td><td>Jo&#227;o<br>Adv.</td></tr>"), None, "João", K.STATUS_INCOMPLETE),
+    (_PARTIES.format("<tr><td>Requerente<td> Maria &amp; Filhos <tr><td>Autor<td>z"), None, "Maria & Filhos", K.STATUS_INCOMPLETE),
+    (_PARTIES.format("<tr><td>Requerente</td><td></td></tr><tr><td>Autor</td><td>Rui</td></tr>"), None, "", K.STATUS_INCOMPLETE),
+    ("<p>N&atilde;o existem informa&ccedil;&otilde;es dispon&iacute;veis</p>", None, None, K.STATUS_NOT_FOUND),
+    ("<p>Não existem\n   informa<b>ções</b></p>", None, None, K.STATUS_NOT_FOUND),
+    ("<script>var t = 'Não existem informações';</script><p>ok</p>", None, None, K.STATUS_INCOMPLETE),
+    (None, None, None, K.STATUS_ERROR),
+    ("", None, None, K.STATUS_INCOMPLETE),
+]
+
+
+def _edge_cases(values: list) -> str:
+    one = lambda v: "NULL" if v is None else q(v)
+    return "CASE n_nationkey % " + str(len(values)) + " " + " ".join(f"WHEN {i} THEN {one(v)}" for i, v in enumerate(values)) + " END"
+
+
+@register("page_edge_cases", f"""
+SELECT n_nationkey, {_edge_cases([p[1] for p in EDGE_PAGES])} AS juiz, {_edge_cases([p[2] for p in EDGE_PAGES])} AS requerente,
+  {_edge_cases([p[3] for p in EDGE_PAGES])} AS status FROM nation""")
+def page_edge_cases(spark, sf):
+    at = (F.col("n_nationkey") % len(EDGE_PAGES)).cast("int")
+    html = F.get(F.array(*[F.lit(p[0]).cast("string") for p in EDGE_PAGES]), at)
+    pages = DS.tables(spark, sf).nation.select("n_nationkey", html.alias("html"))
+    return PG.extract(pages, "n_nationkey").drop("texto_decisao")

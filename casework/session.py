@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -56,9 +57,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for materialised intermediates and round trips.
 
-    Uses the cluster's ``spark.checkpoint.dir``. Only when it is unset (local
-    tests) a fresh private folder under the system temp dir is created and
-    registered as the checkpoint dir, so ``DataFrame.checkpoint()`` works too.
+    Uses the cluster's ``spark.checkpoint.dir``. Where it is unset, a local
+    session (all threads in one process) gets a private folder under the system
+    temp dir, registered as the checkpoint dir so ``DataFrame.checkpoint()``
+    works too; on a cluster that is an error, since executors could not read
+    each other's files.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -71,6 +74,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if current:
         # setCheckpointDir appends a random sub-folder; its parent is ours.
         return current.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
     local = tempfile.mkdtemp(prefix="casework-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir().rstrip("/")

@@ -2,16 +2,17 @@
 Structured Streaming job.
 
 The original keeps a JSON progress file, rewritten every few records. Here the
-progress is an append-only Parquet table of processed records in a shared
-folder: a rerun reads it, keeps the records of the current list (semi join),
-and works only on the pending keys (anti join). The streaming face reads new
-saved pages from a directory and appends extracted records per micro-batch
-with ``foreachBatch``; its checkpoint makes a restarted query resume, and
-skipping keys already in the progress table makes a replayed batch add nothing.
+progress is a Parquet table in a shared folder with one sub-folder per batch,
+split by a hash of the key. A batch is written by overwriting its own folder, so
+doing one again changes nothing, and a failure leaves the batches before it. A
+rerun keeps the records of the current list (semi join) and works only on the
+pending keys (anti join). The streaming face reads new saved pages from a
+directory; each micro-batch is a batch by its id.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +28,35 @@ RECORD_SCHEMA = T.StructType([
     T.StructField("status", T.StringType()),
     T.StructField("texto_decisao", T.StringType()),
 ])
+#: Shares of the key space; a small batch reads the shares of its keys.
+SHARES = 64
 
 
-def read_progress(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    """Processed records so far; an absent or unreadable table is empty."""
-    try:
-        # Corrupt part files are skipped when read (they surface only at
-        # action time, after this function returns).
-        return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
-    except Exception:  # noqa: BLE001 - missing/corrupt progress means "start over"
+def _share(key: str = "numero_processo"):
+    return F.pmod(F.xxhash64(key), F.lit(SHARES)).cast("int")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """All stored rows with their batch and share. Only a path that does not
+    exist is empty; any other failure to read is an error."""
+    schema = T.StructType([*RECORD_SCHEMA.fields, T.StructField("lote", T.StringType()), T.StructField("parte", T.IntegerType())])
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """Processed records so far, one for each key (that of the last batch)."""
+    rest = [c for c in RECORD_SCHEMA.fieldNames() if c != "numero_processo"]
+    last = F.max_by(F.struct(*rest), F.struct("lote", *rest)).alias("r")
+    return _stored(spark, path).groupBy("numero_processo").agg(last).select("numero_processo", "r.*")
 
 
-def append_progress(records: DataFrame, path: str) -> None:
-    records.write.mode("append").parquet(path)
+def store_batch(records: DataFrame, path: str, batch: str) -> None:
+    """Write one batch of records; writing it again replaces it."""
+    rows = records.select(*RECORD_SCHEMA.fieldNames(), _share().alias("parte"))
+    rows.write.mode("overwrite").partitionBy("parte").parquet(f"{path}/lote={batch}")
 
 
 def plan_run(listed: DataFrame, progress: DataFrame, key: str = "numero_processo") -> dict[str, DataFrame]:
@@ -51,10 +67,10 @@ def plan_run(listed: DataFrame, progress: DataFrame, key: str = "numero_processo
 
 
 def run_counts(listed: DataFrame, progress: DataFrame, key: str = "numero_processo") -> DataFrame:
-    """One row: list size, progress size, progress rows in the list, ignored
-    progress rows, pending keys (one pass per input, no collect)."""
+    """One row: list size, progress size, progress keys in the list, ignored
+    progress keys, pending keys. Keys count once, however often they are stored."""
     keys = listed.select(key).distinct().withColumn("_listed", F.lit(True))
-    prog = progress.select(key).withColumn("_done", F.lit(True))
+    prog = progress.select(key).distinct().withColumn("_done", F.lit(True))
     both = keys.join(prog, key, "full_outer")
     return both.agg(
         F.count_if(F.col("_listed")).alias("n_lista"),
@@ -65,28 +81,36 @@ def run_counts(listed: DataFrame, progress: DataFrame, key: str = "numero_proces
 
 
 def run_incremental(listed: DataFrame, pages: DataFrame, progress_path: str,
-                    extract: Callable[[DataFrame], DataFrame], key: str = "numero_processo") -> DataFrame:
-    """Process the pending keys' pages, append them to the progress table,
-    return the records of the whole list (previous + new)."""
+                    extract: Callable[[DataFrame], DataFrame], key: str = "numero_processo",
+                    batches: int = 1) -> DataFrame:
+    """Process the pending keys' pages in ``batches`` parts, each stored when
+    done, and return the records of the whole list (previous and new)."""
     spark = listed.sparkSession
-    progress = read_progress(spark, progress_path)
-    plan = plan_run(listed, progress, key)
-    todo = semi(pages, plan["pending"], key)
-    append_progress(extract(todo).select(*RECORD_SCHEMA.fieldNames()), progress_path)
-    return semi(read_progress(spark, progress_path), listed, key)
+    run = uuid.uuid4().hex
+    for i in range(batches):
+        # What is pending follows from what is stored, batch by batch.
+        pending = plan_run(listed, read_progress(spark, progress_path), key)["pending"]
+        part = pending.where(F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(batches)) == i)
+        store_batch(extract(semi(pages, part, key)), progress_path, f"{run}-{i:06d}")
+    return plan_run(listed, read_progress(spark, progress_path), key)["kept"]
 
 
 def start_page_stream(spark: SparkSession, pages_dir: str, pages_schema: T.StructType,
                       progress_path: str, checkpoint_path: str,
-                      extract: Callable[[DataFrame], DataFrame], trigger_once: bool = True):
-    """Streaming face: new page files -> extracted records appended per
+                      extract: Callable[[DataFrame], DataFrame], trigger_once: bool = True,
+                      files_per_trigger: int = 1000):
+    """Streaming face: new page files -> extracted records stored per
     micro-batch. Returns the ``StreamingQuery``."""
-    stream = spark.readStream.schema(pages_schema).parquet(pages_dir)
+    stream = spark.readStream.schema(pages_schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pages_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        done = read_progress(batch.sparkSession, progress_path)
-        fresh = anti(batch, done, "numero_processo")  # replay of a batch adds nothing
-        append_progress(extract(fresh).select(*RECORD_SCHEMA.fieldNames()), progress_path)
+        name = f"stream-{batch_id:012d}"
+        # Keys stored by other batches are done; the shares of this batch's
+        # keys are all that is read of the progress.
+        stored = _stored(batch.sparkSession, progress_path).where(F.col("lote") != name)
+        keyed = batch.withColumn("parte", _share())
+        fresh = keyed.join(stored.select("parte", "numero_processo"), ["parte", "numero_processo"], "left_anti")
+        store_batch(extract(fresh.drop("parte")), progress_path, name)
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if trigger_once else writer.trigger(processingTime="30 seconds")

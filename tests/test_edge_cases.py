@@ -162,7 +162,7 @@ def test_e19_e20_long_page_and_rejected_candidate(spark):
         8: "<td>Juiz</td><td>Carlos Magno de Andrade Especial</td>",
     }
     pages = spark.createDataFrame(list(cases.items()), "k int, html string")
-    got = {r.k: r.juiz for r in PG.with_judge(pages, "html", "juiz", primary_first=False).collect()}
+    got = {r.k: r.juiz for r in PG.with_judge(pages, "html", "juiz").collect()}
     assert got[1] == words
     assert got[2] is None and got[3] == "Ana Lima" and got[4] is None
     assert got == {k: _py_cascade(v) for k, v in cases.items()}

@@ -186,3 +186,14 @@ def test_an_unfinished_landing_is_never_read(spark):
     spark.range(1).write.parquet(f"{folder}/unfinished")
     assert land(spark, "t", [source], lambda: spark.range(100)).count() == 100
     assert land(spark, "t", [source], lambda: spark.range(7)).count() == 100
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from casework.session import scratch_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(session)

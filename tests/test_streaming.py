@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from casework.operators import pages as PG
 from casework.plans import datasets as DS
 from casework.sources.fixtures import case_pages
-from casework.streaming.incremental import read_progress, run_incremental, start_page_stream
+from casework.streaming.incremental import read_progress, run_counts, run_incremental, start_page_stream, store_batch
 from tests.conftest import SF_SMALL
 
 
@@ -52,13 +53,46 @@ def test_page_stream_appends_each_new_file_once(spark):
     assert done.select("numero_processo").distinct().count() == pages.count()
 
 
-def test_progress_missing_or_corrupt_is_empty_or_skipped(spark):
+def _records(spark, rows):
+    return spark.createDataFrame([(k, None, None, s, None) for k, s in rows],
+                                 "numero_processo string, juiz string, requerente string, status string, texto_decisao string")
+
+
+def test_only_a_missing_path_is_empty(spark):
     base = tempfile.mkdtemp(prefix="cw-prog-")
     assert read_progress(spark, os.path.join(base, "absent")).count() == 0
-    good = os.path.join(base, "prog")
-    spark.createDataFrame([("1", None, None, "sucesso", None)],
-                          "numero_processo string, juiz string, requerente string, status string, "
-                          "texto_decisao string").write.parquet(good)
-    with open(os.path.join(good, "part-99999-broken.parquet"), "wb") as f:
+    path = os.path.join(base, "prog")
+    store_batch(_records(spark, [("1", "sucesso")]), path, "a")
+    with open(os.path.join(path, "lote=a", "part-99999-broken.parquet"), "wb") as f:
         f.write(b"not a parquet file")
-    assert [r.numero_processo for r in read_progress(spark, good).collect()] == ["1"]
+    with pytest.raises(Exception):
+        read_progress(spark, path).collect()
+
+
+def test_a_batch_done_again_changes_nothing(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="cw-prog-"), "prog")
+    store_batch(_records(spark, [("1", "erro"), ("2", "sucesso")]), path, "a")
+    store_batch(_records(spark, [("1", "sucesso")]), path, "b")
+    store_batch(_records(spark, [("1", "sucesso")]), path, "b")
+    progress = read_progress(spark, path)
+    assert sorted((r.numero_processo, r.status) for r in progress.collect()) == [("1", "sucesso"), ("2", "sucesso")]
+    counts = run_counts(_records(spark, [("1", ""), ("1", ""), ("3", "")]), progress).first()
+    assert tuple(counts) == (2, 2, 1, 1, 1)
+
+
+def test_a_failed_batch_keeps_the_earlier_ones(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="cw-prog-"), "prog")
+    pages = spark.createDataFrame([(str(i), "<p>x</p>") for i in range(40)], "numero_processo string, html string")
+    calls = []
+
+    def failing(df):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("stopped")
+        return PG.extract(df)
+
+    with pytest.raises(RuntimeError, match="stopped"):
+        run_incremental(pages, pages, path, failing, batches=4)
+    stored = read_progress(spark, path).count()
+    assert 0 < stored < 40
+    assert run_incremental(pages, pages, path, PG.extract).count() == 40
