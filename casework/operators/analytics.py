@@ -47,12 +47,14 @@ def office_hours_by_position(hist: DataFrame, hour: str = "hora",
 
 
 def shares(split: DataFrame, labels: list[str] = K.OFFICE_LABELS) -> DataFrame:
-    """Each part with its percentage of the total (pie labels)."""
+    """Each part with its percentage of the total, and as the label shows
+    it (two decimals)."""
     parts = split.select(F.explode(F.array(
         F.struct(F.lit(labels[0]).alias("rotulo"), F.col("expediente").alias("n")),
         F.struct(F.lit(labels[1]).alias("rotulo"), F.col("fora").alias("n")))).alias("p")).select("p.*")
     total = F.sum("n").over(Window.partitionBy())
-    return parts.withColumn("pct", F.when(total > 0, F.col("n") * 100.0 / total))
+    parts = parts.withColumn("pct", F.when(total > 0, F.col("n") * 100.0 / total))
+    return parts.withColumn("pct_rotulo", F.format_string("%.2f%%", "pct"))
 
 
 def monthly_series(df: DataFrame, ts: Column, drop_first: bool = True,
@@ -121,6 +123,17 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_linhas")).withColumn("n_colunas", F.lit(len(df.columns)))
 
 
+def missing_values(df: DataFrame) -> DataFrame:
+    """Columns with missing values and how many, or one row that says
+    there are none (``nenhum``, 0)."""
+    wide = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
+    # One row per column: the schema bounds it.
+    long = wide.unpivot([], [F.col(f"`{c}`") for c in df.columns], "coluna", "faltantes")
+    some = long.where("faltantes > 0")
+    none = long.agg(F.sum("faltantes").alias("faltantes")).where("faltantes = 0").select(F.lit("nenhum").alias("coluna"), "faltantes")
+    return some.unionByName(none)
+
+
 def filter_report(df: DataFrame, collected: Column, kept: Column) -> DataFrame:
     """Rows before and after a filter in one pass, with the kept share."""
     n_col = F.count_if(collected)

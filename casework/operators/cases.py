@@ -118,9 +118,18 @@ def explode_movements(cases: DataFrame, movements: Column, keep: list[str]) -> D
 
 def py_list_repr(names: Column) -> Column:
     """Text of a list of strings as the original report prints it."""
-    items = F.transform(names, lambda n: F.when(n.isNull(), F.lit("None"))
-                        .otherwise(F.concat(F.lit("'"), n, F.lit("'"))))
-    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    def item(n: Column) -> Column:
+        # An apostrophe inside asks for double quotes, unless those occur too.
+        plain = F.replace(n, F.lit("\\"), F.lit("\\\\"))
+        double = n.contains("'") & ~n.contains('"')
+        return (F.when(n.isNull(), F.lit("None")).when(double, F.concat(F.lit('"'), plain, F.lit('"')))
+                .otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(names, item), ", "), F.lit("]"))
+
+
+def _text_or_none(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("None"))
 
 
 def _local_ts_text(ts_utc: Column) -> Column:
@@ -142,7 +151,7 @@ def case_report(cases: DataFrame) -> DataFrame:
             F.lit(" | Cód: "), F.coalesce(m["codigo"].cast("string"), F.lit("None")),
             F.lit(" | Mov.: "), F.coalesce(m["nome"], F.lit("None")), F.lit(" \n")))
     report = F.concat(
-        F.lit("Autos n. "), F.col("numero_processo"), F.lit(", Classe: "), F.col("classe"), F.lit("\n"),
+        F.lit("Autos n. "), _text_or_none("numero_processo"), F.lit(", Classe: "), _text_or_none("classe"), F.lit("\n"),
         F.lit("Ajuizamento: "), _local_ts_text(TM.parse_filing_utc(F.col("data_ajuizamento"))),
         F.lit("\n"),
         F.lit("Assuntos: "), py_list_repr(A.subject_names("assuntos")), F.lit("\n\n"),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from casework import constants as K
 from casework.operators import analytics as AN
-from casework.operators.features import ml_base
+from casework.functions.text import slug
+from casework.operators.features import ml_base, ml_numbered
 from casework.plans import datasets as DS
 from casework.plans.oracle import with_base
 from casework.plans.q_features import _FEAT_CTES, _ML_SQL
@@ -78,10 +79,32 @@ def column_profile(spark, sf):
     return AN.column_profile(_docs(spark, sf).select(*_DOC_COLS))
 
 
-@register("dataset_summary", with_base(
-    f"SELECT count(*) AS n_linhas, 27 AS n_colunas FROM ({_ML_SQL})", _FEAT_CTES))
+# Twenty columns are there in every table; each subject found adds one.
+@register("dataset_summary", with_base(f"""
+SELECT count(*) AS n_linhas, 20 + count(DISTINCT assunto_principal) AS n_colunas
+FROM mlj WHERE status = {q(K.STATUS_OK)}""", _FEAT_CTES))
 def dataset_summary(spark, sf):
-    return AN.shape(DS.ml_dataset(spark, sf))
+    """M11 without building the wide table: the one-hot columns are counted by
+    the names that their subjects would get."""
+    base = ml_base(DS.ml_joined(spark, sf))
+    fixed = len(base.columns) - 2 + 1  # without hit_pos and subject, with id
+    return base.agg(F.count(F.lit(1)).alias("n_linhas"), (F.lit(fixed) + F.count_distinct(slug("assunto_principal"))).alias("n_colunas"))
+
+
+# The first rows, and what is missing, of the table a model would read.
+@register("dataset_preview", with_base(f"SELECT id, hit_pos, qtd_assuntos, qtd_movimentos FROM ("
+                                       f"SELECT row_number() OVER (ORDER BY hit_pos) AS id, hit_pos, qtd_assuntos, qtd_movimentos "
+                                       f"FROM mlj WHERE status = {q(K.STATUS_OK)}) ORDER BY id LIMIT {K.SAMPLE_ROWS}", _FEAT_CTES))
+def dataset_preview(spark, sf):
+    return ml_numbered(DS.ml_joined(spark, sf)).select("id", "hit_pos", "qtd_assuntos", "qtd_movimentos").orderBy("id").limit(K.SAMPLE_ROWS)
+
+
+@register("dataset_missing", with_base(f"""
+SELECT 'texto_decisao' AS coluna, count(*) AS faltantes FROM mlj WHERE status = {q(K.STATUS_OK)} AND texto_decisao IS NULL HAVING count(*) > 0
+UNION ALL
+SELECT 'nenhum', 0 FROM mlj WHERE status = {q(K.STATUS_OK)} HAVING count(*) FILTER (WHERE texto_decisao IS NULL) = 0""", _FEAT_CTES))
+def dataset_missing(spark, sf):
+    return AN.missing_values(ml_base(DS.ml_joined(spark, sf)))
 
 
 @register("value_counts", with_base("""

@@ -7,34 +7,104 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casework.operators import cases as C
+from casework.operators import decisions as D
+from casework.operators.joins import semi
 from casework.plans import datasets as DS
+from casework.plans import pipeline as P
 from casework.plans.oracle import with_base
 from casework.plans.q_search import _FLAT_SQL, _flat_scalars
 from casework.plans.registry import register
 from casework.session import new_output_path
 from casework.sources import readers as R
+from casework.sources.adapter import MOVEMENT_TYPE, SUBJECT_TYPE
 from casework.sources import writers as W
 from casework.sources.fixtures import DICTIONARY_SCHEMA, name_dictionary
 
-RESULT_FIELDS = ["numero_processo", "juiz", "requerente", "texto_decisao", "sentenca_favoravel", "status"]
+RESULT_FIELDS = ["id", "numero_processo", "juiz", "requerente", "texto_decisao", "sentenca_favoravel", "status"]
 RESULT_SCHEMA = T.StructType([
+    T.StructField("id", T.LongType()),
     T.StructField("numero_processo", T.StringType()), T.StructField("juiz", T.StringType()),
     T.StructField("requerente", T.StringType()), T.StructField("texto_decisao", T.StringType()),
     T.StructField("sentenca_favoravel", T.BooleanType()), T.StructField("status", T.StringType()),
 ])
 
 
+_NUMBERED = {
+    "numbers": """
+numbers AS (
+  SELECT numero_processo, row_number() OVER (ORDER BY min(struct_pack(t := type_order, p := hit_pos))) AS ordem
+  FROM dunion GROUP BY numero_processo)""",
+    "numbered": """
+numbered AS (
+  SELECT row_number() OVER (ORDER BY n.ordem, v.numero_processo) AS id, v.numero_processo, juiz, requerente, texto_decisao, sentenca_favoravel, status
+  FROM valid v LEFT JOIN numbers n ON n.numero_processo = v.numero_processo)""",
+}
+
+
+def _results(spark, sf):
+    return P.results_table(DS.collected(spark, sf), DS.union(spark, sf), DS.selected_numbers(spark, sf))
+
+
 # A CSV cell cannot tell an empty text from a missing one: both read back as
 # null (as with the original's CSV hand-off between stages).
 @register("csv_roundtrip", with_base("""
-SELECT numero_processo, nullif(juiz, '') AS juiz, nullif(requerente, '') AS requerente,
-  nullif(texto_decisao, '') AS texto_decisao, sentenca_favoravel, status FROM valid"""))
+SELECT id, numero_processo, nullif(juiz, '') AS juiz, nullif(requerente, '') AS requerente,
+  nullif(texto_decisao, '') AS texto_decisao, sentenca_favoravel, status FROM numbered""", _NUMBERED))
 def csv_roundtrip(spark, sf):
+    """The final results with their ids."""
     path = new_output_path(spark, "records-csv")
-    W.write_csv(DS.valid_records(spark, sf), path, RESULT_FIELDS)
+    W.write_csv(_results(spark, sf), path, RESULT_FIELDS)
     return R.read_csv_typed(spark, path, RESULT_SCHEMA)
 
 
+@register("results_json", with_base("""
+SELECT id, numero_processo, juiz, requerente, texto_decisao, sentenca_favoravel, status FROM numbered""", _NUMBERED))
+def results_json(spark, sf):
+    """K5: the final results as JSON Lines; empty texts stay empty."""
+    path = new_output_path(spark, "results-json")
+    W.write_jsonl(_results(spark, sf), path)
+    return spark.read.schema(RESULT_SCHEMA).json(path)
+
+
+@register("decisions_json", with_base("""
+SELECT hit_pos, numero_processo, array_to_string(decisoes, '|') AS decisoes FROM dec WHERE len(decisoes) > 0"""))
+def decisions_json(spark, sf):
+    """K5: the decisions of each hit as JSON Lines."""
+    path = new_output_path(spark, "decisions-json")
+    W.write_jsonl(D.decisions_per_case(DS.cases(spark, sf)), path)
+    back = spark.read.schema("hit_pos long, numero_processo string, decisoes array<string>").json(path)
+    return back.withColumn("decisoes", F.array_join("decisoes", "|"))
+
+
+@register("selected_hits_json", with_base(f"""
+SELECT {_FLAT_SQL}, (SELECT count(*) FROM cases WHERE numero_processo IN (SELECT numero_processo FROM dunion)) AS total
+FROM cases WHERE numero_processo IN (SELECT numero_processo FROM dunion)"""))
+def selected_hits_json(spark, sf):
+    """K4: the hits of the selected cases and their total."""
+    path = new_output_path(spark, "selected")
+    listed = DS.union(spark, sf).select(F.col("numero_processo").alias("numeroProcesso"))
+    W.write_hits(semi(DS.hits(spark, sf), listed, "numeroProcesso"), path)
+    total = spark.read.schema("value long").json(f"{path}/total").select(F.col("value").alias("total"))
+    flat = _flat_scalars(C.flatten_hits(R.read_hits_jsonl(spark, f"{path}/hits")))
+    return flat.withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+@register("case_table_csv", with_base("""
+SELECT hit_pos, numero_processo, classe, CAST(len(assuntos) AS INTEGER) AS qtd_assuntos, CAST(len(movimentos) AS INTEGER) AS qtd_movimentos,
+  array_to_string(list_transform(assuntos, lambda a: coalesce(a.nome, '')), '|') AS assuntos,
+  array_to_string(list_transform(movimentos, lambda m: coalesce(m.dataHora, '')), '|') AS horas FROM cases"""))
+def case_table_csv(spark, sf):
+    """K1: the case table with its nested cells, as CSV and back."""
+    path = new_output_path(spark, "cases-csv")
+    W.write_csv(DS.cases(spark, sf).select("hit_pos", "numero_processo", "classe", "assuntos", "movimentos"), path)
+    back = R.read_csv_typed(spark, path, T.StructType([T.StructField("hit_pos", T.LongType())] + [
+        T.StructField(c, T.StringType()) for c in ("numero_processo", "classe", "assuntos", "movimentos")]))
+    nested = back.withColumns({c: F.from_json(c, T.ArrayType(kind)) for c, kind in (("assuntos", SUBJECT_TYPE), ("movimentos", MOVEMENT_TYPE))})
+    joined = lambda c, f: F.array_join(F.transform(c, lambda x: F.coalesce(x[f], F.lit(""))), "|")
+    return nested.select("hit_pos", "numero_processo", "classe", F.size("assuntos").alias("qtd_assuntos"), F.size("movimentos").alias("qtd_movimentos"),
+                         joined("assuntos", "nome").alias("assuntos"), joined("movimentos", "dataHora").alias("horas"))
+
+
 @register("json_roundtrip", with_base(f"SELECT {_FLAT_SQL} FROM cases"))
 def json_roundtrip(spark, sf):
     path = new_output_path(spark, "hits-jsonl")
@@ -65,10 +135,11 @@ def gzip_csv_dictionary(spark, sf):
         "numero_processo", "juiz", "sexo_juiz", "requerente", "sexo_requerente")
 
 
-@register("case_numbers_csv", with_base("SELECT numero_processo AS numeroProcesso FROM dunion"))
+@register("case_numbers_csv", with_base("SELECT numero_processo AS numeroProcesso, ordem FROM numbers", _NUMBERED))
 def case_numbers_csv(spark, sf):
     """K3 + S5: the selected case-number list written as a one-column CSV
-    and read back as text (leading zeros survive: no type inference)."""
+    in list order and read back as text in that order (leading zeros
+    survive: no type inference)."""
     path = new_output_path(spark, "case-numbers-csv")
-    W.write_csv(DS.selected_numbers(spark, sf).select("numeroProcesso"), path)
-    return R.read_csv_strings(spark, path, ["numeroProcesso"])
+    W.write_csv(DS.selected_numbers(spark, sf).orderBy("ordem").select("numeroProcesso"), path)
+    return R.read_csv_in_order(spark, path, ["numeroProcesso"], "ordem")

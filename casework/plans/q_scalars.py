@@ -30,12 +30,12 @@ def _zfill_sql(c: str) -> str:
 @register("zfill_key", with_base(f"""
 SELECT numero_processo, numero_int, {_zfill_sql('numero_int')} AS numero_zfill,
   {_zfill_sql("numero_processo || '77'")} AS numero_longo
-FROM (SELECT numero_processo, CAST(CAST(numero_processo AS BIGINT) AS VARCHAR) AS numero_int FROM cases)"""))
+FROM (SELECT numero_processo, CAST(CAST(numero_processo AS DECIMAL(20, 0)) AS VARCHAR) AS numero_int FROM cases)"""))
 def zfill_key(spark, sf):
     # The collected-records file is read back by a CSV reader that types the
     # key as an integer: the zeros are lost and restored by zfill.
     c = DS.cases(spark, sf).select(
-        "numero_processo", F.col("numero_processo").cast("long").cast("string").alias("numero_int"))
+        "numero_processo", F.col("numero_processo").cast("decimal(20,0)").cast("string").alias("numero_int"))
     return c.select("numero_processo", "numero_int", X.zfill("numero_int").alias("numero_zfill"),
                     X.zfill(F.concat("numero_processo", F.lit("77"))).alias("numero_longo"))
 

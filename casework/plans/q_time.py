@@ -73,7 +73,8 @@ def office_hours_positional(spark, sf):
 
 
 @register("office_hours_share", with_base(f"""
-SELECT rotulo, n, CASE WHEN sum(n) OVER () > 0 THEN n * 100.0 / sum(n) OVER () END AS pct FROM (
+SELECT rotulo, n, CASE WHEN sum(n) OVER () > 0 THEN n * 100.0 / sum(n) OVER () END AS pct,
+  printf('%.2f%%', CASE WHEN sum(n) OVER () > 0 THEN (n * 100.0 / sum(n) OVER ())::DOUBLE END) AS pct_rotulo FROM (
   SELECT {q(K.OFFICE_LABELS[0])} AS rotulo, expediente AS n FROM s
   UNION ALL SELECT {q(K.OFFICE_LABELS[1])}, fora FROM s)""", {**_MEMBER, "s": f"s AS ({_SPLIT_SQL})"}))
 def office_hours_share(spark, sf):

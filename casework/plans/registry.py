@@ -25,12 +25,7 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[Builder, str | None]]:
     # Importing the modules registers their queries.
-    from casework.plans import q_search, q_decisions  # noqa: F401
-    for mod in ("q_joins", "q_scalars", "q_features", "q_quality", "q_time", "q_pages",
-                "q_roundtrip"):
-        try:
-            __import__(f"casework.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"casework.plans.{mod}":
-                raise
+    from casework.plans import (  # noqa: F401
+        q_decisions, q_edges, q_features, q_joins, q_pages, q_quality, q_roundtrip, q_scalars, q_search, q_time)
+
     return QUERIES

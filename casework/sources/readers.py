@@ -119,6 +119,13 @@ def read_csv_strings(spark: SparkSession, path: str, columns: list[str]) -> Data
     return _named(_csv_texts(spark, path), T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
+def read_csv_in_order(spark: SparkSession, path: str, columns: list[str], ordinal: str) -> DataFrame:
+    """S5 with the rows' order: ``ordinal`` numbers them 1..N by file name and
+    place in the file, the order in which a sorted table is written."""
+    rows = _csv_texts(spark, path).select(*columns, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    return with_sequence(rows, [F.col("_file"), F.col("_line")], ordinal, start=1).select(*columns, ordinal)
+
+
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Typed CSV by column name; cells may hold newlines and quotes."""
     return _named(_csv_texts(spark, path), schema)

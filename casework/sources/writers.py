@@ -36,6 +36,15 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_hits(hits: DataFrame, path: str) -> None:
+    """K4: the given hits as JSON Lines under ``hits`` and their number, as the
+    original document's ``total``, under ``total``."""
+    from casework.sources.readers import SOURCE_FIELDS
+
+    write_jsonl(hits.select("hit_pos", F.struct(*[F.col(c) for c in SOURCE_FIELDS]).alias("_source"), "sort"), f"{path}/hits")
+    write_jsonl(hits.agg(F.count(F.lit(1)).alias("value")), f"{path}/total")
+
+
 def write_text(df: DataFrame, col: str, path: str) -> None:
     """K6/K7: one text value per line/record."""
     df.select(F.col(col).cast("string")).write.mode("overwrite").text(path)
