@@ -42,14 +42,26 @@ def temporal_features(filed_text: Column, updated_text: Column) -> dict[str, Col
     }
 
 
-def subject_features(subjects: Column) -> dict[str, Column]:
-    """M2: count, keyword flags over the joined lower-cased names, main subject."""
+def dates_ok(filed_text: Column, updated_text: Column) -> Column:
+    """Whether both dates parse, which tells a real 0 from a failure."""
+    return X.flag(TM.parse_compact(filed_text).isNotNull() & TM.parse_iso_naive(updated_text).isNotNull())
+
+
+def subject_features(subjects: Column, accent_insensitive: bool = False) -> dict[str, Column]:
+    """M2: count, keyword flags over the joined lower-cased names, main
+    subject. The urgency words have no accents; ``accent_insensitive`` folds
+    those of the names first, so ``Urgência`` counts too (N7)."""
     text = A.joined_lower_names(subjects)
+    plain = lambda phrase: phrase
+    if accent_insensitive:
+        text = F.translate(text, X.ACCENTED, X.UNACCENTED)
+        plain = lambda phrase: phrase.translate(str.maketrans(X.ACCENTED, X.UNACCENTED))
+    has = lambda phrase: text.contains(plain(phrase))
     return {
         "qtd_assuntos": A.size0(subjects),
-        "tem_tutela_urgencia": X.flag(text.contains(K.URGENCY_WORDS[0]) & text.contains(K.URGENCY_WORDS[1])),
-        "tem_obrigacao_fazer": X.flag(text.contains(K.OBLIGATION_PHRASE)),
-        "tem_dano_moral": X.flag(text.contains(K.MORAL_DAMAGE_PHRASE)),
+        "tem_tutela_urgencia": X.flag(has(K.URGENCY_WORDS[0]) & has(K.URGENCY_WORDS[1])),
+        "tem_obrigacao_fazer": X.flag(has(K.OBLIGATION_PHRASE)),
+        "tem_dano_moral": X.flag(has(K.MORAL_DAMAGE_PHRASE)),
         "assunto_principal": A.main_subject(subjects),
     }
 
@@ -66,10 +78,13 @@ def velocity(n_movements: Column, days: Column) -> Column:
     return F.when(days > 0, F.bround(n_movements / days, K.VELOCITY_DECIMALS)).otherwise(F.lit(0.0))
 
 
-def case_features(cases: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """M7: the feature row of every case (one projection, no shuffle)."""
+def case_features(cases: DataFrame, keep: list[str] | None = None, date_ok: bool = False,
+                  accent_insensitive: bool = False) -> DataFrame:
+    """M7: the feature row of every case (one projection, no shuffle).
+    ``date_ok`` adds that column (N4); ``accent_insensitive`` as in
+    :func:`subject_features`."""
     t = temporal_features(F.col("data_ajuizamento"), F.col("ultima_atualizacao"))
-    s = subject_features(F.col("assuntos"))
+    s = subject_features(F.col("assuntos"), accent_insensitive)
     n_mov = A.size0("movimentos")
     cols = {
         "numero_processo": F.col("numero_processo"),
@@ -83,6 +98,8 @@ def case_features(cases: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "tem_recurso": X.appeal_flag(F.col("classe")),
     }
     extra = [F.col(c) for c in (keep or [])]
+    if date_ok:
+        cols["date_ok"] = dates_ok(F.col("data_ajuizamento"), F.col("ultima_atualizacao"))
     return cases.select(*extra, *[c.alias(n) for n, c in cols.items()])
 
 

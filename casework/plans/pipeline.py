@@ -28,16 +28,21 @@ from casework.operators.joins import lookup_left, semi
 from casework.operators.sequence import with_sequence
 
 
-def select_cases(hits: DataFrame) -> dict[str, DataFrame]:
+def select_cases(hits: DataFrame, dedup: bool = False) -> dict[str, DataFrame]:
     """Case table, decisions per hit, first decision per case, the four
-    outcome types, and the ordered case-number list."""
+    outcome types, and the ordered case-number list. The selected hits are
+    all those of a selected case, of any instance; ``dedup`` keeps each
+    case's first one alone (N2)."""
     cases = C.flatten_hits(hits)
     first = D.first_decision(cases)
     union = D.decisions_union(first)
+    selected = semi(hits.withColumnRenamed("numeroProcesso", "numero_processo"), union, "numero_processo")
+    if dedup:
+        first_hit = selected.groupBy("numero_processo").agg(F.min("hit_pos").alias("hit_pos"))
+        selected = semi(selected, first_hit, "hit_pos")
     return {"cases": cases, "decisions": D.decisions_per_case(cases), "first": first,
             "union": union, "numbers": D.distinct_cases(union),
-            "selected_hits": semi(hits.withColumnRenamed("numeroProcesso", "numero_processo"), union,
-                                  "numero_processo").withColumnRenamed("numero_processo", "numeroProcesso")}
+            "selected_hits": selected.withColumnRenamed("numero_processo", "numeroProcesso")}
 
 
 def pages_to_records(pages: DataFrame, key: str = "numero_processo") -> DataFrame:

@@ -159,3 +159,20 @@ def edge_responses(spark, sf):
     hits = R.read_search_responses(spark, path)
     return hits.select("hit_pos", F.col("numeroProcesso").alias("numero_processo"), F.col("classe.codigo").alias("codigo"),
                        F.array_join(A.subject_names("assuntos"), "|").alias("assuntos"))
+
+
+# Whether both dates parse; the urgency flag with accents folded.
+URGENT = [("Tutela de Urgência", 0, 1), ("tutela de urgencia", 1, 1), ("Urgência", 0, 0), (None, 0, 0)]
+UPDATES = [("2025-09-11T10:00:00Z", 1), ("2025-09-11T10:00:00+03:00", 0), ("2025", 0)]
+
+
+@register("edge_options", f"""
+SELECT {N}, {_sql([u[1] for u in URGENT], "INTEGER")} AS literal, {_sql([u[2] for u in URGENT], "INTEGER")} AS sem_acento,
+  {_sql([u[1] for u in UPDATES], "INTEGER")} AS date_ok FROM nation""")
+def edge_options(spark, sf):
+    rows = DS.tables(spark, sf).nation.select(
+        N, F.array(F.struct(F.lit(1).cast("long").alias("codigo"), _at([u[0] for u in URGENT]).alias("nome"))).alias("a"),
+        _at([u[0] for u in UPDATES]).alias("u"))
+    flag = lambda fold: FT.subject_features(F.col("a"), fold)["tem_tutela_urgencia"]
+    return rows.select(N, flag(False).alias("literal"), flag(True).alias("sem_acento"),
+                       FT.dates_ok(F.lit("20250901000000"), F.col("u")).alias("date_ok"))

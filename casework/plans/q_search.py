@@ -144,3 +144,29 @@ SELECT c.hit_pos, c.numero_processo,
 FROM cases c LEFT JOIN rl ON rl.hit_pos = c.hit_pos""", {"mx": _EXPLODED, "rl": _REPORT_LINES}))
 def case_report_text(spark, sf):
     return C.case_report(DS.cases(spark, sf))
+
+
+# S1/S2 below the number of matches, where the limit and its tiebreak decide.
+@register("search_small_limit", with_base(f"""
+SELECT * FROM (SELECT 'assunto' AS busca, hit_pos, numeroProcesso AS numero_processo FROM hits
+  WHERE len(list_filter(assuntos, lambda a: a.codigo = {K.SUBJECT_SEARCH_CODE})) > 0
+  ORDER BY {filing_utc('dataAjuizamento')} DESC NULLS LAST, hit_pos LIMIT 37)
+UNION ALL
+SELECT * FROM (SELECT 'classe', hit_pos, numeroProcesso FROM hits WHERE classe.codigo = {SEARCH_CLASS}
+  ORDER BY {filing_utc('dataAjuizamento')} ASC NULLS LAST, hit_pos LIMIT 101)"""))
+def search_small_limit(spark, sf):
+    h = DS.hits(spark, sf)
+    tag = lambda df, name: df.select(F.lit(name).alias("busca"), "hit_pos", F.col("numeroProcesso").alias("numero_processo"))
+    return tag(C.search(h, C.has_subject_code(K.SUBJECT_SEARCH_CODE), size=37), "assunto").unionByName(
+        tag(C.search(h, C.has_class_code(SEARCH_CLASS), size=101, desc=False), "classe"))
+
+
+# Of each selected case the first hit alone.
+@register("selected_hits_dedup", with_base("""
+SELECT numero_processo, min(hit_pos) AS hit_pos FROM cases
+WHERE numero_processo IN (SELECT numero_processo FROM dunion) GROUP BY numero_processo"""))
+def selected_hits_dedup(spark, sf):
+    from casework.plans.pipeline import select_cases
+
+    return select_cases(DS.hits(spark, sf), dedup=True)["selected_hits"].select(
+        F.col("numeroProcesso").alias("numero_processo"), "hit_pos")
