@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.session import new_output_path
@@ -37,8 +37,17 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
                        *[F.col(c) for c in more])
 
 
-def same(left: str, right: str) -> Column:
-    return F.col(left).eqNullSafe(F.col(right))
+#: Rows of one 64-bit number that may be broadcast: 32 MB of them.
+BROADCAST_ROWS = 4_000_000
+
+
+def counted(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``ids`` (one column of numbers), to be broadcast if there are at most
+    ``most`` of them by count; else the join shuffles. Both give the same rows.
+    ``ids`` should be cheap to read, such as a written table."""
+    if [f.dataType.simpleString() for f in ids.schema.fields] != ["bigint"]:
+        raise ValueError("only a single column of numbers has a known size")
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def groups_for(rows: int, per_group: int) -> int:

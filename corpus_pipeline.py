@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm.common import table, written
+from casework.llm.common import counted, table, written
 from casework.llm.cqf_dedup import exact_groups
 from casework.llm.histogram_packing import packed_documents
 from casework.llm.minhash_dedup import near_groups
@@ -26,8 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _staying(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    stay = groups.where("kept").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    # The ids that go are the fewer ones; while they are few enough to
+    # broadcast by count, no text is shuffled.
+    gone = groups.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
+    gone = counted(written(gone.select(F.col("doc_id").alias("__gone")), "gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
