@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.common import id_and_text, written
+from casework.llm.common import counted, id_and_text, written
 from casework.llm.star_components import components
 
 WIDTH = 5
@@ -224,7 +224,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = usable.groupBy("words_key").agg(F.min("doc_id").alias("doc_id"))
     signatures = usable.select("words_key", "doc_id", "signature").join(first, ["words_key", "doc_id"]).select("doc_id", "signature")
     members = written(centres(signatures), "centres")
-    candidates = members.select(F.col("member").alias("doc_id")).distinct()
+    # A number for each text that shares a bucket, so only their rows move.
+    candidates = written(members.select(F.col("member").alias("doc_id")).distinct(), "candidates")
+    candidates = counted(candidates)
     signatures = usable.select("doc_id", "signature").join(candidates, "doc_id")
     texts = written(docs.join(candidates, "doc_id").distinct(), "candidate-texts")
     pairs = likely(members, signatures)
