@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from casework import constants as K
 from casework.functions import text as X
+from casework.session import ship_package
 
 # Elements without content, and those whose text nobody sees.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -158,6 +159,7 @@ def with_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
     fields = T.StructType([T.StructField("_missing", T.BooleanType()), *[T.StructField(c, T.StringType()) for c in ("_primary", "_req", "_texto")]])
     schema = T.StructType(df.schema.fields + fields.fields)
     at = df.columns.index(html_col)
+    ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
