@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.session import new_output_path
+from casework.session import new_output_path, ship_package
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form
 #: feed and carriage return. bytes.split() cuts UTF-8 text at the same places.
@@ -32,6 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator reads, renamed; a null text is empty."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        *[F.col(c) for c in more])
