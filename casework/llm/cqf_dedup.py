@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.common import groups_for, id_and_text, written
+from casework.llm.common import counted, groups_for, id_and_text, written
 
 #: Fingerprints in one slice of the merged filter, on average.
 SLICE = 100_000
@@ -169,8 +169,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digests = written(text_digests(docs), "digests")
     repeated = repeated_prints(digests, digests.count(), per_slice)
 
-    # Grouping on the text itself compares bytes.
-    texts = batch_texts(docs).join(repeated.select("print"), "print", "left_semi")
+    # Grouping on the text itself compares bytes. Only texts with a repeated
+    # fingerprint move, as long as those are few enough to broadcast by count.
+    repeated = counted(written(repeated.select("print"), "repeated-prints"))
+    texts = batch_texts(docs).join(repeated, "print", "left_semi")
     verified = texts.groupBy("print", "text_sha256", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("rows").alias("rows"))
     # Different texts under one digest would need more than the digest to
     # tell their rows apart: stop rather than call them equal.
