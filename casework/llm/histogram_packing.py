@@ -31,7 +31,7 @@ from casework.llm.token_ids import opened, read_tokenizer
 
 BLOCK_CHARS = 2_000_000
 #: Pieces of one length that one task ranks.
-RANK_GROUP = 20_000
+RANK_GROUP = 1_000
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, pattern: str, size: int, end_id: int, id_col: str = "doc_id",
@@ -132,11 +132,11 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     places = spark.createDataFrame(places, schema).repartition(1) if places else spark.createDataFrame([], schema)
 
     # Rank among equal lengths in two levels: within groups of bounded size,
-    # then by the sizes of the groups before. The most frequent length sets
-    # the number of groups, so a hot length is dealt over many tasks.
-    shares = groups_for(max(counts.values(), default=0), RANK_GROUP)
-    share = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shares)).alias("share")
-    keyed = pieces.select("*", share)
+    # then by the sizes of the groups before. A length has as many groups as
+    # its count asks for, so a hot length is dealt over many tasks.
+    shares = spark.createDataFrame([(n, groups_for(k, RANK_GROUP)) for n, k in counts.items()], "length long, shares long")
+    share = F.pmod(F.xxhash64("doc_id", "start"), F.col("shares")).alias("share")
+    keyed = pieces.join(F.broadcast(shares), "length").select(*pieces.columns, share)  # a row for each length
     sizes = keyed.groupBy("length", "share").count()
     before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "share", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
