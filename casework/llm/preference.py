@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casework.llm.common import written
+
 # Fixed marks of the rendered form.
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -103,7 +105,8 @@ def exchanged_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from plain conversations: a conversation is chosen; the same with
     the last answer of its neighbour (conv_id with the last bit turned) in place of its own last answer,
     and nothing after it, is rejected."""
-    chosen = turns(conversations, "conv_id")
+    # Both sides are read several times below and in formatted().
+    chosen = written(turns(conversations, "conv_id"), "chosen-turns")
     answer = F.max(F.when(F.col("role") == "assistant", F.col("turn")))
     ends = chosen.groupBy("pair_id").agg(answer.alias("answer"), F.max("turn").alias("end"))
     ends = ends.select(F.col("pair_id").alias("p"), "answer", F.coalesce("answer", F.col("end") + 1).alias("at"))
@@ -111,4 +114,5 @@ def exchanged_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = own.where("turn < at").select(*chosen.columns)
     answers = own.where("turn = answer and role = 'assistant' and pair_id is not null")
     answers = answers.select(F.expr("pair_id ^ 1").alias("pair_id"), "role", "text").join(ends.select(F.col("p").alias("pair_id"), "at"), "pair_id")
-    return chosen, before.unionByName(answers.select("pair_id", F.col("at").alias("turn"), "role", "text"))
+    rejected = before.unionByName(answers.select("pair_id", F.col("at").alias("turn"), "role", "text"))
+    return chosen, written(rejected, "rejected-turns")
