@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from casework.llm.common import id_and_text
+from casework.llm.common import id_and_text, in_parts
 from casework.llm.segments import PieceEncoder, blocks
 
 #: Characters encoded in one call.
@@ -167,7 +167,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
         if key not in _ENCODERS:
             _ENCODERS[key] = ByteBPE(*shared.value, pattern)
         bpe = _ENCODERS[key]
-        for batch in batches:
+        for batch in in_parts(batches):
             ids_in, texts = batch.column(0), batch.column(1).to_pylist()
             for begin, end in blocks(texts, BLOCK_CHARS):
                 coded = bpe.encode_many(texts[begin:end])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,18 @@ def counted(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+#: Rows of an Arrow batch that a task turns into Python objects at a time.
+ROWS_AT_ONCE = 500
+
+
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, without copying them, so that a
+    worker holds the objects of those rows only."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(begin, ROWS_AT_ONCE)
+
+
 def groups_for(rows: int, per_group: int) -> int:
     """How many groups keep each one near ``per_group`` rows."""
     return max(1, -(-rows // per_group))

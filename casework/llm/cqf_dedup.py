@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.common import counted, groups_for, id_and_text, written
+from casework.llm.common import counted, groups_for, id_and_text, in_parts, written
 
 #: Fingerprints in one slice of the merged filter, on average.
 SLICE = 100_000
@@ -100,7 +100,7 @@ def _print(sha: bytes) -> int:
 def text_digests(docs: DataFrame) -> DataFrame:
     """doc_id, print (64 bits) and text_sha256 of the normalised text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             shas = [hashlib.sha256(t).digest() for t in _normalised(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(map(_print, shas), pa.int64()), pa.array([s.hex() for s in shas], pa.string())],

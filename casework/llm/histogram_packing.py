@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casework.llm.common import groups_for, id_and_text, written
+from casework.llm.common import groups_for, id_and_text, in_parts, written
 from casework.llm.segments import blocks
 from casework.llm.token_ids import opened, read_tokenizer
 
@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, pattern: str, size: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = opened(shared.value, pattern)
-        for batch in batches:
+        for batch in in_parts(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for begin, stop in blocks(texts, BLOCK_CHARS):
                 rows = []

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.common import id_and_text, written
+from casework.llm.common import id_and_text, in_parts, written
 
 #: Symbols that mark debris.
 SYMBOLS = b"#*$%&|<>"
@@ -76,7 +76,7 @@ def text_statistics(docs: DataFrame, host_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in in_parts(batches):
             keys, texts, hosts = (c.to_pylist() for c in batch.columns)
             rows = []
             for key, text, host in zip(keys, texts, hosts):

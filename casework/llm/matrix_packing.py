@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.common import id_and_text
+from casework.llm.common import id_and_text, in_parts
 from casework.llm.segments import blocks
 from casework.llm.token_ids import opened, read_tokenizer
 
@@ -127,7 +127,7 @@ def packed_matrix(docs: DataFrame, tokenizer_file: str, pattern: str, size: int
             made += len(rows)
             rests.clear()
 
-        for batch in batches:
+        for batch in in_parts(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for begin, stop in blocks(texts, BLOCK_CHARS):
                 full = []

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.common import counted, id_and_text, written
+from casework.llm.common import counted, id_and_text, in_parts, written
 from casework.llm.star_components import components
 
 WIDTH = 5
@@ -100,7 +100,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("words_key", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             keys, counts, minima = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = words_of(text)
@@ -151,7 +151,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
-        for batch in batches:
+        for batch in in_parts(batches):
             keep = []
             for one, two in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()):
                 if one != last:

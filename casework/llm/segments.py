@@ -20,7 +20,7 @@ _CUT = regex.compile(r" (?=\S)")
 #: Longer pieces are encoded each time rather than remembered.
 LONGEST_KEPT = 48
 #: Pieces remembered in each of the two generations.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def cut(text: str) -> list[str]:
