@@ -48,7 +48,10 @@ PATTERNS = {
 #: What a text must contain for the pattern to be tried.
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 
-_SECRET = r"(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20\t]{0,3}+[=:][\x20\t]{0,3}+[\"']?+[A-Za-z0-9_/+.-]{6,200}+[\"']?+"
+# A secret has no greatest length: the possessive run ends where its characters
+# do, with the padding of Base64. The key may be quoted, as in JSON.
+_SECRET = (r"(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?+[\x20\t]{0,3}+[=:][\x20\t]{0,3}+"
+           r"[\"']?+[A-Za-z0-9_/+.-]{6,}+={0,2}+[\"']?+")
 _KEY = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|ghp_[A-Za-z0-9]{36}(?![A-Za-z0-9])"
 SUB = {
     "secret": rf"(?i:(?<![A-Za-z0-9]){_SECRET})|(?<![A-Za-z0-9])(?:{_KEY})",

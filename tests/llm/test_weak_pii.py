@@ -112,3 +112,21 @@ def test_redaction(spark):
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "mail <EMAIL> now <CARD>.", 2: None, 3: "clean text", 4: "x <PHONE> y <IP>"}
     assert P.redacted(docs.limit(0)).count() == 0
+
+
+def test_long_secrets_are_whole(spark):
+    rng = random.Random(3)
+    secret = lambda n: "".join(rng.choice("ABCDEFabcdefghij0123456789_-") if i % 9 else "k" for i in range(n))
+    forms = [("token={}", ""), ("api_key: '{}'", ""), ("secret = {}==", ""), ('"token": "{}"', '"')]
+    texts, wanted, clean = [], [], []
+    for n in (40, 200, 201, 1000, 10_000):
+        for form, quote in forms:
+            match = form.format(secret(n))
+            texts.append(f"use {match} now")
+            wanted.append(f"secret:{4 + len(quote)}:{4 + len(match)}")
+            clean.append(f"use {quote}<SECRET> now")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in P.personal_data(docs).collect()}
+    assert [spans[i] for i in range(len(texts))] == wanted
+    out = {r.doc_id: r.text for r in P.redacted(docs).collect()}
+    assert [out[i] for i in range(len(texts))] == clean
