@@ -98,15 +98,17 @@ def _print(sha: bytes) -> int:
 
 
 def text_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, print (64 bits) and text_sha256 of the normalised text."""
+    """doc_id, print (64 bits) and text_sha256 of the normalised text, and row if ``docs`` has it."""
+    more = [c for c in ("row",) if c in docs.columns]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
             shas = [hashlib.sha256(t).digest() for t in _normalised(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(_print, shas), pa.int64()), pa.array([s.hex() for s in shas], pa.string())],
-                names=["doc_id", "print", "text_sha256"])
+                [batch.column(0), pa.array(map(_print, shas), pa.int64()), pa.array([s.hex() for s in shas], pa.string()), *batch.columns[2:]],
+                names=["doc_id", "print", "text_sha256", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print long, text_sha256 string")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, "doc_id long, print long, text_sha256 string" + ", row long" * len(more))
 
 
 def batch_texts(docs: DataFrame) -> DataFrame:
@@ -163,9 +165,11 @@ def repeated_prints(digests: DataFrame, rows: int, per_slice: int = SLICE) -> Da
     return slices.groupBy("slice").applyInPandas(merge, "print long, n long")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_slice: int = SLICE) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    docs = id_and_text(docs, id_col, text_col)
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_slice: int = SLICE,
+                 row_col: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row, and row if ``row_col`` numbers the rows."""
+    more = [] if row_col is None else ["row"]
+    docs = id_and_text(docs if row_col is None else docs.withColumnRenamed(row_col, "row"), id_col, text_col, *more)
     digests = written(text_digests(docs), "digests")
     repeated = repeated_prints(digests, digests.count(), per_slice)
 
@@ -184,4 +188,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = digests.join(groups, ["print", "text_sha256"], "left")
     keep = F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("group_keep"))
     return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"),
-                       F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+                       F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", *more)

@@ -1,9 +1,11 @@
 """The corpus pipeline: documents in, packed sequences out.
 
 Each stage works on all rows that the one before kept and applies its operator's decisions;
-all but the last return the columns of documents. A document is known by its doc_id: it stays in
-a deduplication stage if a row of its id stays. Rows with null ids or texts, repeated rows and an
-empty table go through as the operators define.
+all but the last return the columns of documents. The deduplication stages number the rows and
+decide on each: rows without an id, or with one id and different texts, do not stand or fall together.
+Of a group without ids the first row stays. Rows with neither id nor text are a group of their
+own. Rows that repeat both the id and the text of the row that stays all stay with it. An empty
+table goes through.
 """
 
 from __future__ import annotations
@@ -25,22 +27,45 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
-def _staying(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    # The ids that go are the fewer ones; while they are few enough to
+ROW = "__row_number"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    # Written, so that every plan that reads it sees the same numbers.
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    # The rows that go are the fewer ones; while they are few enough to
     # broadcast by count, no text is shuffled.
-    gone = groups.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
-    gone = counted(written(gone.select(F.col("doc_id").alias("__gone")), "gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = counted(written(gone.select(F.col("row").alias("__gone")), name))
+    return rows.join(gone, F.col(rows.columns[-1]) == F.col("__gone"), "left_anti")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    return _staying(docs, exact_groups(docs))
+    docs = _numbered(docs)
+    blank = F.col("doc_id").isNull() & F.col("text").isNull()
+    groups = written(exact_groups(docs.where(~blank), row_col=ROW).where("group_size > 1"), "exact-groups")
+    nameless = groups.where("keep_id is null").select("text_sha256", "row")
+    nameless = nameless.unionAll(docs.where(blank).select(F.lit("").alias("text_sha256"), F.col(ROW).alias("row")))
+    first = nameless.groupBy("text_sha256").agg(F.min("row").alias("row")).select("row")
+    copies = _without(nameless, first, "first-rows").select("row")
+    return _without(docs, groups.where("not kept").select("row").unionAll(copies), "gone").drop(ROW)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group, the document with the least id."""
-    return _staying(docs, near_groups(docs))
+    docs = _numbered(docs)
+    groups = near_groups(docs, id_col=ROW).select(F.col("doc_id").alias("row"), "component_id")
+    known = docs.select(F.col(ROW).alias("row"), "doc_id", F.xxhash64("text").alias("text"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "text")
+    members = written(groups.join(known, "row"), "near-members")
+    least = members.groupBy("component_id").agg(F.min(order).alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    repeats = F.coalesce(F.col("doc_id") == F.col("least.doc_id"), F.lit(False)) & (F.col("text") == F.col("least.text"))
+    stays = (F.col("row") == F.col("least.row")) | repeats
+    gone = members.join(least.select("component_id", "least"), "component_id").where(~stays)
+    return _without(docs, gone, "gone").drop(ROW)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,19 @@ def test_odd_rows_go_through(spark, tmp_path):
     # The empty texts are exact copies: the row with the largest id stays.
     assert Counter(r.doc_id for r in out) == {1: 2, 3: 1, None: 2}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_deduplication_decides_on_rows(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: text(k) + " more"
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = lambda stage, rows: Counter(tuple(r) for r in stage(spark, frame(rows), SF_SMALL).collect())
+    # Without ids: a text of its own, copies of a document, copies of each other, blank rows; one id with two texts.
+    rows = [(None, text(0)), (1, text(1)), (None, text(1)), (None, text(1))] + [(None, text(2))] * 5 + [(None, None)] * 4
+    rows += [(3, text(3)), (3, text(4)), (4, text(4))]
+    want = Counter([(None, text(0)), (1, text(1)), (None, text(2)), (None, None), (3, text(3)), (4, text(4))])
+    assert left(corpus_pipeline.exact_dedup, rows) == want
+    rows = [(None, text(0)), (1, text(1)), (None, near(1)), (None, text(2)), (None, near(2)), (2, near(4)), (4, text(3)), (4, text(4))]
+    want = Counter([(None, text(0)), (1, text(1)), (2, near(4)), (4, text(3))])
+    out = left(corpus_pipeline.near_dedup, rows)
+    assert sum(out.pop((None, t), 0) for t in (text(2), near(2))) == 1 and out == want
