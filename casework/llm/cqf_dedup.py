@@ -50,11 +50,15 @@ class CountingQuotientFilter:
         values, at = np.unique(fingerprints.astype(np.uint64), return_inverse=True)
         totals = np.zeros(len(values), dtype=np.int64)
         np.add.at(totals, at, counts)
+        return cls._packing(values, totals, quotient_bits)
+
+    @classmethod
+    def _packing(cls, values: np.ndarray, totals: np.ndarray, quotient_bits: int) -> CountingQuotientFilter:
+        """From sorted distinct fingerprints: runs end where the quotient changes."""
         below = np.uint64(64 - quotient_bits)
         upper = values >> below
-        quotients, begins = np.unique(upper, return_index=True)
-        ends = np.append(begins[1:], len(values)).astype(np.int64)
-        return cls(quotient_bits, quotients, ends, values & ((np.uint64(1) << below) - np.uint64(1)), totals)
+        ends = np.append(np.flatnonzero(upper[1:] != upper[:-1]) + 1, len(values))[:len(values)].astype(np.int64)
+        return cls(quotient_bits, upper[ends - 1], ends, values & ((np.uint64(1) << below) - np.uint64(1)), totals)
 
     def fingerprints(self) -> np.ndarray:
         runs = np.diff(self.ends, prepend=0)
@@ -62,8 +66,17 @@ class CountingQuotientFilter:
 
     def merged(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
         """Both filters' entries; equal remainders of a run add their counts."""
-        return self.of(np.concatenate([self.fingerprints(), other.fingerprints()]),
-                       np.concatenate([self.counts, other.counts]), self.quotient_bits)
+        if not len(self.remainders) or not len(other.remainders):
+            return self if len(self.remainders) else other
+        # Both runs of a quotient are sorted by remainder, so each entry of the
+        # other filter has its place here by search; nothing is sorted anew.
+        mine, theirs = self.fingerprints(), other.fingerprints()
+        at = np.searchsorted(mine, theirs)
+        equal = mine[np.minimum(at, len(mine) - 1)] == theirs
+        counts = self.counts.copy()
+        counts[at[equal]] += other.counts[equal]
+        values = np.insert(mine, at[~equal], theirs[~equal])
+        return self._packing(values, np.insert(counts, at[~equal], other.counts[~equal]), self.quotient_bits)
 
     def slices(self, slice_bits: int) -> Iterator[tuple[int, CountingQuotientFilter]]:
         """Parts with the same leading bits of the quotient."""

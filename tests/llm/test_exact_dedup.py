@@ -52,3 +52,20 @@ def test_repeated_prints_over_slices(spark):
     frame = spark.createDataFrame([(p,) for p in prints], "print long").repartition(5)
     for per_slice in (1, 10, 1000):
         assert sorted(map(tuple, repeated_prints(frame, len(prints), per_slice).collect())) == [(-(1 << 63), 2), (5, 2)]
+
+
+def test_merge_does_not_sort_anew(monkeypatch):
+    rng = np.random.default_rng(5)
+    draws = [rng.integers(0, 3000, n, dtype=np.uint64) * np.uint64(1 << 50) for n in (2000, 1500, 1, 0)]
+    filters = [CountingQuotientFilter.of(x, np.ones(len(x), dtype=np.int64), 9) for x in draws]
+    wanted = {(i, j): np.unique(np.concatenate([draws[i], draws[j]]), return_counts=True) for i in range(4) for j in range(4)}
+
+    def sorts(*args, **kwargs):
+        raise AssertionError("the merge sorts")
+
+    for name in ("unique", "sort", "argsort", "lexsort"):
+        monkeypatch.setattr(np, name, sorts)
+    for (i, j), (values, counts) in wanted.items():
+        merged = filters[i].merged(filters[j])
+        assert (merged.fingerprints() == values).all() and (merged.counts == counts).all()
+        assert len(merged.remainders) == len(values) and (np.diff(merged.ends, prepend=0) > 0).all() and len(merged.ends) == len(merged.quotients)
