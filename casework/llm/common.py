@@ -26,10 +26,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Its rows are then computed once, however many plans read them, and a lost
     executor costs no recomputation of what is already in the folder.
     """
-    spark = df.sparkSession
-    path = new_output_path(spark, re.sub(r"\W", "_", name))
+    return written_path(df, name)[0]
+
+
+def written_path(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As :func:`written`, with the folder, so that it can be removed later."""
+    path = new_output_path(df.sparkSession, re.sub(r"\W", "_", name))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that :func:`written_path` made and that nothing reads any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

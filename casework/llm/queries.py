@@ -224,3 +224,121 @@ SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS
 
 
 SQL["op10_license_scan"] = _license_sql()
+
+
+@query
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casework.llm.divergence_audit import divergences
+
+    return divergences(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_divergence_audit"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), w AS (
+  SELECT id, lang, source, unnest(words) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), v AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL
+), t AS (
+  SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL
+), f AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (coalesce(t.total, 0) + 5 * v.v)::HUGEINT)::BIGINT AS p,
+         (1 + (1000000000 * (k.n + 5)::HUGEINT) // (v.total + 5 * v.v)::HUGEINT)::BIGINT AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), m AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM f WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM x
+) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op12_shallot_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casework.llm.shallot_clustering import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, seed=3)
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10, dims: int = 64, seed: int = 3) -> str:
+    """The rounds written out one after the other."""
+    parts = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+)""", f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, x AS c FROM (
+    SELECT x, sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v ORDER BY h LIMIT {k})
+)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT id, arg_min(cluster, [d, cluster]) AS cluster, min(d) AS d FROM (
+    SELECT id, cluster, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r}) GROUP BY id
+)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.cluster, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+      SELECT cluster, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM v JOIN a{r} USING (id))
+      GROUP BY cluster, i) GROUP BY cluster) m ON m.cluster = c{r}.cluster
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, cluster::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (id) JOIN c{rounds} USING (cluster)
+"""
+
+
+SQL["op12_shallot_clustering"] = _clustering_sql()
+
+
+@query
+def op13_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casework.llm.ngram_decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10).drop("spans")
+
+
+SQL["op13_ngram_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), s AS (
+  SELECT item_id, words, least(len(words), 10) AS size FROM b WHERE len(words) > 0
+), t AS (
+  SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS win FROM s
+), e AS (
+  SELECT id, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: {'at': i, 'win': array_to_string(words[i:i + size - 1], ' ')}), recursive := true)
+  FROM d, (SELECT DISTINCT size FROM t) WHERE len(words) >= size
+), h AS (
+  SELECT id, item_id, size, "at" FROM e JOIN t USING (size, win)
+), n AS (
+  SELECT id, count(DISTINCT "at" + k) AS n_hit FROM (SELECT id, "at", unnest(range(0, size)) AS k FROM h) GROUP BY id
+), m AS (
+  SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, coalesce(item_id::VARCHAR, '') AS item FROM h) GROUP BY id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (id) LEFT JOIN m USING (id)
+"""
