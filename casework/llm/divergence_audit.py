@@ -110,16 +110,17 @@ class _Shard:
     """The sums of one shard: sources in order of number, the frequencies of
     absent terms, and the nonzero frequencies that are yet to be added."""
 
-    def __init__(self, key: tuple):
-        self.key, self.listed, self.ids = key, [], None
+    def __init__(self, key: tuple, size: int, block: int):
+        self.key, self.size, self.block = key, size, block
+        self.listed, self.ids = [], None
         self.cells: list[tuple[np.ndarray, ...]] = []
-        self.terms = 0
+        self.terms = self.added = 0
 
     def _start(self) -> None:
         self.ids = np.concatenate([i for i, _ in self.listed])
         self.absent = np.concatenate([p for _, p in self.listed])
         self.sums = np.zeros((len(self.ids), len(self.ids)), dtype=np.int64)
-        self.most = max(1, BLOCK // len(self.ids))
+        self.most = max(1, self.block // len(self.ids))
 
     def add(self, numbers: np.ndarray, sources: np.ndarray, p: np.ndarray) -> None:
         """Rows in order: the sources themselves (number -1) before the frequencies by term."""
@@ -140,12 +141,16 @@ class _Shard:
         """Add the gathered terms, but for the last one unless it is ``whole``."""
         numbers, at, p = (np.concatenate(c) for c in zip(*self.cells))
         cut = len(numbers) if whole else int(np.searchsorted(numbers, numbers[-1]))
-        rows = np.cumsum(np.append(True, numbers[1:cut] != numbers[:cut - 1])[:cut]) - 1
+        if not cut:  # one term so far, met in several batches
+            self.cells, self.terms = [(numbers, at, p)], 1
+            return
+        rows = np.cumsum(np.append(True, numbers[1:cut] != numbers[:cut - 1])) - 1
         a = 0
         while a < cut:
             b = int(np.searchsorted(rows, rows[a] + self.most))
             dense = np.repeat(self.absent[None], rows[b - 1] - rows[a] + 1, axis=0)
             dense[rows[a:b] - rows[a], at[a:b]] = p[a:b]
+            self.added += len(dense)
             for i in range(len(self.ids) - 1):
                 self.sums[i, i + 1:] += np.abs(dense[:, i + 1:] - dense[:, i:i + 1]).sum(0)
             a = b
@@ -157,19 +162,21 @@ class _Shard:
         if self.cells:
             self._flush(whole=True)
         lang, _, tile_i, tile_j = self.key
-        tile = self.ids // TILE
+        tile = self.ids // self.size
         for i in range(len(self.ids)):
             # Of two tiles, only pairs across them; pairs within a tile are its own.
             j = np.flatnonzero((tile != tile[i]) | (tile_i == tile_j))
             j = j[j > i]
             if len(j):
+                more = self.sums[i, j] - self.added * np.abs(self.absent[j] - self.absent[i])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(j), pa.string()), pa.array(np.full(len(j), self.ids[i])), pa.array(self.ids[j]),
-                                                  pa.array(self.sums[i, j])], names=["lang", "i", "j", "value"])
+                                                  pa.array(more)], names=["lang", "i", "j", "value"])
 
 
-def _shard_sums(frame: DataFrame) -> DataFrame:
+def _shard_sums(frame: DataFrame, size: int, block: int) -> DataFrame:
     """lang, i, j, value: over the shard's terms, the differences of the sources
-    i < j. ``frame`` is dealt and sorted by lang, shard, tile_i, tile_j, number, source_id."""
+    i < j beyond what they would be were the term in neither; terms that none of a tile
+    pair's sources has thus add nothing there. ``frame`` is dealt and sorted by lang, shard, tile_i, tile_j, number, source_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
         for batch in batches:
@@ -180,7 +187,7 @@ def _shard_sums(frame: DataFrame) -> DataFrame:
                 if shard is None or shard.key != keys[a]:
                     if shard is not None:
                         yield from shard.rows()
-                    shard = _Shard(keys[a])
+                    shard = _Shard(keys[a], size, block)
                 shard.add(*(c[a:b] for c in columns))
         if shard is not None:
             yield from shard.rows()
@@ -188,16 +195,17 @@ def _shard_sums(frame: DataFrame) -> DataFrame:
     return frame.mapInArrow(run, "lang string, i long, j long, value long")
 
 
-def pair_sums(kept: DataFrame, groups: DataFrame, shard_rows: int = SHARD) -> DataFrame:
+def pair_sums(kept: DataFrame, groups: DataFrame, shard_rows: int = SHARD, size: int = TILE, block: int = BLOCK) -> DataFrame:
     """lang, i, j, value for all pairs i < j of a language's sources (numbers).
+    A shard has about ``shard_rows`` frequencies, a tile ``size`` sources, a block about ``block`` numbers.
 
-    ``groups``: lang, source_id, absent (frequency of a term without occurrences), sources.
+    ``groups``: lang, source_id, absent (frequency of a term without occurrences), sources, terms (of the language).
     ``kept``: lang, number (of the term), source_id, p of all nonzero counts.
     """
     shards = kept.groupBy("lang").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))
     listed = groups.join(shards, "lang", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    tile = F.floor(F.col("source_id") / F.lit(TILE)).cast("int")
-    tiles = F.floor((F.col("sources") - 1) / F.lit(TILE)).cast("int")
+    tile = F.floor(F.col("source_id") / F.lit(size)).cast("int")
+    tiles = F.floor((F.col("sources") - 1) / F.lit(size)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), tiles), lambda t: F.struct(F.least(t, tile).alias("tile_i"), F.greatest(t, tile).alias("tile_j")))
     dealt = lambda df: df.withColumn("pair", F.explode(pairs)).select("lang", "shard", "pair.tile_i", "pair.tile_j", "number", "source_id", "p")
     heads = listed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumns({"number": F.lit(-1).cast("long"), "p": F.col("absent")})
@@ -205,7 +213,11 @@ def pair_sums(kept: DataFrame, groups: DataFrame, shard_rows: int = SHARD) -> Da
     cells = kept.join(sizes, "lang").withColumn("shard", F.pmod("number", F.col("shards")).cast("int"))
     order = ["lang", "shard", "tile_i", "tile_j"]
     frame = dealt(heads).unionAll(dealt(cells)).repartition(*[F.col(c) for c in order]).sortWithinPartitions(*order, "number", "source_id")
-    return _shard_sums(frame).groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    beyond = _shard_sums(frame, size, block).groupBy("lang", "i", "j").agg(F.sum("value").alias("beyond"))
+    side = lambda at, *more: sized(groups.select("lang", F.col("source_id").alias(at), F.col("absent").alias(f"absent_{at}"), *more))
+    sums = beyond.join(side("i", "terms"), ["lang", "i"]).join(side("j"), ["lang", "j"])
+    neither = F.col("terms") * F.abs(F.col("absent_i") - F.col("absent_j"))
+    return sums.select("lang", "i", "j", (F.col("beyond") + neither).alias("value"))
 
 
 def sized(df: DataFrame, most: int = 32 << 20) -> DataFrame:
@@ -217,13 +229,14 @@ def sized(df: DataFrame, most: int = 32 << 20) -> DataFrame:
 
 
 def divergences(docs: DataFrame, least: int = 30, top: int = 50, lang_col: str = "lang", source_col: str = "source",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", held: int = HELD, **limits: int) -> DataFrame:
     """lang, source, part, item, value, rank.
 
     Part ``pair``: each other source of the language and the divergence from it, all ranks. Part ``term``: the terms that the
-    source uses more than its language does, by excess frequency, ranks to ``top``.
+    source uses more than its language does, by excess frequency, ranks to ``top``. ``held`` and ``limits`` (see :func:`pair_sums`) bound
+    memory and change no result.
     """
-    counts = partial_counts(docs, lang_col, source_col, text_col).groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    counts = partial_counts(docs, lang_col, source_col, text_col, held).groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     counts = written(counts, "term-counts")
     words = counts.where("term is not null")
     terms = words.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("lang_n")).where(F.col("df") >= least)
@@ -251,7 +264,7 @@ def divergences(docs: DataFrame, least: int = 30, top: int = 50, lang_col: str =
     excess = share.where(F.col("p") > F.col("q")).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     excess = ranked(excess).where(F.col("rank") <= top)
 
-    sums = written(pair_sums(share.select("lang", "number", "source_id", "p"), groups.select("lang", "source_id", "absent", "sources")), "pair-sums")
+    sums = written(pair_sums(share.select("lang", "number", "source_id", "p"), groups.select("lang", "source_id", "absent", "sources", "terms"), **limits), "pair-sums")
     both = F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b"))))
     pairs = sums.select("lang", both.alias("pair"), "value").select("lang", "pair.a", "pair.b", "value")
     name = lambda at, out: sized(groups.select("lang", F.col("source_id").alias(at), F.col("source").alias(out)))
