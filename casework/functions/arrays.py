@@ -64,9 +64,9 @@ def joined_lower_names(subjects) -> Column:
 def first_timed_decision_hour(movements) -> Column:
     """M3: hour (in the text's own offset) of the first decision movement
     (any instance) whose time parses; null when there is none."""
-    timed = F.filter(_col(movements), lambda m: is_decision_name(m["nome"])
-                     & TM.iso_hour(m["dataHora"]).isNotNull())
-    return TM.iso_hour(F.get(timed, 0)["dataHora"])
+    decisions = F.filter(_col(movements), lambda m: is_decision_name(m["nome"]))
+    hours = F.transform(decisions, lambda m: TM.iso_hour(m["dataHora"]))
+    return F.get(F.filter(hours, lambda h: h.isNotNull()), 0)
 
 
 def subject_names_from_json(raw_json) -> Column:

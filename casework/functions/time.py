@@ -16,10 +16,10 @@ from casework import constants as K
 # Shapes of the accepted texts. Anything else is null, whatever a lenient
 # cast would make of it.
 _DATE = r"\d{4}-\d{2}-\d{2}"
-_CLOCK = r"\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?"
+_CLOCK = r"([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d+)?)?)?"
 _OFFSET = r"([+-]\d{2}(:?\d{2}(:?\d{2})?)?)"
 _NAIVE = rf"^{_DATE}([T ]\d{{2}}(:\d{{2}}(:\d{{2}})?)?)?$"
-_WITH_OFFSET = rf"^{_DATE}([T ]{_CLOCK}{_OFFSET}?)?$"
+_WITH_OFFSET = rf"^{_DATE}([T ]{_CLOCK}(Z|{_OFFSET})?)?$"
 _INSTANT = rf"^{_DATE}([T ]\d{{2}}:\d{{2}}(:\d{{2}}(\.\d+)?)?(Z|[+-]\d{{2}}(:?\d{{2}})?)?)?$"
 _ZONE_AT_END = r"T.*(Z|[+-]\d{2}(:?\d{2})?)$"
 
@@ -95,13 +95,12 @@ def days_between(start, end) -> Column:
 
 def iso_hour(c) -> Column:
     """Hour as written in an ISO text (its own offset), 0 for a date alone,
-    null when the text is not a valid timestamp."""
-    x = F.replace(_col(c), F.lit("Z"), F.lit("+00:00"))
-    clock = F.regexp_replace(x, f"{_OFFSET}$", "")
-    at = lambda i: _part(clock, i)
-    parsed = _clock(F.left(x, F.lit(10)), F.when(F.length(x) == 10, F.lit("00")).otherwise(at(12)),
-                    F.when(F.length(x) == 10, F.lit("00")).otherwise(at(15)), F.when(F.length(x) == 10, F.lit("00")).otherwise(at(18)))
-    return F.when(x.rlike(_WITH_OFFSET), F.hour(parsed))
+    null when the text is not a valid timestamp. One test of the shape, which
+    also bounds hour, minute and second, and one of the day; the hour then stands
+    at a fixed place."""
+    c = _col(c)
+    hour = F.when(F.length(c) == 10, F.lit(0)).otherwise(F.substring(c, 12, 2).try_cast("int"))
+    return F.when(c.rlike(_WITH_OFFSET) & F.left(c, F.lit(10)).try_cast("date").isNotNull(), hour)
 
 
 def format_ts(c, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:

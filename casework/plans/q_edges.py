@@ -121,7 +121,7 @@ def edge_report(spark, sf):
 CELLS = ['a "b", c', "two\nlines", ";", None, "'", "é\\n"]
 
 
-@register("edge_csv", f"SELECT {N}, {_sql(CELLS)} AS texto, n_name FROM nation")
+@register("edge_csv", f"SELECT CAST({N} AS BIGINT) AS {N}, {_sql(CELLS)} AS texto, n_name FROM nation")
 def edge_csv(spark, sf):
     path = new_output_path(spark, "edge-csv")
     W.write_csv(DS.tables(spark, sf).nation.select("n_name", _at(CELLS).alias("texto"), N), path)
@@ -132,7 +132,7 @@ def edge_csv(spark, sf):
 # A dictionary whose columns stand in another order, with short and odd rows.
 @register("edge_dictionary", f"""
 SELECT n_name AS first_name, CASE WHEN {N} % 3 = 0 THEN NULL ELSE 'F' END AS classification,
-  CASE WHEN {N} % 2 = 0 THEN {N} END AS frequency_total FROM nation WHERE {N} % 5 <> 4""")
+  CASE WHEN {N} % 2 = 0 THEN CAST({N} AS BIGINT) END AS frequency_total FROM nation WHERE {N} % 5 <> 4""")
 def edge_dictionary(spark, sf):
     path = new_output_path(spark, "edge-names")
     field = lambda c: F.coalesce(c, F.lit(""))
@@ -148,7 +148,7 @@ def edge_dictionary(spark, sf):
 
 # A response per nation; one subject is no object, one code no number.
 @register("edge_responses", f"""
-SELECT row_number() OVER (ORDER BY {N}) - 1 AS hit_pos, n_name AS numero_processo, CASE WHEN {N} % 2 = 0 THEN {N} END AS codigo,
+SELECT row_number() OVER (ORDER BY {N}) - 1 AS hit_pos, n_name AS numero_processo, CASE WHEN {N} % 2 = 0 THEN CAST({N} AS BIGINT) END AS codigo,
   '|' || n_name AS assuntos FROM nation""")
 def edge_responses(spark, sf):
     path = new_output_path(spark, "edge-responses")
