@@ -3,7 +3,7 @@
 The original drives a browser page by page; the data work is reading a few
 fields out of each page. Here a page is a row ``(key, html)``. Elements, rows
 and nested tables need a parser, so one narrow stage over Arrow batches reads
-each page once with the standard library's HTML parser and returns the few fields
+each page once, in time that follows its length, and returns the few fields
 it holds; the name patterns over the raw page and all rules on the fields are
 column expressions. Nothing is shuffled.
 
@@ -15,8 +15,11 @@ overflowing the stack.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,117 +33,236 @@ from casework.session import ship_package
 # Elements without content, and those whose text nobody sees.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNSEEN = frozenset(("script", "style", "template", "noscript"))
+# Elements whose content is text up to their end tag, tags and all; in the
+# last two, character references count.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in ("script", "style", "xmp", "iframe", "noembed", "noframes", "textarea", "title")}
+REFERENCES = frozenset(("textarea", "title"))
 # Elements that stand on lines of their own.
 BLOCKS = frozenset("address article div dl dd dt fieldset form h1 h2 h3 h4 h5 h6 hr li ol p section table tbody td th thead tr ul br".split())
 
+CELLS = ("tr", "td", "th")
+
+# The end of a tag: quotes count behind an equals sign only, and what is once
+# matched is never tried another way, so a tag costs its length.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\t\n\r\f />]*+)((?:[^>=]++|=[\t\n\r\f ]*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_COMMENT_BEGUN = re.compile(r"-?>")
+_COMMENT_END = re.compile(r"--!?>")
+
+
+def _ident(attributes: str) -> str | None:
+    """The element's id; the first one counts."""
+    if "id" not in attributes.lower():
+        return None
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() == "id":
+            return unescape(m[2] or m[3] or m[4] or "")
+    return None
+
 
 class _Cell:
-    """A table cell: its text, the cell after it in its row, and whether it
-    lies in the table of parties."""
+    """A table cell: where its text begins and ends, the number of the cell
+    after it in its row, and whether it lies in the table of parties."""
+
+    __slots__ = ("begin", "end", "follows", "parties")
 
-    def __init__(self, parties: bool):
-        self.text: list[str] = []
-        self.follows: _Cell | None = None
-        self.parties = parties
+    def __init__(self, begin: int, parties: bool):
+        self.begin, self.end, self.follows, self.parties = begin, begin, None, parties
 
 
 class _Element:
-    """An open element; ``text`` gathers what is seen inside."""
+    """An open element: its place in the page's text, and what ends with it."""
+
+    __slots__ = ("tag", "ident", "cell", "is_judge", "last_cell")
 
     def __init__(self, tag: str, ident: str | None):
         self.tag, self.ident = tag, ident
-        self.text: list[str] = []
+        self.cell: _Cell | None = None
         self.last_cell: _Cell | None = None
-
-
-class CasePage(HTMLParser):
-    """One pass over a page: its text, the judge's span, and its table cells
-    in the order they begin."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = _Element("", None)
-        self.open = [self.root]
-        self.judge: list[str] | None = None
+        self.is_judge = False
+
+
+class CasePage:
+    """One pass over a page: its text, and as ranges of it the judge's span
+    and the table cells in the order they begin.
+
+    The text is kept once. An element is two places in it, so open elements cost
+    nothing as text goes by; open elements are found by tag and counted by id, not
+    searched. A tag that the page does not finish ends the page, as in a browser.
+    """
+
+    def __init__(self, page: str) -> None:
+        self._parts: list[str] = []
+        self._size = 0
+        self._open: list[_Element] = [_Element("", None)]
+        self._by_tag: dict[str, list[int]] = defaultdict(list)
+        self._by_ident: Counter[str] = Counter()
+        self._rows: list[int] = []  # open rows and tables
+        self._unseen = 0
+        self._judge: list[int] | None = None
         self.cells: list[_Cell] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("tr", "td", "th"):
+        self._read(page)
+        self._cut(1)
+        self.text = "".join(self._parts)
+        self.judge = self.text[slice(*self._judge)] if self._judge else ""
+
+    def _read(self, page: str) -> None:
+        find, match, size, at = page.find, _TAG.match, len(page), 0
+        while at < size:
+            mark = find("<", at)
+            if mark != at:
+                self._say(page[at:mark] if mark >= 0 else page[at:])
+                if mark < 0:
+                    return
+            tag = match(page, mark)
+            if tag is None:
+                at = self._other(page, mark)
+                continue
+            at = tag.end()
+            slash, name, attributes = tag.groups()
+            name = name.lower()
+            if slash:
+                places = self._by_tag.get(name)
+                if places and (name not in CELLS or places[-1] > self._floor()):
+                    self._cut(places[-1])
+                continue
+            self._start(name, attributes)
+            if name in RAW:
+                end = RAW[name].search(page, at)
+                stop = end.start() if end else size
+                self._say(page[at:stop], name in REFERENCES)
+                at = stop
+
+    def _other(self, page: str, mark: int) -> int:
+        """Where a ``<`` that begins no whole tag leaves off: a comment, a tag that the page does not finish, or text."""
+        begin, after = page[mark + 1:mark + 2], page[mark + 2:mark + 3]
+        if page.startswith("<!--", mark):
+            # <!--> and <!---> are whole comments.
+            end = _COMMENT_BEGUN.match(page, mark + 4) or _COMMENT_END.search(page, mark + 4)
+            return end.end() if end else len(page)
+        if begin.isascii() and begin.isalpha() or begin == "/" and after.isascii() and after.isalpha():
+            return len(page)
+        if begin in ("!", "?") or begin == "/" and after:
+            return page.find(">", mark) + 1 or len(page)
+        self._say("<")
+        return mark + 1
+
+    def _say(self, text: str, references: bool = True) -> None:
+        if not self._unseen:
+            if references and "&" in text:
+                text = unescape(text)
+            self._parts.append(text)
+            self._size += len(text)
+
+    def _start(self, tag: str, attributes: str) -> None:
+        if tag in CELLS:
             # A cell or row that was not closed ends where the next begins.
-            self._close(("td", "th") if tag != "tr" else ("td", "th", "tr"), "table", every=True)
+            floor = self._floor()
+            ended = [p[bisect_right(p, floor)] for p in map(self._by_tag.get, CELLS if tag == "tr" else CELLS[1:]) if p and p[-1] > floor]
+            if ended:
+                self._cut(min(ended))
         if tag in BLOCKS:
-            self.handle_data("\n")
+            self._say("\n")
         if tag in VOID:
             return
-        e = _Element(tag, dict(attrs).get("id"))
-        idents = [x.ident for x in self.open]
+        e = _Element(tag, _ident(attributes) if attributes else None)
         if tag == "td":
-            cell = _Cell(K.PARTIES_TABLE_ID in idents)
-            row = next((x for x in reversed(self.open) if x.tag in ("tr", "table")), self.root)
+            e.cell = cell = _Cell(self._size, self._by_ident[K.PARTIES_TABLE_ID] > 0)
+            row = self._open[self._rows[-1]] if self._rows else self._open[0]
             if row.last_cell is not None:
                 row.last_cell.follows = cell
             row.last_cell = cell
             self.cells.append(cell)
-            e.text = cell.text
-        if tag == "span" and self.judge is None and K.JUDGE_ELEMENT_ID in idents:
-            self.judge = e.text
-        self.open.append(e)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        self._close((tag,), "table" if tag in ("td", "th", "tr") else None)
-
-    def handle_data(self, data: str) -> None:
-        if not any(e.tag in UNSEEN for e in self.open):
-            for e in self.open:
-                e.text.append(data)
-
-    def _close(self, tags: tuple[str, ...], within: str | None, every: bool = False) -> None:
-        """End the innermost open element of ``tags`` (or all of them) and what
-        is open inside it; elements outside ``within`` are left alone."""
-        at = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                at = i
-                if not every:
-                    break
-            elif self.open[i].tag == within:
-                break
-        if at is not None:
-            del self.open[at:]
-
-
-def _follows(cells: list[_Cell]) -> str | None:
+        if tag == "span" and self._judge is None and self._by_ident[K.JUDGE_ELEMENT_ID] > 0:
+            e.is_judge, self._judge = True, [self._size, self._size]
+        place = len(self._open)
+        self._open.append(e)
+        self._by_tag[tag].append(place)
+        if e.ident is not None:
+            self._by_ident[e.ident] += 1
+        if tag == "tr" or tag == "table":
+            self._rows.append(place)
+        self._unseen += tag in UNSEEN
+
+    def _floor(self) -> int:
+        """The innermost open table: rows and cells outside it are left alone."""
+        tables = self._by_tag.get("table")
+        return tables[-1] if tables else 0
+
+    def _cut(self, at: int) -> None:
+        """End the open elements from ``at``."""
+        for place in range(len(self._open) - 1, at - 1, -1):
+            e = self._open.pop()
+            self._by_tag[e.tag].pop()
+            if e.ident is not None:
+                self._by_ident[e.ident] -= 1
+            if e.cell is not None:
+                e.cell.end = self._size
+            if e.is_judge:
+                self._judge[1] = self._size
+            if self._rows and self._rows[-1] == place:
+                self._rows.pop()
+            self._unseen -= e.tag in UNSEEN
+
+
+def _lower(text: str) -> str:
+    """Lower case, place for place: the one letter that grows matches nothing."""
+    return text.replace("İ", "\0").lower()
+
+
+def _phrase(words: str) -> re.Pattern:
+    """A phrase with any white space between its words."""
+    return re.compile(r"\s+".join(map(re.escape, words.lower().split())))
+
+
+_NOT_FOUND = _phrase(K.NOT_FOUND_MARKER)
+_LABELS = [_phrase(label) for label in K.CLAIMANT_LABELS]
+_TERMS = [re.compile(re.escape(term.lower())) for term in K.DECISION_TEXT_TERMS]
+
+
+def _first_with(cells: list[_Cell], pattern: re.Pattern, lower: str) -> _Cell | None:
+    """The first cell with a match inside. All places are found once, so cells
+    in cells do not read the text again."""
+    matches = [m.span() for m in pattern.finditer(lower)]
+    if not matches:
+        return None
+    begins = [m[0] for m in matches]
+    for cell in cells:
+        i = bisect_left(begins, cell.begin)
+        if i < len(matches) and matches[i][1] <= cell.end:
+            return cell
+    return None
+
+
+def _follows(page: CasePage, lower: str) -> str | None:
     """Text of the cell after the first cell of the parties table that
     contains a label and has one after it, labels tried in order."""
-    for label in K.CLAIMANT_LABELS:
-        for cell in cells:
-            if cell.parties and cell.follows is not None and label.lower() in " ".join("".join(cell.text).split()).lower():
-                return "".join(cell.follows.text)
+    cells = [c for c in page.cells if c.parties and c.follows is not None]
+    for label in _LABELS if cells else ():
+        cell = _first_with(cells, label, lower)
+        if cell is not None:
+            return page.text[cell.follows.begin:cell.follows.end]
     return None
 
 
-def _decision(cells: list[_Cell]) -> str | None:
+def _decision(page: CasePage, lower: str) -> str | None:
     """The first cell with a term, if it is long enough, terms in order."""
-    texts = ["".join(c.text).strip() for c in cells]
-    for term in K.DECISION_TEXT_TERMS:
-        first = next((t for t in texts if term.lower() in t.lower()), "")
-        if len(first) > K.DECISION_TEXT_MIN_CHARS:
-            return first
+    for term in _TERMS if page.cells else ():
+        cell = _first_with(page.cells, term, lower)
+        if cell is not None:
+            text = page.text[cell.begin:cell.end].strip()
+            if len(text) > K.DECISION_TEXT_MIN_CHARS:
+                return text
     return None
 
 
-def page_values(html: str | None) -> tuple[bool | None, str, str | None, str | None]:
+def page_values(page: str | None) -> tuple[bool | None, str, str | None, str | None]:
     """not found, judge's element ('' without), claimant's cell, decision text."""
-    if html is None:
+    if page is None:
         return None, "", None, None
-    page = CasePage()
-    page.feed(html)
-    page.close()
-    text = " ".join("".join(page.root.text).split()).lower()
-    return K.NOT_FOUND_MARKER.lower() in text, "".join(page.judge or ()).strip(), _follows(page.cells), _decision(page.cells)
+    parsed = CasePage(page)
+    lower = _lower(parsed.text)
+    return _NOT_FOUND.search(lower) is not None, parsed.judge.strip(), _follows(parsed, lower), _decision(parsed, lower)
 
 
 def possessive(pattern: str) -> str:
@@ -163,7 +285,7 @@ def with_fields(df: DataFrame, html_col: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [page_values(html) for html in batch.column(at).to_pylist()]
+            rows = [page_values(page) for page in batch.column(at).to_pylist()]
             new = [pa.array([r[i] for r in rows], pa.string() if i else pa.bool_()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *fields.names])
 

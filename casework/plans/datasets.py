@@ -61,6 +61,17 @@ def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semi(collected_records(tables(spark, sf_dir)), union(spark, sf_dir), "numero_processo")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed table of saved case pages (numero_processo, html,
+    o_orderkey), in files of even size: reading a page costs far more than its
+    bytes suggest."""
+    from casework.sources.fixtures import PAGES_VERSION, case_pages
+    from casework.sources.landing import land
+
+    inputs = [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in HIT_INPUTS]
+    return land(spark, f"pages-v{ADAPTER_VERSION}.{PAGES_VERSION}", inputs, lambda: case_pages(collected(spark, sf_dir)).hint("rebalance"))
+
+
 def valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F5 + J2: found records with decision text, plus the binary target
     looked up by case number (last duplicate wins, null when absent)."""

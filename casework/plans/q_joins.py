@@ -12,7 +12,7 @@ from casework.plans.q_features import _FEAT_CTES
 from casework.plans.q_pages import _PAGES_CTES
 from casework.plans.registry import register
 from casework.session import new_output_path
-from casework.sources.fixtures import case_pages, collected_records
+from casework.sources.fixtures import collected_records
 from casework.streaming.incremental import plan_run, read_progress, run_counts, run_incremental, store_batch
 
 # Previous partial run of the collector: every other block of ten orders.
@@ -104,7 +104,7 @@ FROM pge WHERE numero_processo IN (SELECT numero_processo FROM dunion)""", _PAGE
 def incremental_rerun(spark, sf):
     path = new_output_path(spark, "progress")
     listed = DS.union(spark, sf).select("numero_processo")
-    pages = case_pages(DS.collected(spark, sf))
+    pages = DS.pages(spark, sf)
     half = listed.filter(F.substring("numero_processo", 20, 1).isin("0", "2", "4", "6", "8"))
     before = run_incremental(half, pages, path, PG.extract, batches=2).select(
         F.col("numero_processo"), F.lit("mantido").alias("antes"))

@@ -11,7 +11,7 @@ from casework.plans import datasets as DS
 from casework.plans.oracle import with_base
 from casework.plans.registry import register
 from casework.plans.sqlfrag import contains_any, q, strip_ws
-from casework.sources.fixtures import ERROR_RESIDUE, PAGE_SPEC, case_pages
+from casework.sources.fixtures import ERROR_RESIDUE, PAGE_SPEC
 
 
 def _sql_frag(conds, parts) -> str:
@@ -103,7 +103,7 @@ _PAGES_CTES = {
 
 
 def _pages(spark, sf):
-    return case_pages(DS.collected(spark, sf))
+    return DS.pages(spark, sf)
 
 
 @register("page_status", with_base("SELECT numero_processo, status FROM pge", _PAGES_CTES))

@@ -84,6 +84,8 @@ def name_dictionary(spark: SparkSession) -> DataFrame:
 # text or record fields (a missing field prints as empty). The SQL twin in
 # casework.plans.q_pages renders the same spec.
 
+#: Bump when the pages change, so that they are landed anew.
+PAGES_VERSION = 1
 NOT_FOUND_TEXT = f"{K.NOT_FOUND_MARKER} disponíveis para os parâmetros informados."
 LONG_TAIL = "Sentença registrada sem texto público disponível para consulta."
 FOUND = (20, tuple(range(2, 20)))
