@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from casework.operators.sequence import with_sequence
 from casework.sources.adapter import MOVEMENT_TYPE, SUBJECT_TYPE
+from casework.sources.csv_ranges import CsvFiles
 
 SOURCE_TYPE = T.StructType([
     T.StructField("numeroProcesso", T.StringType()),
@@ -98,47 +99,42 @@ def read_hits_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("hit_pos", *_hit_columns(F.struct("_source", "sort")))
 
 
-def _csv_texts(spark: SparkSession, path: str, extra: str | None = None) -> DataFrame:
-    """Every column of a header CSV as text, by the header's names. Cells may
-    hold separators, doubled quotes and newlines. ``extra`` takes a field
-    beyond the header's last."""
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
-    names = spark.read.options(**options).csv(path).columns
-    fields = [T.StructField(c, T.StringType()) for c in [*names, *([extra] if extra else [])]]
-    return spark.read.schema(T.StructType(fields)).options(**options).csv(path)
+def _named(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The schema's columns from the texts c0, c1, ..., cast one by one; null where the text does not cast."""
+    return rows.select(*[F.col(f"c{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)])
 
 
-def _named(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The schema's columns by name; null where the file has none or the text does not cast."""
-    value = lambda f: F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
-    return df.select(*[value(f).alias(f.name) for f in schema.fields])
+def _fitting(rows: DataFrame) -> DataFrame:
+    """The rows; one with more cells than its header has names stops the job."""
+    bad = F.raise_error(F.lit("a row has more fields than the header")).cast("boolean")
+    return rows.where(F.when(F.col("_surplus"), bad).otherwise(True))
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Header CSV read as text columns by name (like ``csv.DictReader``)."""
-    return _named(_csv_texts(spark, path), T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    """Header CSV read as text columns by name (like ``csv.DictReader``);
+    cells beyond the header are left out. Each file's own header counts; a column that
+    a file lacks is null, as are empty cells. Cells may hold separators, doubled quotes and line
+    breaks, and a file is read by as many tasks as it has ranges."""
+    return CsvFiles(spark, path).rows(columns).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def read_csv_in_order(spark: SparkSession, path: str, columns: list[str], ordinal: str) -> DataFrame:
     """S5 with the rows' order: ``ordinal`` numbers them 1..N by file name and
     place in the file, the order in which a sorted table is written."""
-    rows = _csv_texts(spark, path).select(*columns, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
-    return with_sequence(rows, [F.col("_file"), F.col("_line")], ordinal, start=1).select(*columns, ordinal)
+    return CsvFiles(spark, path).in_order(columns, 1).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("_at").alias(ordinal))
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Typed CSV by column name; cells may hold newlines and quotes."""
-    return _named(_csv_texts(spark, path), schema)
+    """Typed CSV by column name, as :func:`read_csv_strings`; a row with more
+    fields than its file's header is an error."""
+    return _named(_fitting(CsvFiles(spark, path).rows(schema.fieldNames())), schema)
 
 
 def read_gzip_csv(spark: SparkSession, path: str, schema: T.StructType,
                   skip_bad_lines: bool = False) -> DataFrame:
     """Gzip CSV by column name (decompressed natively; one task per file
-    since gzip does not split). A row with more fields than the header is
+    since gzip does not split). A row with more fields than its file's header, empty or not, is
     dropped with ``skip_bad_lines``, else an error; short rows and odd values are kept
     with nulls. Which columns are read changes no row."""
-    rows = _csv_texts(spark, path, "_extra")
-    fits = F.col("_extra").isNull()
-    if not skip_bad_lines:
-        fits = F.when(fits, True).otherwise(F.raise_error(F.lit("a row has more fields than the header")).cast("boolean"))
-    return _named(rows.where(fits), schema)
+    rows = CsvFiles(spark, path).rows(schema.fieldNames())
+    return _named(rows.where("not _surplus") if skip_bad_lines else _fitting(rows), schema)

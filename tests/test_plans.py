@@ -16,8 +16,10 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-# Elements, rows and nested tables of saved pages need an HTML parser.
-PARSED = {"page_status", "page_field_primary", "page_labelled_cell", "page_decision_text", "page_extract", "page_edge_cases", "incremental_rerun"}
+# Elements, rows and nested tables of saved pages need an HTML parser; records that
+# cross byte ranges need a scanner that keeps its state from line to line.
+PARSED = {"csv_roundtrip", "case_table_csv", "gzip_csv_dictionary", "case_numbers_csv", "edge_csv", "edge_dictionary",
+          "page_status", "page_field_primary", "page_labelled_cell", "page_decision_text", "page_extract", "page_edge_cases", "incremental_rerun"}
 
 
 @pytest.mark.parametrize("name", sorted(set(REGISTRY) - PARSED))
