@@ -19,7 +19,8 @@ def read_tokenizer(path: str) -> str:
 
 class TokenIds:
     """Ids as the tokenizers library gives them for a byte-level BPE file,
-    special tokens in a text taken as ordinary text.
+    without special tokens of its own. A text that holds the string of an added
+    token goes to the library as a whole, which gives the token's id for it.
 
     The merges of unknown words run in tiktoken over the same vocabulary, which is four
     times as fast (a byte-level BPE file's ids are its merge ranks; the tests
@@ -34,7 +35,7 @@ class TokenIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model = json.loads(source)["model"]
         back = {ord(ch): b for b, ch in enumerate(byte_letters())}
-        special = {t["content"] for t in json.loads(source).get("added_tokens", [])}
+        self.added = special = {t["content"] for t in json.loads(source).get("added_tokens", [])}
         ranks = {bytes(back[ord(c)] for c in token): i for token, i in model["vocab"].items() if token not in special}
         widths = np.ones(max(model["vocab"].values()) + 1, dtype=np.int64)
         for token, i in ranks.items():
@@ -57,12 +58,11 @@ class TokenIds:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_str(self.source)
-            self.whole.encode_special_tokens = True
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        young = [self._young(t) for t in texts]
+        young = [self._young(t) or any(a in t for a in self.added) for t in texts]
         ids = self.pieces.many(["" if y else t for t, y in zip(texts, young)])
         return [self._by_library(t) if y else i for t, i, y in zip(texts, ids, young)]
 

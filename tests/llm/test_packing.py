@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from casework.llm.histogram_packing import pack_histogram, packed_documents, sequences, slots
+from casework.llm.histogram_packing import pack_histogram, packed_documents, sequences, slots, token_pieces
 from casework.llm.matrix_packing import FreeSpace, best_fit_decreasing, packed_matrix, segment_rows
 from casework.llm.token_ids import opened, read_tokenizer
 from tests.llm.test_byte_bpe import ODD
@@ -21,7 +21,6 @@ PATTERN = public_tokenizers.PATTERN
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -29,11 +28,27 @@ def test_ids_match_the_library(library):
     tok = opened(read_tokenizer(FILE), PATTERN)
     rng = random.Random(3)
     alphabet = list(" \n\t'.,abcXYZ019éüß中  ") + ["the", "ing", " of", "'s", "\U0001f600", "<|endoftext|>"]
-    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(1000)]
+    end = "<|endoftext|>"
+    texts = ODD + [end, end + end, f"x {end} y", f"{end}the\n", f"a{end}b {end}", "<|endoftext|", f"é {end}\U0001f600", f" {end} {end} "] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(1000)]
     for text, ids in zip(texts, tok.many(texts)):
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library(text), repr(text[:40])
 
 
+def test_an_added_token_has_its_own_id(library):
+    assert library("x <|endoftext|> y") == [87, 220, 50256, 331]
+    (ids,) = opened(read_tokenizer(FILE), PATTERN).many(["x <|endoftext|> y"])
+    assert list(struct.unpack("<4I", ids)) == [87, 220, 50256, 331]
+
+
+def test_equal_rows_are_ranked_in_many_tasks(spark, library):
+    """Rows that repeat id and text share a length, a start and all ids."""
+    frame = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same words' as text").repartition(4)
+    pieces = token_pieces(frame, FILE, PATTERN, 2048, 1)
+    assert pieces.select("piece").distinct().count() == 3000
+    rows = packed_documents(frame, FILE, PATTERN).collect()
+    assert "piece" not in rows[0] and check(rows, [(None, "same words", 3000)], library, 2048) < 1.3
+
+
 def test_every_entry_matches_the_library(library):
     tok = opened(read_tokenizer(FILE), PATTERN)
     entries = [e for e in (b.decode("utf-8", "ignore") for b in tok.fast._mergeable_ranks) if e]
@@ -90,7 +105,7 @@ def test_best_fit_matches_a_plain_search():
 def docs(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["the", "inner", "quay", "zz9"]) for _ in range(rng.choice([0, 3, 40, 900]))), i, "x") for i in range(120)]
-    rows += [(200, None, 1, "x"), (201, "", 1, "x"), (202, "same", 1, "x"), (202, "same", 1, "x"), (None, "no id", 1, "x")]
+    rows += [(190, "one <|endoftext|> two", 1, "x"), (191, "<|endoftext|>" * 200, 1, "x"), (200, None, 1, "x"), (201, "", 1, "x"), (202, "same", 1, "x"), (202, "same", 1, "x"), (None, "no id", 1, "x")]
     return spark.createDataFrame(rows, "doc_id long, text string, length int, start string")
 
 
