@@ -182,7 +182,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  row_col: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row, and row if ``row_col`` numbers the rows."""
     more = [] if row_col is None else ["row"]
-    docs = id_and_text(docs if row_col is None else docs.withColumnRenamed(row_col, "row"), id_col, text_col, *more)
+    if row_col is not None:
+        docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row_col).alias("row"))
+        id_col, text_col = "doc_id", "text"
+    docs = id_and_text(docs, id_col, text_col, *more)
     digests = written(text_digests(docs), "digests")
     repeated = repeated_prints(digests, digests.count(), per_slice)
 

@@ -162,9 +162,11 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that reach the threshold, as they are."""
     model = fitted(id_and_text(docs, id_col, text_col), labels, max_rows)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # A condition would be moved below the projection, which puts the
     # statistics' expressions in place of their names, once for each rule. A
     # column that must not be evaluated twice holds it above.
     rows = text_statistics(rows).select("row", model.score().alias("score"), F.monotonically_increasing_id().alias("at"))
-    return rows.where((F.col("score") >= threshold) & (F.col("at") >= 0)).select("row.*")
+    return rows.where((F.col("score") >= threshold) & (F.col("at") >= 0)).select(
+        *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -329,8 +329,9 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     found = candidates(docs.select(F.coalesce(text_col, F.lit("")).alias("text")))
     classifier = trained(docs.sparkSession, written(found, "pii-votes"))
-    marked = docs.withColumn("__text", F.coalesce(text_col, F.lit("")))
-    marked = marked.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col("__text").alias("text"))
+    # By place, so that no name of a column clashes or needs quoting.
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    marked = docs.select(row.alias("__row"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = candidates(marked, keep_text=True).select("__row", "text", F.concat("base", accepted(classifier)).alias("spans"))
     inner = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
@@ -342,5 +343,5 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     clean = F.aggregate(F.array_sort(inner), F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), put,
                         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    clean = F.when(F.size("spans") == 0, F.col(f"__row.{text_col}")).otherwise(clean)
-    return rows.select(*[(clean if c == text_col else F.col(f"__row.{c}")).alias(c) for c in docs.columns])
+    clean = F.when(F.size("spans") == 0, F.col(f"__row.c{docs.columns.index(text_col)}")).otherwise(clean)
+    return rows.select(*[(clean if c == text_col else F.col(f"__row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])

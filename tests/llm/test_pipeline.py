@@ -57,13 +57,20 @@ def test_stages_match_brute_force(spark):
 def test_odd_rows_go_through(spark, tmp_path):
     rows = [(1, "good words here. " * 40, "en", "a", 1, 7), (1, "good words here. " * 40, "en", "a", 1, 7), (None, None, None, None, None, None),
             (2, None, "en", "a", 0, 7), (3, "", "en", None, 0, 7), (None, "mail a@b.com", "en", "a", 0, 7)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int"
+    names = ["kept", "row", "row_number", "__text", "__row", "a.b", "further5", "text_sha256", "spans", "label"]
+    rows = [(*r, *[f"{n}!" for n in names[1:]]) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int, " + ", ".join(f"`{n}` string" for n in names[1:])
     for name, data in (("some", rows), ("none", [])):
         spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
     out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
     # The empty texts are exact copies: the row with the largest id stays.
-    assert Counter(r.doc_id for r in out) == {1: 2, 3: 1, None: 2}
+    assert Counter(r.doc_id for r in out) == {1: 1, 3: 1, None: 1}
+    frame = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, frame, f"{tmp_path}/some")
+        assert left.schema.names == frame.schema.names and left.count()
+        assert all(r[n] == f"{n}!" for r in left.collect() for n in names[1:])
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
@@ -77,6 +84,11 @@ def test_deduplication_decides_on_rows(spark):
     rows += [(3, text(3)), (3, text(4)), (4, text(4))]
     want = Counter([(None, text(0)), (1, text(1)), (None, text(2)), (None, None), (3, text(3)), (4, text(4))])
     assert left(corpus_pipeline.exact_dedup, rows) == want
+    # Rows that repeat id and text: one stays, a row without id or text among empty ones too.
+    rows = [(5, text(5))] * 4 + [(None, text(5)), (6, ""), (6, None), (None, None), (6, "")]
+    out = left(corpus_pipeline.exact_dedup, rows)
+    assert out.pop((5, text(5))) == 1 and sum(out.values()) == 1 and {k for k, _ in out} == {6}
+    assert left(corpus_pipeline.near_dedup, [(5, text(5))] * 3 + [(5, near(5))] * 2 + [(None, near(5))]).total() == 1
     rows = [(None, text(0)), (1, text(1)), (None, near(1)), (None, text(2)), (None, near(2)), (2, near(4)), (4, text(3)), (4, text(4))]
     want = Counter([(None, text(0)), (1, text(1)), (2, near(4)), (4, text(3))])
     out = left(corpus_pipeline.near_dedup, rows)
