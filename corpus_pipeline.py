@@ -1,15 +1,19 @@
 """The corpus pipeline: documents in, packed sequences out.
 
 Each stage works on all rows that the one before kept and applies its operator's decisions;
-all but the last return the columns of documents. The deduplication stages number the rows and
-decide on each: rows without an id, or with one id and different texts, do not stand or fall together.
-Of a group without ids the first row stays. Rows with neither id nor text are a group of their
-own. Rows that repeat both the id and the text of the row that stays all stay with it. An empty
-table goes through.
+all but the last return the columns of documents, and further columns, whatever their names, as
+they are. A null text counts as empty and stays null; texts of any length are read whole. The
+deduplication stages number the rows and decide on each: rows without an id, or with one id and
+different texts, do not stand or fall together. One row of each group stays: of equal texts one with the
+largest id, of near copies one with the least, an id before none, and among rows that
+tie, repeated rows too, the first. An empty table goes through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +31,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
-ROW = "__row_number"
+ROW = "row_number"
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(stage: Callable) -> Callable:
+    """The stage with further columns under names that clash with none of its own."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inner = [c if c in DOCUMENT else f"further{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*inner), sf_dir)
+        return out.select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns)])
+
+    return run
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -45,26 +61,20 @@ def _without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
     docs = _numbered(docs)
-    blank = F.col("doc_id").isNull() & F.col("text").isNull()
-    groups = written(exact_groups(docs.where(~blank), row_col=ROW).where("group_size > 1"), "exact-groups")
-    nameless = groups.where("keep_id is null").select("text_sha256", "row")
-    nameless = nameless.unionAll(docs.where(blank).select(F.lit("").alias("text_sha256"), F.col(ROW).alias("row")))
-    first = nameless.groupBy("text_sha256").agg(F.min("row").alias("row")).select("row")
-    copies = _without(nameless, first, "first-rows").select("row")
-    return _without(docs, groups.where("not kept").select("row").unionAll(copies), "gone").drop(ROW)
+    groups = written(exact_groups(docs, row_col=ROW).where("group_size > 1"), "exact-groups")
+    stays = groups.where("kept").groupBy("text_sha256").agg(F.min("row").alias("row")).select("row")
+    return _without(docs, _without(groups.select("row"), stays, "staying"), "gone").drop(ROW)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group, the document with the least id."""
     docs = _numbered(docs)
     groups = near_groups(docs, id_col=ROW).select(F.col("doc_id").alias("row"), "component_id")
-    known = docs.select(F.col(ROW).alias("row"), "doc_id", F.xxhash64("text").alias("text"))
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "text")
+    known = docs.select(F.col(ROW).alias("row"), "doc_id")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     members = written(groups.join(known, "row"), "near-members")
     least = members.groupBy("component_id").agg(F.min(order).alias("least"), F.count("*").alias("rows")).where("rows > 1")
-    repeats = F.coalesce(F.col("doc_id") == F.col("least.doc_id"), F.lit(False)) & (F.col("text") == F.col("least.text"))
-    stays = (F.col("row") == F.col("least.row")) | repeats
-    gone = members.join(least.select("component_id", "least"), "component_id").where(~stays)
+    gone = members.join(least.select("component_id", "least"), "component_id").where(F.col("row") != F.col("least.row"))
     return _without(docs, gone, "gone").drop(ROW)
 
 
@@ -79,7 +89,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, size=2048, end_id=1)
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
+STAGES = [("quality", _apart(quality)), ("exact_dedup", _apart(exact_dedup)), ("near_dedup", _apart(near_dedup)), ("pii", _apart(pii)), ("packing", packing)]
 
 #: The quality stage's fit cannot be said in SQL; the tests hold each stage
 #: against a brute-force version.
