@@ -21,6 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,14 +37,15 @@ RANK_GROUP = 1_000
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, pattern: str, size: int, end_id: int, id_col: str = "doc_id",
                  text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece (and its ids)."""
+    """doc_id, start, length, ids_crc32, doc_tokens of every piece (and its
+    ids), and piece, a number of its own as long as the rows are not made anew."""
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_file))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece"]
     schema = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.binary())] * with_ids)
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = opened(shared.value, pattern)
+        tok, piece = opened(shared.value, pattern), TaskContext.get().partitionId() << 40
         for batch in in_parts(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for begin, stop in blocks(texts, BLOCK_CHARS):
@@ -53,7 +55,8 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, pattern: str, size: int,
                     n = len(ids) // 4
                     for start in range(0, n, size):
                         part = ids[4 * start:4 * (start + size)]
-                        rows.append((key, start, len(part) // 4, zlib.crc32(part), n, part))
+                        rows.append((key, start, len(part) // 4, zlib.crc32(part), n, piece, part))
+                        piece += 1
                 cols = list(zip(*rows))[:len(schema)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
@@ -121,7 +124,7 @@ def slots(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, in
 
 
 def pack(pieces: DataFrame, size: int) -> DataFrame:
-    """``pieces`` (doc_id, start, length, ...) with sequence_id and offset.
+    """``pieces`` (doc_id, start, length, piece, ...) with sequence_id and offset.
 
     ``pieces`` must give the same rows each time it is read (a written table).
     """
@@ -135,19 +138,19 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     # then by the sizes of the groups before. A length has as many groups as
     # its count asks for, so a hot length is dealt over many tasks.
     shares = spark.createDataFrame([(n, groups_for(k, RANK_GROUP)) for n, k in counts.items()], "length long, shares long")
-    share = F.pmod(F.xxhash64("doc_id", "start"), F.col("shares")).alias("share")
+    share = F.pmod(F.xxhash64("piece"), F.col("shares")).alias("share")
     keyed = pieces.join(F.broadcast(shares), "length").select(*pieces.columns, share)  # a row for each length
     sizes = keyed.groupBy("length", "share").count()
     before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "share", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "share").orderBy("doc_id", "start", *[c for c in ("ids_crc32",) if c in pieces.columns])
+    within = Window.partitionBy("length", "share").orderBy("doc_id", "start", "piece")
     ranked = keyed.withColumn("nth", F.row_number().over(within) - 1).join(sizes, ["length", "share"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth")).drop("before", "nth", "share")
     # At most ``size`` lengths with a bounded number of places each: the size
     # of the table follows from ``size``, not from the data.
     at = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("packs"))
     joined = ranked.join(F.broadcast(places), "length").where(at)
-    return joined.select(*pieces.columns, (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    return joined.select(*[c for c in pieces.columns if c != "piece"], (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 
 def packed_documents(docs: DataFrame, tokenizer_file: str, pattern: str, size: int = 2048, end_id: int = 1,
