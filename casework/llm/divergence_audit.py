@@ -43,7 +43,7 @@ SCALE = 1_000_000_000
 #: Rows of partial counts that a task holds.
 HELD = 400_000
 #: Sources of one tile, nonzero frequencies of one shard, numbers in one block.
-TILE, SHARD, BLOCK = 1024, 1_000_000, 2_000_000
+TILE, SHARD, BLOCK = 1024, 25_000, 2_000_000
 
 _KEYS = ["lang", "source", "term"]
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("df", pa.int64())])
@@ -197,13 +197,15 @@ def _shard_sums(frame: DataFrame, size: int, block: int) -> DataFrame:
 
 def pair_sums(kept: DataFrame, groups: DataFrame, shard_rows: int = SHARD, size: int = TILE, block: int = BLOCK) -> DataFrame:
     """lang, i, j, value for all pairs i < j of a language's sources (numbers).
-    A shard has about ``shard_rows`` frequencies, a tile ``size`` sources, a block about ``block`` numbers.
+    A shard has about ``shard_rows`` frequencies, or as many as it gives sums, a tile ``size`` sources, a block about ``block`` numbers.
 
     ``groups``: lang, source_id, absent (frequency of a term without occurrences), sources, terms (of the language).
     ``kept``: lang, number (of the term), source_id, p of all nonzero counts.
     """
-    shards = kept.groupBy("lang").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))
-    listed = groups.join(shards, "lang", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    listed = groups.join(kept.groupBy("lang").agg(F.count("*").alias("cells")), "lang", "left")
+    sums = F.least("sources", F.lit(size)) * F.least("sources", F.lit(size)) / 2
+    shards = F.ceil(F.col("cells") / F.greatest(F.lit(shard_rows), sums)).cast("int")
+    listed = listed.withColumn("shards", F.coalesce(shards, F.lit(1))).drop("cells")
     tile = F.floor(F.col("source_id") / F.lit(size)).cast("int")
     tiles = F.floor((F.col("sources") - 1) / F.lit(size)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), tiles), lambda t: F.struct(F.least(t, tile).alias("tile_i"), F.greatest(t, tile).alias("tile_j")))
