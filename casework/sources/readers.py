@@ -8,13 +8,13 @@ and takes no neighbour along; a document that is not JSON stops the job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casework.operators.sequence import with_sequence
 from casework.sources.adapter import MOVEMENT_TYPE, SUBJECT_TYPE
 from casework.sources.csv_ranges import CsvFiles
+from casework.sources.ranges import numbered, stored
 
 SOURCE_TYPE = T.StructType([
     T.StructField("numeroProcesso", T.StringType()),
@@ -73,23 +73,47 @@ def _hit_columns(hit: Column) -> list[Column]:
             _strict(hit["sort"], T.ArrayType(T.LongType())).alias("sort")]
 
 
+#: Documents whose first positions may be broadcast: 16 MB of them.
+MOST_PAGES = 1_000_000
+
+
 def read_search_responses(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """S3: search responses (``{hits: {total, hits: [...]}}``) -> one row per
     hit. ``hit_pos`` numbers the hits 0..N-1 by the document's own ``pagina``
     where it has one, then by file path, place in the file and place in the
     document.
+
+    The hits do not move to be numbered. Where all documents have one page number (or none), the
+    hits of each byte range are counted and prefix sums over the ranges give each range its first
+    position; else each document gets its own from the sums over pages.
     A document that does not parse is an error. Pretty-printed documents need
     ``multi_line`` (one task per file: land them once as Parquet); one
     response per line splits normally."""
     hits = T.ArrayType(_loose(HIT_TYPE))
     schema = T.StructType([T.StructField("hits", T.StructType([T.StructField("hits", hits)])), T.StructField("pagina", T.StringType())])
     raw = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
-    order = ["_page", "_file", "_block", "_line", "_pos"]
-    rows = raw.select(F.col("_metadata.file_path").alias("_file"), F.coalesce(F.col("pagina").try_cast("long"), F.lit(0)).alias("_page"),
-                      F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"),
-                      F.posexplode("hits.hits").alias("_pos", "_hit"))
-    numbered = with_sequence(rows.select(*order, *_hit_columns(F.col("_hit"))), [F.col(c) for c in order], "hit_pos")
-    return numbered.select("hit_pos", *SOURCE_FIELDS, "sort")
+    docs = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                      F.coalesce(F.col("pagina").try_cast("long"), F.lit(0)).alias("page"), F.monotonically_increasing_id().alias("doc"), "hits")
+    pages = docs.agg(F.min("page").alias("a"), F.max("page").alias("b")).first()
+    rows = docs.select("file", "block", "page", "doc", F.posexplode("hits.hits").alias("pos", "hit"))
+    if pages.a == pages.b:
+        # A task's rows of one range follow each other, so a row's place is its distance from the range's first.
+        rows = rows.withColumn("local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        ranges = stored(rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("local").alias("first"), F.lit(0).alias("more")), "response-ranges")
+        first = ranges.select(F.col("file").alias("_f"), F.col("block").alias("_b"), "first")
+        rows = rows.join(F.broadcast(first), (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+        rows = numbered(rows.withColumn("place", F.col("local") - F.col("first")), ranges, 0)
+    else:
+        sizes = stored(docs.select("file", "block", "page", "doc", F.coalesce(F.array_size("hits.hits"), F.lit(0)).alias("n")), "response-documents")
+        # One row for each page number.
+        before = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+        whole = sizes.groupBy("page").agg(F.sum("n").alias("n")).select("page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        inside = Window.partitionBy("page").orderBy("file", "block", "doc").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(whole, "page")
+        offsets = stored(offsets.select("doc", (F.col("offset") + F.col("inside")).alias("offset")), "response-offsets")
+        small = offsets.count() <= MOST_PAGES
+        rows = rows.join(F.broadcast(offsets) if small else offsets, "doc").withColumn("_at", F.col("offset") + F.col("pos"))
+    return rows.select(F.col("_at").alias("hit_pos"), *_hit_columns(F.col("hit"))).select("hit_pos", *SOURCE_FIELDS, "sort")
 
 
 def read_hits_jsonl(spark: SparkSession, path: str) -> DataFrame:
