@@ -109,6 +109,6 @@ def block_sample(union: DataFrame, target: int, block: int = K.BLOCK_SIZE,
     limit = math.ceil(target / block) * stride
     seq = with_sequence(union.select("numero_processo", by, order), [F.col(by), F.col(order)], "_seq")
     starts = seq.groupBy(by).agg(F.min("_seq").alias("_start"))
-    ranked = (seq.join(starts, by).withColumn("p", (F.col("_seq") - F.col("_start")).cast("int"))
+    ranked = (seq.join(starts, by).withColumn("p", F.col("_seq") - F.col("_start"))
               .filter(F.col("p") < limit))
-    return ranked.filter((F.col("p") % stride) < block).select("numero_processo", by, order, "p")
+    return ranked.filter((F.col("p") % stride) < block).select("numero_processo", by, order, F.col("p").cast("int").alias("p"))
