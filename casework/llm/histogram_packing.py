@@ -59,6 +59,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, pattern: str, size: int,
                         piece += 1
                 cols = list(zip(*rows))[:len(schema)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        tok.pieces.forget()  # the worker goes on to other tasks
 
     sql = ", ".join(f"{n} long" for n in names) + ", ids binary" * with_ids
     return id_and_text(docs, id_col, text_col).mapInArrow(run, sql)

@@ -65,6 +65,10 @@ class PieceEncoder:
             self.old, self.new = self.new, {}
         return out
 
+    def forget(self) -> None:
+        """Free what is remembered; the next texts are learned anew."""
+        self.new, self.old = {}, {}
+
     def _encode(self, pieces: set[str]) -> dict[str, bytes]:
         out = {p: _packed(self.encode(p[1:])) for p in pieces if p[0] == " "}
         spaced = [p for p in pieces if p[0] != " "]
