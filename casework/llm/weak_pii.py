@@ -1,13 +1,17 @@
 """Personal data by weak supervision.
 
-Base spans come from fixed patterns and always stay. They and further candidates
+Base spans come from fixed patterns and always stay. Further candidates
 (secrets, national ids, account numbers, local telephone numbers) get votes from four
-labelers: a strict shape (regex), word lists (gazetteer), cue words before the
-span (context) and its edges. Votes are counted by pattern of votes, a table whose size
-the labelers bound. Expectation-maximisation over those counts estimates how
-reliable each labeler is for either class; a logistic regression, trained on the
-estimated probabilities, is the final classifier, a column expression that decides
-about the further candidates.
+labelers: a strict shape (digits and letters in a secret, check digits of an account),
+lists (placeholder words, void numbers, account lengths by country, area codes), cue words in
+the 40 characters before the span (context) and its edges. Votes are counted by kind and
+pattern of votes, a table whose size the labelers bound. For each kind,
+expectation-maximisation over those counts estimates how reliable each labeler
+is for either class, starting from and weighed against ``PRIOR`` spans on which a labeler that
+speaks is right three times in four, so that a kind with few candidates goes by its votes. A
+logistic regression, trained on the estimated probabilities of all patterns, is the final
+classifier, a column expression that decides about the further candidates. Base spans,
+which are certain, take no part in the training.
 
 Everything over documents is column expressions: a match's place is the
 running length of the pieces that split() leaves plus the matches before.
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -61,7 +66,7 @@ SUB = {
 }
 PATTERNS["extra"] = "|".join(SUB[k] for k in EXTRA)
 
-# Word lists.
+# Lists (fixed values).
 DOMAINS = "com org net edu gov info io co de fr es uk eu ch at nl it".split()
 CUES = {
     "email": "mail email contact write reach".split(), "ip": "ip host server address login".split(),
@@ -69,9 +74,25 @@ CUES = {
     "secret": "password key secret token credentials login".split(), "national_id": "ssn social security id".split(),
     "account": "iban account bank transfer".split(), "local_phone": "phone tel call mobile fax".split(),
 }
-AGAINST = "version release section figure isbn order page chapter build table".split()
-
-SPAN = "struct<kind: int, start: int, end: int, shape: int, listed: int, context: int, edges: int, size: int>"
+AGAINST = ("version release section figure isbn order page chapter build table total sum amount "
+           "ref reference invoice serial sku part model").split()
+#: Words that stand where a secret would.
+PLACEHOLDERS = ("required please something identifier optional example placeholder changeme changeit none null true false string "
+                "text value secret password passwd token username hidden redacted unknown default undefined missing invalid incorrect expired "
+                "forgotten protected reset authentication authorization generator manager parameter argument").split()
+#: Numbers that were never issued or are void.
+VOID_IDS = ("078-05-1120 219-09-9999 457-55-5462 123-45-6789 987-65-4321 111-11-1111 222-22-2222 333-33-3333 444-44-4444 "
+            "555-55-5555 777-77-7777 888-88-8888").split()
+#: Area codes: three digits without 9 in the middle; service, reserved and business codes excepted.
+AREA = "^(?!.11|37|96|555|800|822|833|844|855|866|877|888|900)[2-9][0-8][0-9]"
+#: Lengths of account numbers by country.
+ACCOUNT_LENGTHS = dict(x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 "
+    "FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 "
+    "LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 "
+    "SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20").split())
+
+SPAN = "struct<kind: int, start: int, end: int, shape: int, listed: int, context: int, edges: int>"
 #: Matches whose places are summed in one go; see :func:`_located`.
 RUN = 512
 
@@ -95,6 +116,21 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), lambda total, i: total + value(i)) % 10 == 0
 
 
+def _checked(account: Column) -> Column:
+    """The check digits of an account number (modulo 97) are right."""
+    letters = F.filter(F.split(F.concat(F.substring(account, F.lit(5), F.length(account)), F.left(account, F.lit(4))), ""), lambda c: c != "")
+
+    def step(rest: Column, c: Column) -> Column:
+        return F.when(c <= "9", rest * 10 + F.ascii(c) - 48).otherwise(rest * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(letters, F.lit(0), step) == 1
+
+
+def _value(secret: Column) -> Column:
+    """What follows the key of a secret, or all of it where there is no key."""
+    return F.regexp_replace(secret, "^[^=:]*[=:][\\x20\\t]*[\"']*", "")
+
+
 def _holds(kind: str, match: Column) -> Column:
     """What a base match must meet besides its pattern."""
     if kind == "ip":
@@ -145,12 +181,14 @@ def _shape(kind: str, m: Column) -> Column:
     if kind == "card":
         return _vote(digits.isin(15, 16), F.length(m) > digits + 4)
     if kind in ("phone", "local_phone"):
-        return _vote(digits.between(10, 13), digits < 10)
+        good = digits.between(10, 13) if kind == "phone" else _digits(m).rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+        return _vote(good, ~good)
     if kind == "secret":
-        return _vote(m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.length(m) >= 18), F.length(m) < 14)
+        return _vote(_value(m).rlike("[0-9]") & _value(m).rlike("[A-Za-z]"), ~_value(m).rlike("[0-9]"))
     if kind == "national_id":
         return _vote(~m.rlike("^(000|666|9)|-00-|-0000$"), m.rlike("^(000|666|9)|-00-|-0000$"))
-    return _vote(F.length(F.regexp_replace(m, " ", "")).between(15, 34), digits < 8)
+    good = _checked(F.regexp_replace(m, " ", ""))
+    return _vote(good, ~good)
 
 
 def _listed(kind: str, m: Column) -> Column:
@@ -161,9 +199,15 @@ def _listed(kind: str, m: Column) -> Column:
     if kind == "card":
         return _vote(m.rlike("^(4|5[1-5]|2[2-7]|3[47]|6011|65)"), m.rlike("^0"))
     if kind == "secret":
-        return _vote(m.rlike("(?i)^(pass|pwd|secret|token|api|AKIA|ASIA|ghp_)"))
+        return _vote(_value(m).rlike("^(AKIA|ASIA|ghp_)"), F.lower(F.regexp_extract(_value(m), "^[A-Za-z]*", 0)).isin(PLACEHOLDERS))
+    if kind == "national_id":
+        return _vote(F.lit(False), m.isin(VOID_IDS))
     if kind == "account":
-        return _vote(m.rlike("^(DE|FR|ES|GB|IT|NL|CH|AT|BE)"))
+        lengths = F.create_map(*[F.lit(x) for item in ACCOUNT_LENGTHS.items() for x in item])
+        good = F.coalesce(lengths[F.left(m, F.lit(2))].cast("int") == F.length(F.regexp_replace(m, " ", "")), F.lit(False))
+        return _vote(F.lit(False), ~good)  # a right length says little
+    if kind == "local_phone":
+        return _vote(_digits(m).rlike(AREA), ~_digits(m).rlike(AREA))
     return _vote(m.rlike(r"^\+?\(?[1-9]"), m.rlike(r"^\+?\(?0"))
 
 
@@ -171,10 +215,9 @@ def _span(kind: str, x: Column) -> Column:
     before = F.lower(x["before"])
     cue = before.rlike(rf"\b({'|'.join(CUES[kind])})\b")
     edges = (x["before"].rlike(r"(^|[\x20\t\n\r(\"'<:;,=])$")) & x["after"].rlike(r"^($|[\x20\t\n\r)\"'>:;,.!?])")
-    size = F.least(F.length(x["match"]) / 8, F.lit(5)).cast("int")
     return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _shape(kind, x["match"]).alias("shape"),
                     _listed(kind, x["match"]).alias("listed"), _vote(cue, before.rlike(rf"\b({'|'.join(AGAINST)})\b")).alias("context"),
-                    _vote(edges, ~edges).alias("edges"), size.alias("size"))
+                    _vote(edges, ~edges).alias("edges"))
 
 
 def candidates(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -223,8 +266,10 @@ class Reliability:
         return 1 / (1 + math.exp(min(700, no - yes)))
 
 
-#: Before any data: a labeler that speaks is right three times in four.
-START = Reliability(0.7, (((0.6, 0.2, 0.2), (0.2, 0.2, 0.6)),) * len(LABELERS))
+#: Before any data: a labeler that speaks is right three times in four, and votes that balance are not enough.
+START = Reliability(0.4, (((0.6, 0.2, 0.2), (0.2, 0.2, 0.6)),) * len(LABELERS))
+#: How many spans that assumption counts for.
+PRIOR = 20
 
 
 def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int = 40) -> Reliability:
@@ -235,10 +280,9 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
     model = START
     if not patterns:
         return model
-    prior = 0.01 * sum(patterns.values()) + 1
     for _ in range(rounds):
-        sums = [[[START.chances[j][c][v] * prior for v in range(3)] for c in range(2)] for j in range(len(LABELERS))]
-        yes = total = 0.0
+        sums = [[[START.chances[j][c][v] * PRIOR for v in range(3)] for c in range(2)] for j in range(len(LABELERS))]
+        yes, total = PRIOR * START.share, PRIOR
         for votes, n in patterns.items():
             p = model.probability(votes)
             yes, total = yes + n * p, total + n
@@ -251,58 +295,61 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
 
 
 def _features(span: Column) -> list[Column]:
-    votes = [F.when(span[j] == v, 1.0).otherwise(0.0) for j in LABELERS for v in (-1, 1)]
-    kinds = [F.when(span["kind"] == i, 1.0).otherwise(0.0) for i in range(len(KINDS))]
-    return [*votes, *kinds, span["size"].cast("double")]
+    """For each kind of candidate: whether it is that kind, and each labeler's vote against and for."""
+    of = [span["kind"] == KINDS.index(k) for k in EXTRA]
+    return [F.when(is_kind & test, 1.0).otherwise(0.0) for is_kind in of
+            for test in (F.lit(True), *[span[j] == v for j in LABELERS for v in (-1, 1)])]
 
 
 @dataclass(frozen=True)
 class SpanClassifier:
+    """Weights in the order of the features."""
+
     weights: tuple[float, ...]
     intercept: float
 
     def accepts(self, span: Column) -> Column:
-        """A span's probability is at least one half."""
-        total = F.lit(self.intercept)
-        for weight, feature in zip(self.weights, _features(span)):
-            total = total + weight * feature
+        """A candidate's probability is at least one half."""
+        weights = F.array(*[F.lit(w) for w in self.weights])
+        first = (span["kind"] - len(BASE)) * (1 + 2 * len(LABELERS)) + 1
+        total = F.element_at(weights, first) + self.intercept
+        for i, j in enumerate(LABELERS):
+            against, speaks_for = (F.element_at(weights, first + 2 * i + k) for k in (1, 2))
+            total = total + F.when(span[j] == -1, against).when(span[j] == 1, speaks_for).otherwise(0.0)
         return total >= 0
 
 
 def vote_patterns(found: DataFrame) -> DataFrame:
-    """How often each kind, size and pattern of votes occurs: a table of bounded size."""
-    spans = found.select(F.explode(F.concat("base", "extra")).alias("span"))
-    keys = ["kind", "size", *LABELERS]
+    """How often each kind and pattern of votes of candidates occurs: a table of bounded size."""
+    spans = found.select(F.explode("extra").alias("span"))
+    keys = ["kind", *LABELERS]
     return spans.select(*[F.col(f"span.{k}") for k in keys]).groupBy(*keys).count()
 
 
-def trained(spark: SparkSession, found: DataFrame) -> SpanClassifier | None:
-    """The span classifier of a corpus, or None if it has no candidate."""
-    rows = vote_patterns(found).collect()  # at most 8 kinds x 6 sizes x 81 patterns
-    patterns: dict[tuple[int, ...], int] = {}
-    for r in rows:
-        votes = tuple(r[j] for j in LABELERS)
-        patterns[votes] = patterns.get(votes, 0) + r["count"]
-    if not rows:
-        return None
-    model = expectation_maximisation(patterns)
+def trained(spark: SparkSession, found: DataFrame) -> SpanClassifier:
+    """The span classifier of a corpus; without candidates, that of the assumptions alone."""
+    seen: dict[int, dict[tuple[int, ...], int]] = {KINDS.index(k): {} for k in EXTRA}
+    for r in vote_patterns(found).collect():  # at most 4 kinds x 81 patterns
+        seen[r["kind"]][tuple(r[j] for j in LABELERS)] = r["count"]
     values = []
-    for r in sorted(rows):
-        p = model.probability(tuple(r[j] for j in LABELERS))
-        head = ", ".join(str(r[k]) for k in ("kind", "size", *LABELERS))
-        values += [f"({head}, {y}D, {w!r}D)" for y, w in ((1, r["count"] * p + 1e-6), (0, r["count"] * (1 - p) + 1e-6))]
-    names = ", ".join(("kind", "size", *LABELERS, "label", "weight"))
-    data = spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS t({names})").withColumn("span", F.struct("kind", "size", *LABELERS))
+    for kind, patterns in seen.items():
+        model = expectation_maximisation(patterns)
+        for votes in product((-1, 0, 1), repeat=len(LABELERS)):
+            # Each pattern has a part, so that each weight is defined; many spans weigh more.
+            p, weight = model.probability(votes), 1 + math.log1p(patterns.get(votes, 0))
+            head = ", ".join(map(str, (kind, *votes)))
+            values += [f"({head}, {y}D, {w!r}D)" for y, w in ((1, weight * p), (0, weight * (1 - p)))]
+    names = ", ".join(("kind", *LABELERS, "label", "weight"))
+    data = spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS t({names})").withColumn("span", F.struct("kind", *LABELERS))
     features = [f.alias(f"f{i}") for i, f in enumerate(_features(F.col("span")))]
     vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(data.select("label", "weight", *features))
-    fit = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=50, standardization=False).fit(vectors.coalesce(1))
+    # The probabilities are never 0 or 1, so the weights are finite without a penalty to speak of.
+    fit = LogisticRegression(weightCol="weight", regParam=1e-7, maxIter=100, standardization=False).fit(vectors.coalesce(1))
     return SpanClassifier(tuple(float(w) for w in fit.coefficients), float(fit.intercept))
 
 
-def accepted(classifier: SpanClassifier | None) -> Column:
+def accepted(classifier: SpanClassifier) -> Column:
     """The extra spans that the classifier accepts."""
-    if classifier is None:
-        return F.col("extra")
     return F.filter("extra", classifier.accepts)
 
 
@@ -327,12 +374,14 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Spans that overlap give one tag, that of the first. A null text stays null.
     """
-    found = candidates(docs.select(F.coalesce(text_col, F.lit("")).alias("text")))
-    classifier = trained(docs.sparkSession, written(found, "pii-votes"))
-    # By place, so that no name of a column clashes or needs quoting.
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    marked = docs.select(row.alias("__row"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = candidates(marked, keep_text=True).select("__row", "text", F.concat("base", accepted(classifier)).alias("spans"))
+    text = F.col(f"`{text_col}`")
+    # Other columns by place, so that no name clashes or needs quoting.
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(text.isNull().alias("absent"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    marked = docs.select(row.alias("__row"), F.coalesce(text, F.lit("")).alias("text"))
+    # Searched once: the texts are written with their spans, and read again to be tagged.
+    found = written(candidates(marked, keep_text=True), "pii-candidates")
+    rows = found.select("__row", "text", F.concat("base", accepted(trained(docs.sparkSession, found))).alias("spans"))
     inner = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
@@ -343,5 +392,5 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     clean = F.aggregate(F.array_sort(inner), F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), put,
                         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    clean = F.when(F.size("spans") == 0, F.col(f"__row.c{docs.columns.index(text_col)}")).otherwise(clean)
-    return rows.select(*[(clean if c == text_col else F.col(f"__row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    clean = F.when(F.col("__row.absent"), None).when(F.size("spans") == 0, F.col("text")).otherwise(clean)
+    return rows.select(*[(clean if c == text_col else F.col(f"__row.c{others.index(c)}")).alias(c) for c in docs.columns])
