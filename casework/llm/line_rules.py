@@ -2,15 +2,15 @@
 
 One pass over the texts gives each row's statistics and the hashes of its
 normalised lines (lower-cased A-Z, words joined by one space). Lines are
-counted by host and hash; a line in more than ``max_documents`` distinct documents
-of a host is removed from all of them, and a document that keeps less than
-``least_kept`` percent of its words is depleted and rejected, as are those that
-fail the base rules.
+counted by host and hash; a line in more than ``share`` percent of a host's distinct
+documents, and in more than ``floor`` of them, is removed from all of them, and a document
+that keeps less than ``least_kept`` percent of its words is depleted and rejected, as
+are those that fail the base rules.
 
 Counting is in two steps: rows first, with map-side sums, so a line that a
 third of all rows hold leaves each task as one row; then distinct documents, for the
-few lines with enough rows. Hosts are part of the key, so a host with a third
-of all rows is dealt by its lines.
+few lines with enough rows for their host's limit. Hosts are part of the key, so a host with a third
+of all rows is dealt by its lines. A host's documents are counted from (host, document) pairs without texts.
 
 A null text has no words and no lines and fails the base rules. Null hosts are one
 host. Rows that repeat a doc_id are rated each and count as one document; a
@@ -95,26 +95,32 @@ def text_statistics(docs: DataFrame, host_col: str) -> DataFrame:
     return docs.select("doc_id", "text", "__host").mapInArrow(run, sql)
 
 
-def frequent_lines(stats: DataFrame, max_documents: int) -> DataFrame:
+def frequent_lines(stats: DataFrame, floor: int, share: int) -> DataFrame:
     """row, hash and words of each line that its host repeats too often."""
     # A row without an id is a document by its row number.
     document = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", "row")).alias("document")
+    sizes = stats.select("host", document).distinct().groupBy("host").agg(F.count("*").alias("size"))
+    # Whole numbers: 100 * documents > limit.
+    limits = sizes.select("host", F.greatest(F.lit(100 * floor), share * F.col("size")).alias("limit"))
     lines = stats.select("row", "host", document, F.explode(F.arrays_zip("hashes", "line_words")).alias("line"))
     lines = lines.select("row", "host", "document", F.col("line.hashes").alias("hash"), F.col("line.line_words").alias("words"))
-    busy = lines.groupBy("host", "hash").agg(F.count("*").alias("rows")).where(F.col("rows") > max_documents).drop("rows")
+    often = lines.groupBy("host", "hash").agg(F.count("*").alias("rows")).where(F.col("rows") > floor)
+    busy = often.join(limits, "host").where(100 * F.col("rows") > F.col("limit")).select("host", "hash", "limit")
     hits = written(lines.join(busy, ["host", "hash"]), "busy-lines")
-    distinct = hits.groupBy("host", "hash").agg(F.count_distinct("document").alias("documents"))
-    over = distinct.where(F.col("documents") > max_documents).select("host", "hash")
+    distinct = hits.groupBy("host", "hash").agg(F.count_distinct("document").alias("documents"), F.first("limit").alias("most"))
+    over = distinct.where(100 * F.col("documents") > F.col("most")).select("host", "hash")
     return hits.join(over, ["host", "hash"]).select("row", "hash", "words")
 
 
-def rated(docs: DataFrame, max_documents: int = 100, least_kept: int = 30, host_col: str = "source",
+def rated(docs: DataFrame, floor: int = 5, share: int = 5, least_kept: int = 30, host_col: str = "source",
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's statistics and verdict, with the hashes of removed lines."""
+    """Every row's statistics and verdict, with the hashes of removed lines.
+
+    ``share`` 0 makes ``floor`` the limit of every host."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
     stats = written(text_statistics(docs, "source"), "text-statistics")
     # A row's own lines only, so the list is bounded by the row's text.
-    removed = frequent_lines(stats, max_documents).groupBy("row").agg(
+    removed = frequent_lines(stats, floor, share).groupBy("row").agg(
         F.sum("words").alias("removed_words"), F.collect_list("hash").alias("removed"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = stats.drop("hashes", "line_words").join(removed, "row", "left").withColumn("base_failed", failed)

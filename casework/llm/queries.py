@@ -60,7 +60,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casework.llm.line_rules import rated
 
-    return rated(table(spark, sf_dir, "documents"), max_documents=100, least_kept=30).drop("removed")
+    return rated(table(spark, sf_dir, "documents"), floor=5, share=5, least_kept=30).drop("removed")
 
 
 SQL["op8_line_rules"] = r"""
@@ -82,8 +82,11 @@ WITH d AS (
   SELECT doc_id, source, line, len(words) AS n_words,
          translate(array_to_string(words, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
   FROM m WHERE len(words) > 0
+), z AS (
+  SELECT source, count(DISTINCT doc_id) AS size FROM d GROUP BY source
 ), f AS (
-  SELECT source, norm FROM n GROUP BY source, norm HAVING count(DISTINCT doc_id) > 100
+  SELECT n.source, norm FROM n JOIN z ON n.source IS NOT DISTINCT FROM z.source
+  GROUP BY n.source, norm HAVING 100 * count(DISTINCT doc_id) > greatest(500, 5 * any_value(size))
 ), lines AS (
   SELECT n.doc_id, count(*) - count(DISTINCT n.line) AS n_dup_lines,
          sum(n.n_words) FILTER (WHERE f.norm IS NOT NULL) AS removed

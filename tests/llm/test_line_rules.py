@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 from casework.llm.line_rules import cleaned, line_hash, rated, repeated_words, statistics
+from tests.conftest import SF_CHECK
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -31,17 +32,18 @@ def test_statistics_match_a_plain_count():
     assert repeated_words([b"a", b"b", b"c"]) == 0
 
 
-def expected(rows, limit, least):
-    lines = defaultdict(set)
+def expected(rows, floor, share, least):
+    lines, hosts = defaultdict(set), defaultdict(set)
     norm = lambda line: " ".join(WORD.findall(line)).lower()
     for i, (key, text, host) in enumerate(rows):
+        hosts[host].add(("row", i) if key is None else key)
         for line in (text or "").split("\n"):
             if norm(line):
                 lines[host, norm(line)].add(("row", i) if key is None else key)
     out = []
     for key, text, host in rows:
         s = plain(text or "")
-        gone = sum(len(WORD.findall(x)) for x in (text or "").split("\n") if len(lines[host, norm(x)]) > limit)
+        gone = sum(len(WORD.findall(x)) for x in (text or "").split("\n") if len(lines[host, norm(x)]) > floor and 100 * len(lines[host, norm(x)]) > share * len(hosts[host]))
         failed = s[0] < 50 or 100 * s[4] > 50 * s[0]
         out.append((key, *s, failed, not failed and 100 * (s[0] - gone) >= least * s[0], s[0] - gone))
     return sorted(out, key=str)
@@ -57,15 +59,27 @@ def rows():
 
 def test_verdicts(spark):
     frame = spark.createDataFrame([(*r, "z", 1) for r in rows()], "doc_id long, text string, source string, host string, row int").repartition(5)
-    for limit in (3, 7, 100):
-        got = rated(frame, max_documents=limit, least_kept=30).drop("removed")
-        assert sorted(map(tuple, got.collect()), key=str) == expected(rows(), limit, 30)
+    for floor, share in ((3, 0), (7, 0), (100, 0), (5, 5), (2, 40), (0, 50), (0, 100)):
+        got = rated(frame, floor=floor, share=share, least_kept=30).drop("removed")
+        assert sorted(map(tuple, got.collect()), key=str) == expected(rows(), floor, share, 30)
     assert rated(frame.limit(0)).count() == 0
 
 
 def test_cleaned_texts(spark):
     frame = spark.createDataFrame(rows(), "doc_id long, text string, source string")
-    rating = rated(frame, max_documents=5)
+    rating = rated(frame, floor=5, share=0)
     texts = {r.doc_id: r.text for r in cleaned(frame, rating).collect()}
     assert 200 not in texts and texts[101].endswith("\nx1") and "ommon" not in texts[101] and "ommon" not in texts[102]
     assert line_hash(b" A  b ") == line_hash(b"a b")
+
+
+def test_the_registered_limits_remove_lines_and_reject_depleted_documents(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text", "source")
+    host = docs.first().source
+    banner = [" ".join(f"b{k}y{j}" for j in range(20)) for k in range(4)]
+    page = [(10_000_000 + i, "\n".join([*banner, " ".join(f"own{i}x{j}" for j in range(10))]), host) for i in range(12)]
+    clean = [(20_000_000, " ".join(f"clean{j}" for j in range(80)) + "\n" + banner[0], host)]
+    got = {r.doc_id: r for r in rated(docs.union(spark.createDataFrame(page + clean, docs.schema))).collect()}
+    assert all(not got[i].base_failed and not got[i].kept and got[i].words_left == 10 for i, _, _ in page)
+    assert got[20_000_000].kept and got[20_000_000].words_left == 80
+    assert any(r.words_left < r.n_words and r.kept for r in got.values())
