@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Iterator
 
@@ -70,10 +72,22 @@ ROWS_AT_ONCE = 500
 
 def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in parts of a few rows, without copying them, so that a
-    worker holds the objects of those rows only."""
+    worker holds the objects of those rows only. After the last one the worker, which
+    goes on to other tasks, gives memory back."""
     for batch in batches:
         for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
             yield batch.slice(begin, ROWS_AT_ONCE)
+    memory_given_back()
+
+
+def memory_given_back() -> None:
+    """Hand memory that this process no longer uses to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
 
 
 def groups_for(rows: int, per_group: int) -> int:

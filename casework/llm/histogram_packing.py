@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casework.llm.common import groups_for, id_and_text, in_parts, written
+from casework.llm.common import groups_for, id_and_text, in_parts, memory_given_back, written
 from casework.llm.segments import blocks
 from casework.llm.token_ids import opened, read_tokenizer
 
@@ -60,6 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, pattern: str, size: int,
                 cols = list(zip(*rows))[:len(schema)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
         tok.pieces.forget()  # the worker goes on to other tasks
+        memory_given_back()
 
     sql = ", ".join(f"{n} long" for n in names) + ", ids binary" * with_ids
     return id_and_text(docs, id_col, text_col).mapInArrow(run, sql)
