@@ -13,7 +13,7 @@ from casework.plans.q_pages import _PAGES_CTES
 from casework.plans.registry import register
 from casework.session import new_output_path
 from casework.sources.fixtures import collected_records
-from casework.streaming.incremental import plan_run, read_progress, run_counts, run_incremental, store_batch
+from casework.streaming.incremental import compact, plan_run, read_progress, run_counts, run_incremental, start_page_stream, store_batch
 
 # Previous partial run of the collector: every other block of ten orders.
 _CACHE_SQL = "SELECT * FROM res WHERE (o_orderkey // 10) % 2 = 0"
@@ -124,3 +124,27 @@ def lookup_last_duplicate(spark, sf):
     t = DS.tables(spark, sf)
     last = dedupe_last(t.orders.withColumn("pos", F.col("o_orderkey")), "o_custkey", ["o_orderkey", "o_orderstatus"], "pos")
     return t.customer.select("c_custkey").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey")
+
+
+@register("progress_compacted", with_base(f"""
+SELECT numero_processo, juiz, requerente, status, texto_decisao FROM ({_CACHE_SQL})"""))
+def progress_compacted(spark, sf):
+    """K8: all stored records, each key once, after the batches were merged and one was done again."""
+    path = _progress_path(spark, sf)
+    compact(spark, path)
+    again = read_progress(spark, path).where(F.pmod(F.xxhash64("numero_processo"), F.lit(3)) == 0)
+    store_batch(again, path, "1")
+    return read_progress(spark, path)
+
+
+@register("page_stream", with_base("""
+SELECT numero_processo, juiz, requerente, status, texto_decisao FROM pge""", _PAGES_CTES))
+def page_stream(spark, sf):
+    """K8, streaming face: the saved pages arrive as files, some in each micro-batch; the
+    records of all, after the batches were merged along the way."""
+    inbox, progress, checkpoint = (new_output_path(spark, n) for n in ("inbox", "progress", "stream"))
+    pages = DS.pages(spark, sf).select("numero_processo", "html")
+    pages.write.parquet(inbox)
+    files = len(spark.read.parquet(inbox).inputFiles())
+    start_page_stream(spark, inbox, pages.schema, progress, checkpoint, PG.extract, files_per_trigger=max(1, files // 4), compact_after=2).awaitTermination()
+    return read_progress(spark, progress)

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casework.session import scratch_dir
 
-def _fs(spark: SparkSession, path: str):
+
+def file_system(spark: SparkSession, path: str):
+    """The path and its file system."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -27,7 +29,7 @@ def _fs(spark: SparkSession, path: str):
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     h = hashlib.sha1()
     for path in paths:
-        p, fs = _fs(spark, path)
+        p, fs = file_system(spark, path)
         st = fs.getFileStatus(p)
         size = fs.getContentSummary(p).getLength() if st.isDirectory() else st.getLen()
         h.update(f"{path}|{size}|{st.getModificationTime()}\n".encode())
@@ -36,7 +38,7 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
 
 def _published(spark: SparkSession, folder: str) -> str | None:
     """The landed table that the first pointer names, if there is one."""
-    p, fs = _fs(spark, f"{folder}/pointers")
+    p, fs = file_system(spark, f"{folder}/pointers")
     if not fs.exists(p):
         return None
     names = sorted(status.getPath().getName() for status in fs.listStatus(p))
@@ -52,7 +54,7 @@ def land(spark: SparkSession, name: str, inputs: list[str], build: Callable[[],
     if path is None:
         version = uuid.uuid4().hex
         build().write.mode("errorifexists").parquet(f"{folder}/{version}")
-        pointer, fs = _fs(spark, f"{folder}/pointers/{version}")
+        pointer, fs = file_system(spark, f"{folder}/pointers/{version}")
         fs.create(pointer, False).close()
         path = _published(spark, folder)
     return spark.read.parquet(path)
