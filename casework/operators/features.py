@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from casework import constants as K
 from casework.functions import arrays as A
 from casework.functions import text as X
+from casework.functions.rounding import round_binary
 from casework.functions import time as TM
 from casework.operators.sequence import with_sequence
 
@@ -73,9 +74,9 @@ def lunch_flag(movements: Column) -> Column:
 
 
 def velocity(n_movements: Column, days: Column) -> Column:
-    """C17/M4: movements per day, half-even rounding to 4 places, 0 when the
-    duration is not positive."""
-    return F.when(days > 0, F.bround(n_movements / days, K.VELOCITY_DECIMALS)).otherwise(F.lit(0.0))
+    """C17/M4: movements per day, rounded to 4 places half to even by the binary
+    value, 0 when the duration is not positive."""
+    return F.when(days > 0, round_binary(n_movements / days, K.VELOCITY_DECIMALS)).otherwise(F.lit(0.0))
 
 
 def case_features(cases: DataFrame, keep: list[str] | None = None, date_ok: bool = False,

@@ -13,6 +13,15 @@ from casework.plans.oracle import DECISION_PRED, with_base
 from casework.plans.registry import register
 from casework.plans.sqlfrag import contains_any, q
 
+def _rounded(x: str, places: int) -> str:
+    """Half to even by the double's exact value, in 128-bit integers."""
+    one = "CAST(pow(2.0, 69) AS HUGEINT)"
+    part = f"(CAST(({x} - floor({x})) * pow(2.0, 69) AS HUGEINT) * {10 ** places})"
+    units, rest = f"({part} // {one})", f"({part} % {one})"
+    up = f"CASE WHEN 2 * {rest} > {one} OR (2 * {rest} = {one} AND {units} % 2 = 1) THEN 1 ELSE 0 END"
+    return f"(CAST(floor({x}) * {10 ** places} + {units} + {up} AS DOUBLE) / CAST({10 ** places} AS DOUBLE))"
+
+
 _FEAT_CTES = {
     "fx": f"""
 fx AS (
@@ -50,7 +59,7 @@ feat AS (
     CASE WHEN contains(subj_txt, {q(K.MORAL_DAMAGE_PHRASE)}) THEN 1 ELSE 0 END AS tem_dano_moral,
     CASE WHEN len(assuntos) = 0 THEN {q(K.DEFAULT_SUBJECT)} ELSE coalesce(assuntos[1].nome, {q(K.DEFAULT_SUBJECT)}) END AS assunto_principal,
     CAST(len(movimentos) AS INTEGER) AS qtd_movimentos,
-    CASE WHEN dias > 0 THEN round_even(len(movimentos) / dias, {K.VELOCITY_DECIMALS}) ELSE 0.0 END AS velocidade_movimentos,
+    CASE WHEN dias > 0 THEN {_rounded('(len(movimentos) / dias)', K.VELOCITY_DECIMALS)} ELSE 0.0 END AS velocidade_movimentos,
     CASE WHEN CAST(substr(dec_time, 12, 2) AS INTEGER) BETWEEN {K.LUNCH_FIRST_HOUR} AND {K.LUNCH_LAST_HOUR} THEN 1 ELSE 0 END AS eh_horario_almoco,
     CAST(len(assuntos) * len(movimentos) AS INTEGER) AS complexidade_score,
     CASE WHEN {contains_any(f"lower(coalesce(classe, {q(K.DEFAULT_SUBJECT)}))", K.APPEAL_WORDS)} THEN 1 ELSE 0 END AS tem_recurso
