@@ -13,6 +13,8 @@ from casework.plans.oracle import with_base
 from casework.plans.q_features import _FEAT_CTES, _ML_SQL
 from casework.plans.registry import register
 from casework.plans.sqlfrag import q
+from casework.session import new_output_path
+from casework.sources.writers import write_filtered
 
 _DROPPED = ", ".join(q(x) for x in K.DROPPED_STATUSES)
 
@@ -29,6 +31,18 @@ def valid_results(spark, sf):
     return AN.filter_report(c, ~F.col("status").isin(*K.DROPPED_STATUSES), F.col("texto_decisao").isNotNull())
 
 
+@register("valid_results_written", with_base(f"""
+SELECT count(*) AS n_total, count(CASE WHEN status NOT IN ({_DROPPED}) THEN 1 END) AS n_mantidos,
+  count(CASE WHEN status NOT IN ({_DROPPED}) AND texto_decisao IS NOT NULL THEN 1 END) AS n_marcados,
+  count(CASE WHEN status NOT IN ({_DROPPED}) THEN 1 END) AS n_escritos FROM coll"""))
+def valid_results_written(spark, sf):
+    """The valid results are written; the counts before and after come from that job."""
+    path = new_output_path(spark, "valid-results")
+    counts = write_filtered(DS.collected(spark, sf), ~F.col("status").isin(*K.DROPPED_STATUSES), path, F.col("texto_decisao").isNotNull())
+    written = spark.read.parquet(path).agg(F.count("*").alias("n_escritos"))
+    return written.select(*[F.lit(n).cast("long").alias(c) for c, n in counts.items()], "n_escritos")
+
+
 @register("status_counts", with_base(
     "SELECT count(*) AS total, " + ", ".join(f"count(CASE WHEN status = {q(s)} THEN 1 END) AS {s}" for s in K.STATUSES)
     + " FROM coll"))

@@ -3,7 +3,7 @@ directory; nothing is gathered into one document on the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,17 @@ def write_hits(hits: DataFrame, path: str) -> None:
     write_jsonl(hits.agg(F.count(F.lit(1)).alias("value")), f"{path}/total")
 
 
+def write_filtered(rows: DataFrame, keep: Column, path: str, marked: Column) -> dict[str, int]:
+    """A20 with the write: the rows for which ``keep`` holds, as Parquet. The rows before, those
+    kept and those of them that are ``marked`` are counted by the job that writes them, so
+    the input is read once."""
+    before, after = Observation(), Observation()
+    n = F.count(F.lit(1)).alias("n")
+    kept = rows.observe(before, n).where(keep).observe(after, n, F.count_if(marked).alias("marked"))
+    kept.write.parquet(path)
+    return {"n_total": before.get["n"], "n_mantidos": after.get["n"], "n_marcados": after.get["marked"]}
+
+
 def write_text(df: DataFrame, col: str, path: str) -> None:
     """K6/K7: one text value per line/record."""
     df.select(F.col(col).cast("string")).write.mode("overwrite").text(path)
