@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,12 @@ from pyspark.sql import functions as F
 HIGH, LOW = 35, 34
 
 
+def _once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(x)`` with ``x`` computed once, however often it is used; else the
+    generated code of a large ``x`` would not fit a method."""
+    return F.get(F.transform(F.array(x), then), 0)
+
+
 def round_binary(x: Column, places: int) -> Column:
     """``x`` (0 <= x < 2**38) rounded to at most 4 places, half to even, by its exact binary value.
 
@@ -21,15 +29,21 @@ def round_binary(x: Column, places: int) -> Column:
     if not 0 <= places <= 4:
         raise ValueError("0 to 4 places")
     unit = 10 ** places
-    whole = F.floor(x)
-    scaled = (x - whole) * F.lit(2.0 ** HIGH)
-    high = F.floor(scaled)
-    # Twice the fraction in units, as (high + low / 2**LOW) / 2**HIGH.
-    low = F.floor((scaled - high) * F.lit(2.0 ** LOW)) * F.lit(2 * unit)
-    high = high * F.lit(2 * unit) + F.shiftright(low, LOW)
-    low = low.bitwiseAND(F.lit((1 << LOW) - 1))
-    units = F.shiftright(high, HIGH + 1)
-    rest, half = high.bitwiseAND(F.lit((1 << (HIGH + 1)) - 1)), F.lit(1 << HIGH)
-    below = whole * F.lit(unit) + units
-    up = (rest > half) | ((rest == half) & ((low > 0) | (below % 2 == 1)))
-    return (below + up.cast("long")).cast("double") / F.lit(float(unit))
+
+    def cut(v: Column) -> Column:
+        return F.struct(F.floor(v).alias("whole"), ((v - F.floor(v)) * F.lit(2.0 ** HIGH)).alias("scaled"))
+
+    def doubled(p: Column) -> Column:
+        # Twice the fraction in units, as (high + low / 2**LOW) / 2**HIGH.
+        low = F.floor((p["scaled"] - F.floor(p["scaled"])) * F.lit(2.0 ** LOW)) * F.lit(2 * unit)
+        high = F.floor(p["scaled"]) * F.lit(2 * unit) + F.shiftright(low, LOW)
+        below = p["whole"] * F.lit(unit) + F.shiftright(high, HIGH + 1)
+        return F.struct(below.alias("below"), high.bitwiseAND(F.lit((1 << (HIGH + 1)) - 1)).alias("rest"),
+                        low.bitwiseAND(F.lit((1 << LOW) - 1)).alias("low"))
+
+    def nearest(r: Column) -> Column:
+        half = F.lit(1 << HIGH)
+        up = (r["rest"] > half) | ((r["rest"] == half) & ((r["low"] > 0) | (r["below"] % 2 == 1)))
+        return (r["below"] + up.cast("long")).cast("double") / F.lit(float(unit))
+
+    return _once(_once(_once(x, cut), doubled), nearest)
