@@ -12,7 +12,7 @@ from casework.operators.joins import semi
 from casework.plans import datasets as DS
 from casework.plans import pipeline as P
 from casework.plans.oracle import with_base
-from casework.plans.q_search import _FLAT_SQL, _flat_scalars
+from casework.plans.q_search import _FLAT_SQL, _flat_columns, _flat_scalars
 from casework.plans.registry import register
 from casework.session import new_output_path
 from casework.sources import readers as R
@@ -125,6 +125,18 @@ def json_hits_explode(spark, sf):
                        (F.col("hit_pos") % 10000).alias("pos"), *flat.columns)
 
 
+@register("json_pretty_hits", with_base(f"SELECT {_FLAT_SQL}, list_sum(list_transform(movimentos, lambda m: m.codigo))::BIGINT AS codigos FROM cases"))
+def json_pretty_hits(spark, sf):
+    """S3: the responses pretty-printed, some pages a file, and read back by byte ranges."""
+    path = new_output_path(spark, "responses-pretty")
+    pages = W.response_pages(DS.hits(spark, sf))
+    W.write_text(pages.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("text")), "text", path)
+    cases = C.flatten_hits(R.read_search_responses(spark, path, multi_line=True))
+    codes = F.filter(F.transform("movimentos", lambda m: m["codigo"]), lambda c: c.isNotNull())
+    total = F.when(F.size(codes) > 0, F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a + c))
+    return cases.select(*_flat_columns(), total.alias("codigos"))
+
+
 @register("gzip_csv_dictionary", with_base(
     "SELECT numero_processo, juiz, sexo_juiz, requerente, sexo_requerente FROM enr"))
 def gzip_csv_dictionary(spark, sf):

@@ -55,11 +55,15 @@ _FLAT_SQL = """hit_pos, numero_processo, classe, data_ajuizamento, ultima_atuali
   CAST(len(movimentos) AS INTEGER) AS qtd_movimentos, sort"""
 
 
+def _flat_columns():
+    return ["hit_pos", "numero_processo", "classe", "data_ajuizamento",
+            "ultima_atualizacao", "formato", "codigo", "orgao_julgador", "municipio",
+            "grau", A.size0("assuntos").alias("qtd_assuntos"),
+            A.size0("movimentos").alias("qtd_movimentos"), "sort"]
+
+
 def _flat_scalars(cases):
-    return cases.select("hit_pos", "numero_processo", "classe", "data_ajuizamento",
-                        "ultima_atualizacao", "formato", "codigo", "orgao_julgador", "municipio",
-                        "grau", A.size0("assuntos").alias("qtd_assuntos"),
-                        A.size0("movimentos").alias("qtd_movimentos"), "sort")
+    return cases.select(*_flat_columns())
 
 
 @register("flatten_hits", with_base(f"SELECT {_FLAT_SQL} FROM cases"))

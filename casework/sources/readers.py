@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from casework.sources.adapter import MOVEMENT_TYPE, SUBJECT_TYPE
 from casework.sources.csv_ranges import CsvFiles
+from casework.sources.json_ranges import JsonFiles
 from casework.sources.ranges import numbered, stored
 
 SOURCE_TYPE = T.StructType([
@@ -87,11 +88,15 @@ def read_search_responses(spark: SparkSession, path: str, multi_line: bool = Fal
     hits of each byte range are counted and prefix sums over the ranges give each range its first
     position; else each document gets its own from the sums over pages.
     A document that does not parse is an error. Pretty-printed documents need
-    ``multi_line`` (one task per file: land them once as Parquet); one
-    response per line splits normally."""
+    ``multi_line``: several tasks then share a file, cut at its line breaks. There
+    an element of ``hits`` that is not an object is an error too."""
+    if multi_line:
+        texts = JsonFiles(spark, path).in_order()
+        hits = texts.select(F.col("_at").alias("hit_pos"), F.from_json("text", _loose(HIT_TYPE), {"mode": "FAILFAST"}).alias("hit"))
+        return hits.select("hit_pos", *_hit_columns(F.col("hit"))).select("hit_pos", *SOURCE_FIELDS, "sort")
     hits = T.ArrayType(_loose(HIT_TYPE))
     schema = T.StructType([T.StructField("hits", T.StructType([T.StructField("hits", hits)])), T.StructField("pagina", T.StringType())])
-    raw = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+    raw = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     docs = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                       F.coalesce(F.col("pagina").try_cast("long"), F.lit(0)).alias("page"), F.monotonically_increasing_id().alias("doc"), "hits")
     pages = docs.agg(F.min("page").alias("a"), F.max("page").alias("b")).first()
