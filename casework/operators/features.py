@@ -136,6 +136,32 @@ def one_hot_long(df: DataFrame, id_col: str, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).select(id_col, X.slug(F.col(col)).alias("feature"), F.lit(1).alias("valor"))
 
 
+def vocabulary_index(df: DataFrame, col: str, order_col: str) -> DataFrame:
+    """value, name, index (0, 1, ...) of the distinct values of ``col``, numbered by first appearance
+    without a collect. Values with one slug share a place, the first one's; the last one
+    sets it, as in :func:`one_hot_columns`."""
+    seen = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.min(order_col).alias("first"))
+    place = F.struct("first", "value")
+    names = seen.groupBy(X.slug(F.col("value")).alias("name")).agg(F.max_by("value", place).alias("value"), F.min(place).alias("at"))
+    return with_sequence(names, [F.col("at.first"), F.col("at.value")], "index").select("value", "name", "index")
+
+
+def one_hot_sparse(df: DataFrame, col: str, index: DataFrame, vector: str = "vetor") -> DataFrame:
+    """M8 as one sparse vector a row, for any number of values: ``df`` with ``vector``, whose size is the
+    number of names in ``index`` (of :func:`vocabulary_index`). A value that sets no
+    place, null too, gives zeros; an empty vocabulary is an error."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    size = index.count()
+    if size == 0:
+        raise ValueError("an empty vocabulary has no vectors")
+    places = index.select(F.col("value").alias("_value"), F.col("index").cast("double").alias("_index"))
+    # The place behind the last is the encoder's own for unknown values, and dropped.
+    placed = df.join(places, F.col(col) == F.col("_value"), "left").withColumn("_index", F.coalesce("_index", F.lit(float(size))))
+    model = OneHotEncoder(inputCol="_index", outputCol=vector, handleInvalid="keep", dropLast=True).fit(places)
+    return model.transform(placed).drop("_value", "_index")
+
+
 def one_hot_columns(col: str, values: list[tuple[str, str]], existing: list[str],
                     on_collision: str = "last") -> dict[str, Column]:
     """M8: name -> 0/1 Column per value, names slugged. A later value with the

@@ -196,3 +196,20 @@ def sequential_id(spark, sf):
 SELECT c_custkey, 'eh_' || lower(c_name) AS feature, 1 AS valor FROM customer""")
 def one_hot_long(spark, sf):
     return FT.one_hot_long(DS.tables(spark, sf).customer.select("c_custkey", "c_name"), "c_custkey", "c_name")
+
+
+# M8 as sparse vectors: one value a line item, as many values as parts.
+@register("one_hot_sparse", """
+WITH l AS (
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN l_partkey END AS v, l_orderkey * 8 + l_linenumber AS pos FROM lineitem
+), f AS (SELECT v, min(pos) AS first FROM l WHERE v IS NOT NULL GROUP BY v
+), i AS (SELECT v, row_number() OVER (ORDER BY first, 'Peça ' || v) - 1 AS i, count(*) OVER () AS n FROM f)
+SELECT l_orderkey, l_linenumber, '(' || (SELECT count(*) FROM f) || CASE WHEN i IS NULL THEN ',[],[])' ELSE ',[' || i || '],[1.0])' END AS vetor
+FROM l LEFT JOIN i USING (v)""")
+def one_hot_sparse(spark, sf):
+    """M8 for any number of values: the part of each line item (none for a seventh line) as a sparse vector."""
+    item = DS.tables(spark, sf).lineitem
+    rows = item.select("l_orderkey", "l_linenumber", (F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")).alias("pos"),
+                       F.when(F.col("l_linenumber") < 7, F.concat(F.lit("Peça "), F.col("l_partkey").cast("string"))).alias("assunto"))
+    out = FT.one_hot_sparse(rows, "assunto", FT.vocabulary_index(rows, "assunto", "pos"))
+    return out.select("l_orderkey", "l_linenumber", F.col("vetor").cast("string").alias("vetor"))
