@@ -18,7 +18,7 @@ def _plan(df) -> str:
 
 # Elements, rows and nested tables of saved pages need an HTML parser; records that
 # cross byte ranges need a scanner that keeps its state from line to line.
-PARSED = {"csv_roundtrip", "case_table_csv", "gzip_csv_dictionary", "case_numbers_csv", "edge_csv", "edge_dictionary",
+PARSED = {"csv_roundtrip", "case_table_csv", "json_pretty_hits", "gzip_csv_dictionary", "case_numbers_csv", "edge_csv", "edge_dictionary",
           "page_status", "page_field_primary", "page_labelled_cell", "page_decision_text", "page_extract", "page_edge_cases", "incremental_rerun"}
 
 
