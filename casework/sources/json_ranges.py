@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casework.sources.ranges import LAST, by_range, joined_fragments, lines, numbered, stored
+from casework.sources.ranges import LAST, joined_fragments, lines, numbered, stored, texts_by_range
 
-_TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*+"|[\[\]{}]|"')
+# What lies before the next bracket, with the last string of it, and the bracket: "" at the
+# text's end, a quote where a string does not end on its line.
+_NEXT = re.compile(r'(?:[^"\[\]{}]++|("(?:[^"\\\n]++|\\.)*+"))*+([\[\]{}"]|\Z)')
 _RUN = re.compile(r"\{\}(?:\s*,\s*\{\})+")
 _KEY = "hits"
 
@@ -33,8 +35,6 @@ Frame = str
 
 
 def _is_key(token: str) -> str:
-    if token == '"':
-        raise ValueError("a string does not end on its line: not JSON")
     # Even with every letter escaped the key has no more than 26 characters.
     return "1" if token[1:-1] == _KEY or len(token) <= 26 and "\\" in token and json.loads(token) == _KEY else "0"
 
@@ -53,21 +53,26 @@ def list_depth(stack: list[Frame]) -> int | None:
 def closed_and_opened(texts: Iterator[str]) -> tuple[int, list[Frame], str]:
     """Of a range's text: how many containers open before it closes, those that
     it leaves open, and whether its last string was "hits"."""
-    closes, opened, last = 0, [], "?"
+    closes, opened, last = 0, [], None
     for text in texts:
-        for m in _TOKEN.finditer(text):
-            token = m.group()
-            c = token[0]
-            if c == '"':
-                last = _is_key(token)
-            elif c in "[{":
-                opened.append(c + last)
+        for m in _NEXT.finditer(text):
+            string, c = m.groups()
+            if string is not None:
+                last = string
+            if c == "{" or c == "[":
+                opened.append((c, last))
+            elif c == '"':
+                raise ValueError("a string does not end on its line: not JSON")
+            elif not c:
+                break
             elif opened:
                 if opened.pop()[0] != ("[" if c == "]" else "{"):
                     raise ValueError("brackets do not match: not JSON")
             else:
                 closes += 1
-    return closes, opened, last
+    # Only strings before what stays open are looked at.
+    flag = lambda string: "?" if string is None else _is_key(string)
+    return closes, [c + flag(string) for c, string in opened], flag(last)
 
 
 class Walk:
@@ -86,40 +91,48 @@ class Walk:
 
     def feed(self, text: str) -> list[tuple[int, str]]:
         """(document of the range, element) of the elements that end here and began in the range."""
-        whole, stack, begin = [], self.stack, 0
-        for m in _TOKEN.finditer(text):
-            token = m.group()
-            c = token[0]
-            if c == '"':
-                self.last = _is_key(token)
-            elif c in "[{":
-                if self.inside is None:
-                    if self.list_at is not None:
-                        if c == "[":
-                            raise ValueError("an element of hits is not an object")
-                        self._leave(text[begin:m.start()] + "{}")
-                        self.inside, self.list_at, begin = self.list_at, None, m.start()
-                    elif c == "{" and (not stack or len(stack) == 1 and stack[0][0] == "["):
-                        self.doc += 1
-                        self.counts[self.doc] = 0
+        whole, stack, begin, last = [], self.stack, 0, None
+        for m in _NEXT.finditer(text):
+            string, c = m.groups()
+            if string is not None:
+                last = string
+            if c == "{" or c == "[":
+                if self.inside is not None:
+                    stack.append(c)
+                    continue
+                if last is not None:
+                    self.last, last = _is_key(last), None
+                if self.list_at is not None:
+                    if c == "[":
+                        raise ValueError("an element of hits is not an object")
+                    self._leave(text[begin:m.start(2)] + "{}")
+                    self.inside, self.list_at, begin = self.list_at, None, m.start(2)
+                elif c == "{" and (not stack or len(stack) == 1 and stack[0][0] == "["):
+                    self.doc += 1
+                    self.counts[self.doc] = 0
                 stack.append(c + self.last)
                 if self.inside is None and list_depth(stack) == len(stack):
                     self.list_at = len(stack)
+            elif c == '"':
+                raise ValueError("a string does not end on its line: not JSON")
+            elif not c:
+                break
             else:
                 if not stack or stack.pop()[0] != ("[" if c == "]" else "{"):
                     raise ValueError("brackets do not match: not JSON")
-                if self.inside is not None:
-                    if len(stack) == self.inside:
-                        self.held.append(text[begin:m.end()])
-                        element, self.held, begin = "\n".join(self.held), [], m.end()
-                        if self.crossing:
-                            self.fragments.append((self.origin, 0, element))
-                        else:
-                            whole.append((self.doc, element))
-                            self.counts[self.doc] += 1
-                        self.crossing, self.list_at, self.inside = False, self.inside, None
-                else:
+                if self.inside is None:
                     self.list_at = None
+                elif len(stack) == self.inside:
+                    self.held.append(text[begin:m.end()])
+                    element, self.held, begin = "\n".join(self.held), [], m.end()
+                    if self.crossing:
+                        self.fragments.append((self.origin, 0, element))
+                    else:
+                        whole.append((self.doc, element))
+                        self.counts[self.doc] += 1
+                    self.crossing, self.list_at, self.inside = False, self.inside, None
+        if last is not None:
+            self.last = _is_key(last)
         (self.held.append if self.inside is not None else self._leave)(text[begin:])
         return whole
 
@@ -164,12 +177,12 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 def _first_scan(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, key, closes, opened, last = [], None, 0, [], "?"
-        for at, part, new in by_range(batches):
+        for at, part, new in texts_by_range(batches):
             if new:
                 if key is not None:
                     rows.append((*key, closes, "".join(opened), last))
                 key, closes, opened, last = at, 0, [], "?"
-            more, frames, end = closed_and_opened(iter(["\n".join(part)]))
+            more, frames, end = closed_and_opened(iter([part]))
             frames = [f.replace("?", last) for f in frames]
             kept = len(opened) - more
             closes, opened = closes + max(0, -kept), opened[:max(0, kept)] + frames
@@ -200,13 +213,13 @@ def _second_scan(df: DataFrame, begins: dict[tuple[str, int], tuple[str, str, in
             out += [(*key, "f", origin, doc, 0, text) for origin, doc, text in walk.fragments]
             return out + [(*key, "e", -1, 0, 0, walk.rest())]
 
-        for at, part, new in by_range(batches):
+        for at, part, new in texts_by_range(batches):
             if new:
                 if walk is not None and sides:
                     yield _batch(left(), names, kinds)
                 stack, last, origin = shared.value.get(at, ("", "0", -1))
                 key, walk, place = at, Walk(_frames(stack), last, origin, at[1]), 0
-            found = walk.feed("\n".join(part))
+            found = walk.feed(part)
             if found and not sides:
                 yield _batch([(*key, place + i, doc, text) for i, (doc, text) in enumerate(found)],
                              ["file", "block", "place", "doc", "text"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()])

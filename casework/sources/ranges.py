@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,23 @@ def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int
             before, a = key, b
 
 
+def texts_by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], str, bool]]:
+    """As :func:`by_range`, each part as one text; no line becomes an object of its own."""
+    before = None
+    for batch in batches:
+        values, files, blocks = batch.columns
+        n = len(values)
+        if not n:
+            continue
+        changes = pc.or_(pc.not_equal(files.slice(1), files.slice(0, n - 1)), pc.not_equal(blocks.slice(1), blocks.slice(0, n - 1)))
+        cuts = [0, *(np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+        for a, b in zip(cuts, cuts[1:]):
+            key = (files[a].as_py(), blocks[a].as_py())
+            part = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), values.slice(a, b - a))
+            yield key, pc.binary_join(part, "\n")[0].as_py(), key != before
+            before = key
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A small table (a row for each range) written and read back."""
     path = new_output_path(df.sparkSession, name)
