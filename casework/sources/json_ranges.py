@@ -21,11 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casework.sources.ranges import LAST, joined_fragments, lines, numbered, stored, texts_by_range
+from casework.sources.ranges import LAST, joined_fragments, lines, numbered, stored, texts_by_range, volumes
 
-# What lies before the next bracket, with the last string of it, and the bracket: "" at the
-# text's end, a quote where a string does not end on its line.
-_NEXT = re.compile(r'(?:[^"\[\]{}]++|("(?:[^"\\\n]++|\\.)*+"))*+([\[\]{}"]|\Z)')
+_STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+_PLAIN = r'[^"\[\]{}]*+(?:%s[^"\[\]{}]*+)*+' % _STRING
+
+
+def _whole(levels: int) -> str:
+    """A container with its content, where that is no more than ``levels`` deep."""
+    content = _PLAIN if not levels else f"{_PLAIN}(?:(?:{_whole(levels - 1)}){_PLAIN})*+"
+    return rf"\{{{content}\}}|\[{content}\]"
+
+
+# What is passed over before a bracket, and the bracket: "" at the text's end, a quote where a
+# string does not end on its line. With _OVER whole containers are passed over too.
+_NEXT = re.compile(rf'{_PLAIN}([\[\]{{}}"]|\Z)')
+_OVER = re.compile(rf'{_PLAIN}(?:(?:{_whole(3)}){_PLAIN})*+([\[\]{{}}"]|\Z)')
+_WHOLE = re.compile(_whole(3))
+_STRINGS = re.compile(_STRING)
 _RUN = re.compile(r"\{\}(?:\s*,\s*\{\})+")
 _KEY = "hits"
 
@@ -50,20 +63,34 @@ def list_depth(stack: list[Frame]) -> int | None:
     return base + 3 if [f[0] for f in path] == ["{", "{", "["] and path[1][1] == path[2][1] == "1" else None
 
 
+def _last_string(text: str, begin: int, end: int) -> str | None:
+    """The last string of a part of a text that begins and ends outside strings."""
+    quote = text.rfind('"', begin, end)
+    if quote < 0:
+        return None
+    # No string goes on over a line break.
+    for m in _STRINGS.finditer(text, max(begin, text.rfind("\n", begin, quote) + 1), end):
+        last = m.group()
+    return last
+
+
 def closed_and_opened(texts: Iterator[str]) -> tuple[int, list[Frame], str]:
     """Of a range's text: how many containers open before it closes, those that
     it leaves open, and whether its last string was "hits"."""
     closes, opened, last = 0, [], None
     for text in texts:
-        for m in _NEXT.finditer(text):
-            string, c = m.groups()
-            if string is not None:
-                last = string
+        at = known = 0
+        while True:
+            m = _OVER.match(text, at)
+            c, at = m.group(1), m.end()
             if c == "{" or c == "[":
+                # Containers that end in the text are mostly passed over.
+                last, known = _last_string(text, known, at) or last, at
                 opened.append((c, last))
             elif c == '"':
                 raise ValueError("a string does not end on its line: not JSON")
             elif not c:
+                last = _last_string(text, known, at) or last
                 break
             elif opened:
                 if opened.pop()[0] != ("[" if c == "]" else "{"):
@@ -91,25 +118,29 @@ class Walk:
 
     def feed(self, text: str) -> list[tuple[int, str]]:
         """(document of the range, element) of the elements that end here and began in the range."""
-        whole, stack, begin, last = [], self.stack, 0, None
-        for m in _NEXT.finditer(text):
-            string, c = m.groups()
-            if string is not None:
-                last = string
+        whole, stack, begin, at, known = [], self.stack, 0, 0, 0
+        while True:
+            m = (_NEXT if self.inside is None else _OVER).match(text, at)
+            c, before, at = m.group(1), m.start(1), m.end()
             if c == "{" or c == "[":
                 if self.inside is not None:
                     stack.append(c)
                     continue
-                if last is not None:
-                    self.last, last = _is_key(last), None
                 if self.list_at is not None:
                     if c == "[":
                         raise ValueError("an element of hits is not an object")
-                    self._leave(text[begin:m.start(2)] + "{}")
-                    self.inside, self.list_at, begin = self.list_at, None, m.start(2)
+                    self._leave(text[begin:before] + "{}")
+                    if element := _WHOLE.match(text, before):
+                        whole.append((self.doc, element.group()))
+                        self.counts[self.doc] += 1
+                        begin = at = element.end()
+                        continue
+                    self.inside, self.list_at, begin = self.list_at, None, before
                 elif c == "{" and (not stack or len(stack) == 1 and stack[0][0] == "["):
                     self.doc += 1
                     self.counts[self.doc] = 0
+                self._read(text, known, before)
+                known = before
                 stack.append(c + self.last)
                 if self.inside is None and list_depth(stack) == len(stack):
                     self.list_at = len(stack)
@@ -123,19 +154,24 @@ class Walk:
                 if self.inside is None:
                     self.list_at = None
                 elif len(stack) == self.inside:
-                    self.held.append(text[begin:m.end()])
-                    element, self.held, begin = "\n".join(self.held), [], m.end()
+                    self.held.append(text[begin:at])
+                    element, self.held, begin = "\n".join(self.held), [], at
                     if self.crossing:
                         self.fragments.append((self.origin, 0, element))
                     else:
                         whole.append((self.doc, element))
                         self.counts[self.doc] += 1
                     self.crossing, self.list_at, self.inside = False, self.inside, None
-        if last is not None:
-            self.last = _is_key(last)
+        self._read(text, known, len(text))
         (self.held.append if self.inside is not None else self._leave)(text[begin:])
         return whole
 
+    def _read(self, text: str, begin: int, end: int) -> None:
+        """Keeps whether the last string so far was "hits"."""
+        string = _last_string(text, begin, end)
+        if string is not None:
+            self.last = _is_key(string)
+
     def _leave(self, text: str) -> None:
         if text.strip():
             self.envelope.append(text)
@@ -265,8 +301,8 @@ class JsonFiles:
     A range has one row in what is gathered for a file, and a document's fields beside its hits
     are parsed in one task; hits are not gathered, but for those that cross a border."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.lines = lines(spark, path)
+    def __init__(self, spark: SparkSession, path: str, in_volumes: bool = False):
+        self.lines = volumes(spark, path) if in_volumes else lines(spark, path)
         ranges = stored(_first_scan(self.lines), "json-ranges")
         states = stored(ranges.groupBy("file").applyInPandas(_composed, "file string, block long, stack string, last string, origin long"), "json-stacks")
         # Ranges that begin a file need no entry; of the others one short row each.

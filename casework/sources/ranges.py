@@ -31,6 +31,22 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
+#: What the names of one task's files differ in, where the number of rows a file is bounded.
+_VOLUME = r"-c([0-9]+)(\.[a-z]+)*$"
+#: An empty line ends a piece: a task takes up some lines at once.
+PIECE_END = "\n\n"
+
+
+def volumes(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`lines` for files that ``writers.write_volumes`` wrote: file is what the volumes make up
+    together, block a volume's number, value a piece of some lines."""
+    ship_package(spark)
+    name = F.col("_metadata.file_path")
+    raw = spark.read.option("lineSep", PIECE_END).text(path)
+    return raw.select("value", F.regexp_replace(name, _VOLUME, "").alias("file"),
+                      F.coalesce(F.regexp_extract(name, _VOLUME, 1).try_cast("long"), F.lit(0)).alias("block"))
+
+
 def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str], bool]]:
     """((file, block), some of its lines, whether they are the first): a task's
     ranges one after the other, each in parts of an Arrow batch."""

@@ -78,7 +78,7 @@ def _hit_columns(hit: Column) -> list[Column]:
 MOST_PAGES = 1_000_000
 
 
-def read_search_responses(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_search_responses(spark: SparkSession, path: str, multi_line: bool = False, in_volumes: bool = False) -> DataFrame:
     """S3: search responses (``{hits: {total, hits: [...]}}``) -> one row per
     hit. ``hit_pos`` numbers the hits 0..N-1 by the document's own ``pagina``
     where it has one, then by file path, place in the file and place in the
@@ -89,9 +89,10 @@ def read_search_responses(spark: SparkSession, path: str, multi_line: bool = Fal
     position; else each document gets its own from the sums over pages.
     A document that does not parse is an error. Pretty-printed documents need
     ``multi_line``: several tasks then share a file, cut at its line breaks. There
-    an element of ``hits`` that is not an object is an error too."""
+    an element of ``hits`` that is not an object is an error too. With ``in_volumes`` a file's
+    ranges are the compressed volumes of ``writers.write_volumes``."""
     if multi_line:
-        texts = JsonFiles(spark, path).in_order()
+        texts = JsonFiles(spark, path, in_volumes).in_order()
         hits = texts.select(F.col("_at").alias("hit_pos"), F.from_json("text", _loose(HIT_TYPE), {"mode": "FAILFAST"}).alias("hit"))
         return hits.select("hit_pos", *_hit_columns(F.col("hit"))).select("hit_pos", *SOURCE_FIELDS, "sort")
     hits = T.ArrayType(_loose(HIT_TYPE))

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casework.operators.sequence import hash_partitions
+from casework.sources.ranges import PIECE_END
+
 
 def _csv_safe(df: DataFrame) -> DataFrame:
     """Arrays/structs cannot go into CSV: serialise them as JSON text."""
@@ -61,6 +64,16 @@ def write_text(df: DataFrame, col: str, path: str) -> None:
     df.select(F.col(col).cast("string")).write.mode("overwrite").text(path)
 
 
+def write_volumes(df: DataFrame, col: str, path: str, piece: int = 512, pieces: int = 1 << 15) -> None:
+    """K6/K7: long texts one after the other, gzipped, where empty lines mean nothing (JSON). A compressed file
+    cannot be read from its middle, so a task writes its file in volumes, byte ranges that are cut at
+    line breaks: each ``pieces`` pieces of ``piece`` characters and their last line's rest. The number that
+    ends a volume's name is its place. An empty line ends a piece."""
+    cut = F.regexp_extract_all(F.col(col), F.lit(rf"(?s)(.{{0,{piece}}}+[^\n]*+)(?:\n|\z)"), F.lit(1))
+    rows = df.select(F.explode_outer(cut).alias("value")).where("value <> ''")
+    rows.write.mode("overwrite").option("maxRecordsPerFile", pieces).option("lineSep", PIECE_END).text(path, compression="gzip")
+
+
 def response_pages(hits: DataFrame, page_size: int = 10000) -> DataFrame:
     """Search-response documents of at most ``page_size`` hits each (the
     service's own page bound), one row per page, hits in position order."""
@@ -69,8 +82,11 @@ def response_pages(hits: DataFrame, page_size: int = 10000) -> DataFrame:
     item = F.struct(F.col("hit_pos"),
                     F.struct(*[F.col(c) for c in SOURCE_FIELDS]).alias("_source"),
                     F.col("sort"))
-    pages = hits.groupBy(F.floor(F.col("hit_pos") / page_size).alias("pagina")).agg(
-        F.sort_array(F.collect_list(item)).alias("items"))
+    # A page's hits are all over the table: listed before they move they would only be sorted and
+    # spilled. They move as rows, to so many partitions that each has a few pages.
+    rows = hits.select(F.floor(F.col("hit_pos") / page_size).alias("pagina"), item.alias("item"))
+    pages = rows.repartition(hash_partitions(hits), "pagina").groupBy("pagina").agg(
+        F.sort_array(F.collect_list("item")).alias("items"))
     return pages.select(
         "pagina",
         F.struct(
