@@ -34,17 +34,25 @@ def write_csv(df: DataFrame, path: str, fields: list[str] | None = None,
     w.csv(path)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """K4/K5: JSON Lines, one record per line, nested values kept."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_jsonl(df: DataFrame, path: str, rows_a_file: int | None = None) -> None:
+    """K4/K5: JSON Lines, one record per line, nested values kept. With ``rows_a_file`` they are
+    gzipped: one task reads such a file, so none holds more rows than that."""
+    w = df.write.mode("overwrite").option("ignoreNullFields", False)
+    if rows_a_file:
+        w = w.option("compression", "gzip").option("maxRecordsPerFile", rows_a_file)
+    w.json(path)
+
+
+#: Hits in a compressed file: about 100 MB of text.
+HITS_A_FILE = 100_000
 
 
 def write_hits(hits: DataFrame, path: str) -> None:
-    """K4: the given hits as JSON Lines under ``hits`` and their number, as the
+    """K4: the given hits as gzipped JSON Lines under ``hits`` and their number, as the
     original document's ``total``, under ``total``."""
     from casework.sources.readers import SOURCE_FIELDS
 
-    write_jsonl(hits.select("hit_pos", F.struct(*[F.col(c) for c in SOURCE_FIELDS]).alias("_source"), "sort"), f"{path}/hits")
+    write_jsonl(hits.select("hit_pos", F.struct(*[F.col(c) for c in SOURCE_FIELDS]).alias("_source"), "sort"), f"{path}/hits", HITS_A_FILE)
     write_jsonl(hits.agg(F.count(F.lit(1)).alias("value")), f"{path}/total")
 
 

@@ -83,3 +83,17 @@ def test_whole_containers_are_passed_over_at_once(monkeypatch):
     assert len(calls) < 6
     deep = '{"a": ' * 9 + '"hits"' + "}" * 9
     assert J.closed_and_opened(iter(["[" + deep + ", {"])) == (0, ["[?", "{1"], "1")
+
+
+def test_selected_hits_are_compressed_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "HITS_A_FILE", 100)
+    hits = DS.hits(spark, SF_SMALL).coalesce(2)
+    W.write_hits(hits, str(tmp_path / "s"))
+    files = sorted((tmp_path / "s" / "hits").glob("part-*"))
+    lines = [gzip.decompress(f.read_bytes()).decode().splitlines() for f in files]
+    assert max(map(len, lines)) <= 100 and sum(map(len, lines)) == hits.count()
+    assert sum(f.stat().st_size for f in files) * 5 < sum(len(x.encode()) + 1 for file in lines for x in file)
+    assert [json.loads(x) for f in (tmp_path / "s" / "total").glob("part-*") for x in f.read_text().splitlines()] == [{"value": hits.count()}]
+    fields = ["hit_pos", *R.SOURCE_FIELDS, "sort"]
+    back = R.read_hits_jsonl(spark, str(tmp_path / "s" / "hits"))
+    assert sorted(map(repr, back.select(*fields).collect())) == sorted(map(repr, hits.select(*fields).collect()))
